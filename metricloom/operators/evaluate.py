@@ -7,7 +7,8 @@ texts, one statement each, and a family of metrics that lies in one long table.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial
 
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,16 +19,15 @@ from metricloom.functions.periods import month_prefix, on_boundary
 from metricloom.functions.text import normalise_sql
 from metricloom.operators.skew import attach
 from metricloom.schemas import SERIES_STATS
-from metricloom.session import pin
-from metricloom.sources.tables import run_sql, union_all
+from metricloom.sources.tables import run_sql
 
 # Thresholds of the warning codes.
 MAX_NULL_RATE = 0.10
 MIN_ROWS = 3
 MAX_BAD_DATE_RATE = 0.05
 
-# Statements evaluated by one job; bounds the size of its plan.
-BATCH = 32
+# Statements running at the same time.
+CONCURRENT = 8
 
 NO_SQL = "No SQL in catalogue entry"
 
@@ -58,34 +58,20 @@ def _statistics() -> list[Column]:
     ]
 
 
-def _literals(sql: str, ok: bool, error: str, names: list[str]) -> dict[str, Column]:
-    return {
-        "sql": F.lit(sql),
-        "sql_ok": F.lit(ok),
-        "sql_error": F.lit(error),
-        "n_cols": F.lit(len(names)).cast("bigint"),
-        "col_names": F.array(*[F.lit(n) for n in names]).cast("array<string>"),
-    }
+def _row(sql: str, ok: bool, error: str = "", names: list[str] | None = None, stats=None) -> tuple:
+    """One row of :data:`SERIES_STATS`."""
+    names = names or []
+    known = {"sql": sql, "sql_ok": ok, "sql_error": error, "n_cols": len(names), "col_names": names}
+    known |= stats.asDict() if stats is not None else {}
+    return tuple(known.get(f.name) for f in SERIES_STATS.fields)
 
 
-def _in_schema(df: DataFrame) -> DataFrame:
-    present = set(df.columns)
-    return df.select(
-        *[
-            (F.col(f.name) if f.name in present else F.lit(None)).cast(f.dataType).alias(f.name)
-            for f in SERIES_STATS.fields
-        ]
-    )
-
-
-def _failed(spark: SparkSession, sql: str, error: str, ok: bool = False) -> DataFrame:
-    return _in_schema(spark.range(1).select(*[c.alias(n) for n, c in _literals(sql, ok, error, []).items()]))
-
-
-def _measure(spark: SparkSession, sql: str, shape_only: bool) -> DataFrame:
-    """Lazy one-row statistics of one statement. Analysis errors show here, without a job."""
+def _measure(spark: SparkSession, shape_only: bool, sql: str) -> tuple:
+    """Statistics of one statement, reduced to one row inside Spark. Errors of the
+    statement itself show at analysis without a job, or when it runs; where only the
+    reduction fails, the statement alone is run to tell the two apart."""
     if not sql.strip():
-        return _failed(spark, sql, NO_SQL)
+        return _row(sql, False, NO_SQL)
     try:
         df = run_sql(spark, sql)
         names = df.columns
@@ -94,45 +80,28 @@ def _measure(spark: SparkSession, sql: str, shape_only: bool) -> DataFrame:
         else:
             stats = series_columns(df).agg(*_statistics())
     except PySparkException as error:
-        return _failed(spark, sql, str(error))
-    return _in_schema(stats.withColumns(_literals(sql, True, "", names)))
-
-
-def _measure_safely(spark: SparkSession, sqls: list[str], shape_only: bool) -> DataFrame:
-    """Statistics of a batch in one job. Where a statement fails while running, the
-    batch is repeated one by one to tell which."""
+        return _row(sql, False, str(error))
     try:
-        return pin(union_all([_measure(spark, s, shape_only) for s in sqls]))
-    except Exception as error:  # noqa: BLE001 - any task failure ends up here
-        if len(sqls) > 1:
-            return union_all([_measure_safely(spark, [s], shape_only) for s in sqls])
+        return _row(sql, True, "", names, stats.first())
+    except Exception as error:  # noqa: BLE001 - a task failure arrives as a JVM error
         try:
-            run_sql(spark, sqls[0]).write.format("noop").mode("overwrite").save()
+            df.write.format("noop").mode("overwrite").save()
         except Exception as own:  # noqa: BLE001
-            return _failed(spark, sqls[0], str(own))
-        return _failed(spark, sqls[0], f"eval error: {error}", ok=True)
-
-
-def _batches(sqls: Iterator[str], size: int = BATCH) -> Iterator[list[str]]:
-    batch: list[str] = []
-    for sql in sqls:
-        batch.append(sql)
-        if len(batch) == size:
-            yield batch
-            batch = []
-    if batch:
-        yield batch
+            return _row(sql, False, str(own))
+        return _row(sql, True, f"eval error: {error}", names)
 
 
-def measure_sql(spark: SparkSession, entries: DataFrame, shape_only: bool = False) -> DataFrame:
+def measure_sql(
+    spark: SparkSession, entries: DataFrame, shape_only: bool = False, width: int = CONCURRENT
+) -> DataFrame:
     """Statistics per distinct statement of ``entries``; each runs once however many
-    entries share it. The driver streams the statement texts, never their results."""
+    entries share it. Statements are submitted a few at a time as jobs of their own, so
+    one that fails disturbs no other. The driver sees statement texts and one row each.
+    """
     texts = entries.select(F.coalesce("sql", F.lit("")).alias("sql")).distinct().orderBy("sql")
-    parts = [
-        _measure_safely(spark, batch, shape_only)
-        for batch in _batches(r["sql"] for r in texts.toLocalIterator())
-    ]
-    return union_all(parts) if parts else spark.createDataFrame([], SERIES_STATS)
+    with ThreadPoolExecutor(width) as pool:
+        rows = list(pool.map(partial(_measure, spark, shape_only), (r["sql"] for r in texts.toLocalIterator())))
+    return spark.createDataFrame(rows, SERIES_STATS)
 
 
 def apply_rules(measured: DataFrame) -> DataFrame:

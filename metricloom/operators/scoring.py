@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from metricloom.functions.json_text import judge_items
 from metricloom.functions.periods import span_months
 from metricloom.operators.skew import attach, rank_rounded, upper_median
+from metricloom.session import pin
 
 
 def match_databases(catalogues: DataFrame, databases: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -126,6 +127,7 @@ def catalogue_scores(
 
 def rank_within_database(scores: DataFrame) -> DataFrame:
     """Rank per database: by combined score where any catalogue has one, else by composite."""
+    scores = pin(scores)
     judged = scores.groupBy("db_stem").agg(
         F.bool_or(F.col("semantic_score").isNotNull()).alias("has_judge"), F.count(F.lit(1)).alias("n")
     )
@@ -138,6 +140,7 @@ def rank_within_database(scores: DataFrame) -> DataFrame:
 
 def model_ranking(scores: DataFrame) -> DataFrame:
     """Mean scores per author over its catalogues, nulls ignored, and the overall rank."""
+    scores = pin(scores)
     means = scores.groupBy("label").agg(
         F.count(F.lit(1)).alias("n_dbs"),
         F.bround(F.avg("composite"), 1).alias("score"),

@@ -35,7 +35,7 @@ def attach(
         .limit(HOT_KEYS)
         .select(
             F.col(key).alias("_hot_key"),
-            F.struct(*values).alias("_hot"),
+            F.struct(*values, size).alias("_hot"),
         )
     )
     marked = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
@@ -43,7 +43,8 @@ def attach(
     marked = marked.withColumn(
         "_key", F.when(F.col("_hot").isNull() & F.col(key).isNotNull(), F.col(key)).otherwise(spread)
     )
-    cold = slim.select(F.col(key).alias("_cold_key"), F.struct(*values).alias("_cold"))
+    # Both sides read the same columns of the lookup, so its shuffle is made once.
+    cold = slim.select(F.col(key).alias("_cold_key"), F.struct(*values, size).alias("_cold"))
     joined = marked.join(cold, F.col("_key") == F.col("_cold_key"), "left")
     found = F.coalesce("_hot", "_cold")
     return joined.select(*rows.columns, *[found[v].alias(v) for v in values])
