@@ -23,12 +23,10 @@ def decode_field(document: Column, field: str) -> Column:
 
 
 def field_kind(document: Column, field: str) -> Column:
-    """One of array, object, text, other, null, absent: what ``field`` holds after decoding."""
-    doc = F.try_parse_json(document)
-    value = F.try_variant_get(doc, f"$.{field}", "variant")
+    """What ``field`` of a parsed document (a variant) holds after decoding: array,
+    object, text, other, null, absent."""
+    value = F.try_variant_get(document, f"$.{field}", "variant")
     kind = F.schema_of_variant(value)
-    wanted = {"array": "ARRAY", "object": "OBJECT"}.get(ENCODED_FIELDS.get(field, ""), "\u0000")
-    inner = F.schema_of_variant(F.try_parse_json(F.try_variant_get(doc, f"$.{field}", "string")))
     plain = (
         F.when(kind.startswith("ARRAY"), "array")
         .when(kind.startswith("OBJECT"), "object")
@@ -36,11 +34,12 @@ def field_kind(document: Column, field: str) -> Column:
         .when(kind == "VOID", "null")
         .otherwise("other")
     )
-    decoded = F.when(
-        (kind == "STRING") & F.coalesce(inner.startswith(wanted), F.lit(False)),
-        ENCODED_FIELDS.get(field, "text"),
-    ).otherwise(plain)
-    return F.when(value.isNull(), "absent").otherwise(decoded)
+    if field in ENCODED_FIELDS:
+        wanted = ENCODED_FIELDS[field]
+        inner = F.schema_of_variant(F.try_parse_json(F.try_variant_get(document, f"$.{field}", "string")))
+        unwrapped = (kind == "STRING") & F.coalesce(inner.startswith(wanted.upper()), F.lit(False))
+        plain = F.when(unwrapped, wanted).otherwise(plain)
+    return F.when(value.isNull(), "absent").otherwise(plain)
 
 
 def text_list(document: Column, field: str) -> Column:

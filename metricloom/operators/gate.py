@@ -88,66 +88,59 @@ def _is_text_list(kind: Column) -> Column:
 
 
 def submission_gate(submissions: DataFrame, min_metrics: int = 0) -> DataFrame:
-    """Reasons to send a submission back: (submission_id, rule, detail)."""
-    doc = F.col("data")
-    kinds = {k: field_kind(doc, k) for k in REQUIRED_KEYS}
-    n_items = {k: F.json_array_length(decode_field(doc, k)) for k in REQUIRED_LISTS}
-    first_table = F.get_json_object(decode_field(doc, "tables"), "$[0]")
+    """Reasons to send a submission back: (submission_id, rule, detail).
+
+    A document is parsed once; each step below reads the columns of the one before.
+    """
+    texts = {k: decode_field(F.col("data"), k) for k in REQUIRED_LISTS}
+    parsed = submissions.select(
+        "submission_id", F.try_parse_json("data").alias("doc"), *[c.alias(f"t_{k}") for k, c in texts.items()]
+    )
+    kinds = [field_kind(F.col("doc"), k).alias(f"k_{k}") for k in REQUIRED_KEYS]
+    lists = [F.from_json(f"t_{k}", TEXTS).alias(f"l_{k}") for k in REQUIRED_LISTS]
+    seen = parsed.select("submission_id", *[f"t_{k}" for k in REQUIRED_LISTS], *kinds, *lists)
+
+    def kind(field: str) -> Column:
+        return F.col(f"k_{field}")
+
+    def is_object(item: Column) -> Column:
+        return F.coalesce(F.ltrim(item).startswith("{"), F.lit(False))
+
     absent = F.array_sort(
-        F.array_compact(F.array(*[F.when(kinds[k] == "absent", k) for k in REQUIRED_KEYS]))
+        F.array_compact(F.array(*[F.when(kind(k) == "absent", k) for k in REQUIRED_KEYS]))
     )
     blank = F.array_compact(
         F.array(
             *[
-                F.when((kinds[k] == "null") | (n_items[k] == 0) | _blank_text(doc, k, kinds[k]), k)
+                F.when(
+                    (kind(k) == "null")
+                    | ((kind(k) == "array") & (F.size(f"l_{k}") == 0))
+                    | ((kind(k) == "text") & (F.col(f"t_{k}") == "")),
+                    k,
+                )
                 for k in sorted(REQUIRED_LISTS)
             ]
         )
     )
-    n_metrics = F.size(
-        F.filter(
-            F.coalesce(F.from_json(decode_field(doc, "measurable_metrics"), TEXTS), F.array().cast(TEXTS)),
-            lambda m: F.ltrim(m).startswith("{"),
-        )
+    first = F.get("l_tables", F.lit(0))
+    listed = F.filter("l_measurable_metrics", is_object)
+    rows = seen.select(
+        "submission_id",
+        F.when(~kind("tables").isin("absent", "array"), kind("tables")).alias("tables_not_list"),
+        F.when(
+            (kind("tables") == "array") & first.isNotNull() & ~is_object(first) & ~first.startswith("["), first
+        ).alias("bare_tables"),
+        F.nullif(F.array_join(absent, ","), F.lit("")).alias("keys_absent"),
+        F.nullif(F.array_join(blank, ","), F.lit("")).alias("empty_lists"),
+        F.coalesce(F.size(listed), F.lit(0)).alias("n_metrics"),
     )
-
-    def reason(rule: str, when: Column, detail: Column) -> Column:
-        found = F.struct(F.lit(rule).alias("rule"), detail.alias("detail"))
-        return F.when(when, found)
-
-    bare = (kinds["tables"] == "array") & (n_items["tables"] > 0) & ~F.coalesce(
-        F.ltrim(first_table).startswith("{") | F.ltrim(first_table).startswith("["), F.lit(False)
-    )
-    reasons = [
-        reason(
-            "tables_not_list",
-            ~kinds["tables"].isin("absent", "array"),
-            kinds["tables"],
-        ),
-        reason("bare_tables", bare, F.coalesce(first_table, F.lit(""))),
-        reason("keys_absent", F.size(absent) > 0, F.array_join(absent, ",")),
-        reason("empty_lists", F.size(blank) > 0, F.array_join(blank, ",")),
-    ]
+    rules = ["tables_not_list", "bare_tables", "keys_absent", "empty_lists"]
     if min_metrics:
-        clean = ~_any([r.isNotNull() for r in reasons])
-        reasons.append(
-            reason("too_few_metrics", clean & (n_metrics < min_metrics), n_metrics.cast("string"))
-        )
-    return submissions.select(
-        "submission_id", F.explode(F.array_compact(F.array(*reasons))).alias("r")
-    ).select("submission_id", "r.rule", "r.detail")
-
-
-def _blank_text(document: Column, field: str, kind: Column) -> Column:
-    text = F.get_json_object(document, f"$.{field}")
-    return (kind == "text") & (text == "")
-
-
-def _any(conditions: list[Column]) -> Column:
-    found = F.lit(False)
-    for c in conditions:
-        found = found | c
-    return found
+        few = F.coalesce(*rules).isNull() & (F.col("n_metrics") < min_metrics)
+        rows = rows.withColumn("too_few_metrics", F.when(few, F.col("n_metrics").cast("string")))
+        rules.append("too_few_metrics")
+    reasons = F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("detail")) for r in rules])
+    return rows.select("submission_id", F.inline(reasons)).where("detail IS NOT NULL")
 
 
 def missing_fields(catalogues: DataFrame) -> DataFrame:

@@ -48,10 +48,14 @@ def _share(part: Column, whole: Column) -> Column:
     return F.coalesce(F.try_divide(part, whole), F.lit(0.0))
 
 
+def _mean_span() -> Column:
+    span = span_months(F.col("time_range.start"), F.col("time_range.end"))
+    return F.coalesce(F.avg(span), F.lit(0.0))
+
+
 def proposal_spans(metrics: DataFrame) -> DataFrame:
     """Mean declared months per catalogue; blank or malformed ranges are skipped."""
-    span = span_months(F.col("time_range.start"), F.col("time_range.end"))
-    return metrics.groupBy("catalogue_id").agg(F.coalesce(F.avg(span), F.lit(0.0)).alias("avg_span_months"))
+    return metrics.groupBy("catalogue_id").agg(_mean_span().alias("avg_span_months"))
 
 
 def catalogue_scores(
@@ -76,13 +80,15 @@ def catalogue_scores(
         F.count_if(F.col("confidence") == "high").alias("n_high"),
         F.count_if(F.col("sql_ok") & F.col("date_range_ok")).alias("n_date_ok"),
     )
-    joins = metrics.groupBy("catalogue_id").agg(F.count_if(F.size("tables_used") > 1).alias("n_joins"))
+    declared = metrics.groupBy("catalogue_id").agg(
+        F.count_if(F.size("tables_used") > 1).alias("n_joins"), _mean_span().alias("avg_span_months")
+    )
     facts = fact_results.groupBy("catalogue_id").agg(
         F.count(F.lit(1)).alias("n_facts"), F.count_if(F.col("status") == "PASS").alias("n_facts_pass")
     )
     median = upper_median(metric_results.where("sql_ok"), ["catalogue_id"], "n_rows", "median_rows")
     rows = catalogues.select("catalogue_id", "label", "run_index", "db_stem")
-    for part in (counts, joins, facts, median, proposal_spans(metrics), covered):
+    for part in (counts, declared, facts, median, covered):
         rows = rows.join(part, "catalogue_id", "left")
     rows = rows.fillna(0).withColumn("n_db_tables", F.lit(n_db_tables).cast("bigint"))
     n = F.col("n_metrics")

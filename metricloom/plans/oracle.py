@@ -289,7 +289,7 @@ def _line(table: str, ordinal: int, column: str, kind: str, categorical: bool) -
             f"string_agg(value || '(' || cnt || ')', ', ' ORDER BY rank) FROM ({_top(table, column, 5)})) || ']'"
         )
     else:
-        show = f"strftime({{}}({column}), '%Y-%m-%d %H:%M:%S')" if "timestamp" in kind else f"{{}}({column})"
+        show = f"strftime({{}}({column}), '%Y-%m-%d %H:%M:%S')" if "timestamp" in kind else f"{{}}({column}) + 0"
         detail = f"'range=[' || {show.format('min')} || ' → ' || {show.format('max')} || ']'"
     return (
         f"SELECT '{table}' AS table_name, CAST({ordinal} AS bigint) AS ordinal, '  {column}{pk}  {kind}  — ' || "

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable
 
@@ -41,7 +42,8 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def _input(spark: SparkSession, folder: str, sql: str) -> DataFrame:
-    _open(spark, folder)
+    """Rows of a derived input; only the tables its text names are opened."""
+    _open(spark, folder, *[t for t in inputs.TABLES if re.search(rf"\b(?:FROM|JOIN) {t}\b", sql)])
     return spark.sql(sql)
 
 
@@ -72,11 +74,11 @@ def _metric_entries(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _metric_results(spark: SparkSession, folder: str) -> DataFrame:
+def _metric_results(spark: SparkSession, folder: str, entries: DataFrame | None = None) -> DataFrame:
     """Evaluated and duplicate-marked metrics, one per customer. Most readers use them
     more than once, so they are materialised."""
-    entries = _metric_entries(spark, folder)
-    series = spark.sql(inputs.CUSTOMER_SERIES)
+    entries = entries or _metric_entries(spark, folder)
+    series = _input(spark, folder, inputs.CUSTOMER_SERIES)
     fields = [
         "catalogue_id", "pos", "name", "confidence", "granularity", "unit", "declared_start",
         "declared_end", "n_cols", "sql_error", "sql_ok",
@@ -477,10 +479,10 @@ def warning_codes(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query
 def eval_report(spark: SparkSession, folder: str) -> DataFrame:
-    entries, facts = _metric_entries(spark, folder), _fact_entries(spark, folder)
+    entries, facts = pin(_metric_entries(spark, folder)), _fact_entries(spark, folder)
     mentions = coverage.table_mentions(entries, facts)
     missing = coverage.uncovered_tables(entries, _db_tables(spark), mentions)
-    return catalogues.evaluation_report(_metric_results(spark, folder), facts, missing)
+    return catalogues.evaluation_report(_metric_results(spark, folder, entries), facts, missing)
 
 
 @_query
@@ -576,8 +578,8 @@ def patched_ranges(spark: SparkSession, folder: str) -> DataFrame:
 @_query
 def patched_catalogue(spark: SparkSession, folder: str) -> DataFrame:
     """All metrics with patched ranges in place, evaluated again."""
-    entries = _metric_entries(spark, folder)
-    patches = refine.patched_ranges(_metric_results(spark, folder))
+    entries = pin(_metric_entries(spark, folder))
+    patches = refine.patched_ranges(_metric_results(spark, folder, entries))
     patched = refine.apply_patches(entries, patches)
     again = patched.select(
         "catalogue_id", "pos", "name", "confidence", "granularity", "unit",
@@ -600,35 +602,37 @@ def issue_details(spark: SparkSession, folder: str) -> DataFrame:
     return refine.issue_details(issues).select("kind", "pos", "name", "detail")
 
 
-def _actions(spark: SparkSession, folder: str) -> DataFrame:
-    counted = _metric_entries(spark, folder).select("catalogue_id", "name", "n_categories")
-    return refine.refine_actions(_metric_results(spark, folder), counted)
-
-
-@_query
-def refine_actions(spark: SparkSession, folder: str) -> DataFrame:
-    return _actions(spark, folder).select("pos", "name", "action", "note")
+def _actions(entries: DataFrame, results: DataFrame) -> DataFrame:
+    return refine.refine_actions(results, entries.select("catalogue_id", "name", "n_categories"))
 
 
-def _refined_names(spark: SparkSession, folder: str) -> DataFrame:
+def _refined_names(entries: DataFrame, results: DataFrame) -> DataFrame:
     """Names after refinement: removed and moved ones gone, split ones renamed."""
-    actions = _actions(spark, folder).where("action NOT IN ('remove', 'move_to_facts')")
+    actions = _actions(entries, results).where("action NOT IN ('remove', 'move_to_facts')")
     renamed = F.when(F.col("action") == "split", F.concat("name", F.lit(" (A)"))).otherwise(F.col("name"))
     return actions.select("catalogue_id", renamed.alias("name"))
 
 
+@_query
+def refine_actions(spark: SparkSession, folder: str) -> DataFrame:
+    entries = pin(_metric_entries(spark, folder))
+    results = _metric_results(spark, folder, entries)
+    return _actions(entries, results).select("pos", "name", "action", "note")
+
+
 @_query
 def catalogue_diff(spark: SparkSession, folder: str) -> DataFrame:
-    before = _metric_entries(spark, folder)
-    return refine.name_changes(before, _refined_names(spark, folder))
+    entries = pin(_metric_entries(spark, folder))
+    return refine.name_changes(entries, _refined_names(entries, _metric_results(spark, folder, entries)))
 
 
 @_query
 def refinement_summary(spark: SparkSession, folder: str) -> DataFrame:
-    results = _metric_results(spark, folder)
+    entries = pin(_metric_entries(spark, folder))
+    results = _metric_results(spark, folder, entries)
     return refine.refinement_summary(
         results,
-        _refined_names(spark, folder),
+        pin(_refined_names(entries, results)),
         refine.patched_ranges(results),
         refine.needs_investigation(results, _fact_results(spark, folder)),
     )
@@ -679,8 +683,8 @@ def broker_query(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query
 def fuzzy_match(spark: SparkSession, folder: str) -> DataFrame:
-    _open(spark, folder)
-    names, requests = spark.sql(inputs.PART_NAMES), spark.sql(inputs.PART_REQUESTS)
+    names = _input(spark, folder, inputs.PART_NAMES)
+    requests = _input(spark, folder, inputs.PART_REQUESTS)
     return _rounded(broker.match_names(requests, names), 3, "score")
 
 
@@ -708,14 +712,15 @@ def runnable_entries(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _scores(spark: SparkSession, folder: str, judged: bool = False) -> DataFrame:
-    entries, facts = _metric_entries(spark, folder), _fact_entries(spark, folder)
+    entries, facts = pin(_metric_entries(spark, folder)), _fact_entries(spark, folder)
     scores = None
     if judged:
-        scores = scoring.judge_scores(spark.sql(inputs.JUDGE_RESPONSES)).where("name LIKE '%0)'")
+        answers = _input(spark, folder, inputs.JUDGE_RESPONSES)
+        scores = scoring.judge_scores(answers).where("name LIKE '%0)'")
     return scoring.catalogue_scores(
         _catalogues(entries),
         entries,
-        _metric_results(spark, folder),
+        _metric_results(spark, folder, entries),
         facts,
         coverage.covered_count(_db_tables(spark), coverage.table_mentions(entries, facts)),
         len(inputs.TABLES),
