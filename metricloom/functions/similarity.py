@@ -11,9 +11,19 @@ from pyspark.sql import types as T
 
 
 @F.pandas_udf(T.DoubleType())
-def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Share of matched characters, called only for candidate pairs."""
-    return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right)], dtype="float64")
+def _sequence_ratio(left: pd.Series, right: pd.Series, needed: pd.Series) -> pd.Series:
+    """Share of matched characters, called only for candidate pairs; 0 where a cheap
+    upper bound already lies below ``needed``."""
+    ratios = []
+    matcher = SequenceMatcher(None)
+    for a, b, least in zip(left, right, needed):
+        matcher.set_seqs(a, b)
+        ratios.append(matcher.ratio() if matcher.quick_ratio() >= least else 0.0)
+    return pd.Series(ratios, dtype="float64")
+
+
+# Marked so that a filter on the score does not run it a second time.
+sequence_ratio = _sequence_ratio.asNondeterministic()
 
 
 def words(name: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from metricloom.functions.coerce import to_value
 from metricloom.functions.similarity import jaccard, sequence_ratio, words
 from metricloom.operators.skew import attach
+from metricloom.session import pin
 from metricloom.sources.catalogues import by_name
 from metricloom.sources.tables import run_sql
 
@@ -82,8 +83,16 @@ def match_names(requests: DataFrame, names: DataFrame) -> DataFrame:
     possible = (F.col("shared") >= 1.5 * needed * total - total - 1 - 1e-6) & (
         best_ratio >= needed - 1e-9
     )
-    scored = pairs.where(possible).withColumn(
-        "score", (sequence_ratio("q", "n") + F.col("overlap")) / 2
+    # Few bytes but much work per pair: a fixed partition count keeps them from being
+    # merged into few tasks, and serves the grouping by request as well.
+    spark = requests.sparkSession
+    tasks = max(
+        spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    )
+    scored = (
+        pairs.where(possible)
+        .repartition(tasks, "q")
+        .withColumn("score", (sequence_ratio("q", "n", needed - 1e-9) + F.col("overlap")) / 2)
     )
     best = (
         scored.where(F.col("score") >= MIN_SCORE)
@@ -91,8 +100,11 @@ def match_names(requests: DataFrame, names: DataFrame) -> DataFrame:
         .agg(F.max(F.struct("score", (-F.col("pos")).alias("first"), "name")).alias("m"))
         .select("q", F.col("m.name").alias("matched_name"), F.col("m.score").alias("score"))
     )
-    matched = distinct.join(exact.unionByName(best), "q", "left").withColumn(
-        "score", F.coalesce("score", F.lit(0.0))
+    # One row per distinct request, read twice below.
+    matched = pin(
+        distinct.join(exact.unionByName(best), "q", "left").withColumn(
+            "score", F.coalesce("score", F.lit(0.0))
+        )
     )
     return attach(wanted, matched, "q", ["matched_name", "score"], "n_requests").drop("q")
 
