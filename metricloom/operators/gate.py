@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial
+
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metricloom.functions.json_text import decode_field, field_kind
 from metricloom.operators.coverage import ghost_tables
+from metricloom.operators.evaluate import CONCURRENT
 from metricloom.schemas import TEXTS
 from metricloom.sources.tables import run_sql, union_all
 
@@ -156,12 +160,14 @@ def ghost_violations(entries: DataFrame) -> DataFrame:
     )
 
 
-def runnable(spark: SparkSession, entries: DataFrame) -> DataFrame:
+def runnable(spark: SparkSession, entries: DataFrame, width: int = CONCURRENT) -> DataFrame:
     """Entries whose statement runs. Analysis settles most without a job; what passes
     is tried on one row."""
     texts = entries.select(F.coalesce("sql", F.lit("")).alias("sql")).distinct().orderBy("sql")
-    good = [(r["sql"],) for r in texts.toLocalIterator() if _runs(spark, r["sql"])]
-    kept = spark.createDataFrame(good, "sql string")
+    sqls = [r["sql"] for r in texts.toLocalIterator()]
+    with ThreadPoolExecutor(width) as pool:
+        runs = list(pool.map(partial(_runs, spark), sqls))
+    kept = spark.createDataFrame([(s,) for s, ok in zip(sqls, runs) if ok], "sql string")
     return entries.join(kept, "sql", "left_semi")
 
 

@@ -33,14 +33,17 @@ def shorten(log: DataFrame) -> DataFrame:
     )
 
 
-def log_totals(log: DataFrame, deduped: DataFrame) -> DataFrame:
-    """Queries and first-seen queries per run."""
-    return (
+def log_totals(log: DataFrame, deduped: DataFrame, proposals: DataFrame | None = None) -> DataFrame:
+    """Queries and first-seen queries per run, and its proposed metrics where given."""
+    totals = (
         log.groupBy("run")
         .agg(F.count(F.lit(1)).alias("n_queries"))
         .join(deduped.groupBy("run").agg(F.count(F.lit(1)).alias("n_unique")), "run", "left")
-        .fillna(0, ["n_unique"])
     )
+    if proposals is not None:
+        counted = proposals.groupBy("run").agg(F.count(F.lit(1)).alias("n_proposed"))
+        totals = totals.join(counted, "run", "left")
+    return totals.fillna(0)
 
 
 def union_proposals(proposals: DataFrame) -> DataFrame:

@@ -41,6 +41,15 @@ def open_jdbc(spark: SparkSession, url: str, tables: list[str], **options: str)
     return {t: reader.option("dbtable", t).load() for t in tables}
 
 
+def open_catalog(spark: SparkSession, database: str | None = None) -> dict[str, DataFrame]:
+    """Tables and views the session's catalog lists."""
+    listed = spark.catalog.listTables(database)
+    return {
+        t.name: spark.table(t.name if t.isTemporary or not database else f"{database}.{t.name}")
+        for t in sorted(listed, key=lambda t: t.name)
+    }
+
+
 def register(tables: dict[str, DataFrame]) -> None:
     """Make every table visible to SQL text under its name."""
     for name, df in tables.items():
