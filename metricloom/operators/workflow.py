@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,20 +30,30 @@ class Refined:
     summary: DataFrame
 
 
+def _category_parts(spark: SparkSession, metric: dict) -> tuple[tuple, list[dict]]:
+    n = refine.category_count(spark, metric["sql"]).first()["n_categories"]
+    parts = refine.split_by_category(spark, metric) if 1 <= n <= refine.MAX_SPLIT else []
+    return (metric["catalogue_id"], metric["name"], n), parts
+
+
 def _categories(spark: SparkSession, metrics: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Category counts of statements with more than two columns, and the metrics that
-    the small ones split into. One short job per such statement."""
+    the small ones split into. Each such statement is a job or two of its own."""
     wide = results.where(F.array_contains(F.split("error", ", "), "extra_cols"))
-    counts, parts = [], []
-    for row in metrics.join(wide.select("catalogue_id", "name"), ["catalogue_id", "name"]).toLocalIterator():
-        n = refine.category_count(spark, row["sql"]).first()["n_categories"]
-        counts.append((row["catalogue_id"], row["name"], n))
-        if 1 <= n <= refine.MAX_SPLIT:
-            parts += refine.split_by_category(spark, row.asDict(recursive=True))
+    entries = metrics.join(wide.select("catalogue_id", "name"), ["catalogue_id", "name"])
+    with ThreadPoolExecutor(evaluate.CONCURRENT) as pool:
+        found = list(
+            pool.map(
+                partial(_category_parts, spark),
+                (r.asDict(recursive=True) for r in entries.toLocalIterator()),
+            )
+        )
     fields = [f.name for f in METRIC_ROW.fields]
     return (
-        spark.createDataFrame(counts, "catalogue_id string, name string, n_categories bigint"),
-        spark.createDataFrame([tuple(p[f] for f in fields) for p in parts], METRIC_ROW),
+        spark.createDataFrame(
+            [count for count, _ in found], "catalogue_id string, name string, n_categories bigint"
+        ),
+        spark.createDataFrame([tuple(p[f] for f in fields) for _, ps in found for p in ps], METRIC_ROW),
     )
 
 
