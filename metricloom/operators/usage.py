@@ -122,9 +122,11 @@ def trailing_tokens(
     """Output tokens of the last ``seconds`` at each instant of a session, and whether
     ``expected`` more would exceed ``limit``. Calls exactly ``seconds`` old are out.
 
-    Calls of one instant are summed first. Time is cut into buckets of ``span``
-    windows, each with the tail of the bucket before it, so a busy session is spread
-    over as many tasks as it has buckets.
+    Calls of one instant are summed first. Each then adds its tokens when it happens and
+    takes them away when it leaves the window, so a plain running sum gives what is in
+    use, at a cost that does not grow with the calls in a window. Time is cut into
+    buckets of ``span`` windows, each with the tail of the bucket before it, so a busy
+    session is spread over as many tasks as it has buckets.
     """
     width = seconds * 1_000_000
     size = width * span
@@ -139,8 +141,20 @@ def trailing_tokens(
         "bucket",
         F.explode(F.when(needed_next, F.array(bucket, bucket + 1)).otherwise(F.array(bucket))),
     )
-    recent = Window.partitionBy("session", "bucket").orderBy("us").rangeBetween(-(width - 1), 0)
-    used = placed.withColumn("used", F.sum("tokens").over(recent)).where(bucket == F.col("bucket"))
+    enters = F.struct(
+        "us", F.col("tokens").alias("change"), "tokens", "n_calls", (bucket == F.col("bucket")).alias("shown")
+    )
+    leaves = F.struct(
+        (F.col("us") + width).alias("us"), (-F.col("tokens")).alias("change"), "tokens", "n_calls",
+        F.lit(False).alias("shown"),
+    )
+    changes = placed.select("session", "bucket", F.inline(F.array(enters, leaves)))
+    until_now = (
+        Window.partitionBy("session", "bucket")
+        .orderBy("us")
+        .rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    used = changes.withColumn("used", F.sum("change").over(until_now)).where("shown")
     return used.select(
         "session",
         F.timestamp_micros("us").alias("ts"),
