@@ -745,7 +745,7 @@ ORACLE["catalogue_ranking"] = _with(*_SCORES) + """
 SELECT db_stem, catalogue_id, round_even(raw, 1) AS composite,
   rank() OVER (PARTITION BY db_stem ORDER BY round_even(raw, 1) DESC) AS rank FROM scores"""
 _SEMANTIC = """, sem AS (SELECT catalogue_id, round_even(avg(score), 2) AS semantic_score FROM responses
-  WHERE name LIKE '%0)' GROUP BY 1),
+  GROUP BY 1),
 comb AS (SELECT *, round_even(raw * (semantic_score / 5.0), 1) AS combined FROM scores LEFT JOIN sem USING (catalogue_id)),
 flag AS (SELECT db_stem, bool_or(semantic_score IS NOT NULL) AS has FROM comb GROUP BY 1)
 """

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricloom.functions import coerce, periods, text
+from metricloom.functions import coerce, json_text, periods, text
 from metricloom.operators import (
     assemble, broker, coverage, dimensions, evaluate, gate, metrics, profile, propose, querylog,
     refine, scoring, usage,
@@ -715,8 +715,7 @@ def _scores(spark: SparkSession, folder: str, judged: bool = False) -> DataFrame
     entries, facts = pin(_metric_entries(spark, folder)), _fact_entries(spark, folder)
     scores = None
     if judged:
-        answers = _input(spark, folder, inputs.JUDGE_RESPONSES)
-        scores = scoring.judge_scores(answers).where("name LIKE '%0)'")
+        scores = scoring.judge_scores(_input(spark, folder, inputs.JUDGE_RESPONSES))
     return scoring.catalogue_scores(
         _catalogues(entries),
         entries,
@@ -801,11 +800,9 @@ def submission_gate(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query
 def submitted_notes(spark: SparkSession, folder: str) -> DataFrame:
-    from metricloom.functions.json_text import text_list
-
     rows = _input(spark, folder, inputs.SUBMISSIONS)
     return rows.select(
-        "submission_id", F.array_join(text_list(F.col("data"), "data_quality_notes"), ",").alias("notes")
+        "submission_id", F.array_join(json_text.text_list(F.col("data"), "data_quality_notes"), ",").alias("notes")
     )
 
 
