@@ -54,14 +54,21 @@ def text_list(document: Column, field: str) -> Column:
 SCORED_OBJECT = r'\{[^{}]*"name"\s*:\s*"[^"]+"[^{}]*"score"\s*:\s*\d[^{}]*\}'
 
 
-def judge_items(answer: Column) -> Column:
-    """Scored items of a free-text answer: plain list, fenced, inside an object, or cut off."""
+def clean_answer(answer: Column) -> Column:
+    """Answer without surrounding whitespace and code fences."""
     text = F.regexp_replace(F.regexp_replace(answer, r"^\s+|\s+$", ""), r"^```(?:json)?\s*", "")
-    text = F.regexp_replace(text, r"\s*```$", "")
+    return F.regexp_replace(text, r"\s*```$", "")
+
+
+def json_kind(text: Column) -> Column:
+    """Type text of a JSON value, null where the text is no JSON."""
+    return F.schema_of_variant(F.try_parse_json(text))
+
+
+def scored_items(text: Column, kind: Column) -> Column:
+    """Scored items of a cleaned answer: a plain list, the first list inside an object,
+    or whole objects recovered from text that was cut off."""
     items = T.ArrayType(JUDGE_ITEM)
-    variant = F.try_parse_json(text)
-    kind = F.schema_of_variant(variant)
-    # The first list among the values of an object, in the object's order.
     values = F.map_values(F.from_json(text, T.MapType(T.StringType(), T.StringType())))
     listed = F.get(F.filter(values, lambda v: F.ltrim(v).startswith("[")), F.lit(0))
     scraped = F.transform(
@@ -80,3 +87,9 @@ def judge_items(answer: Column) -> Column:
         .when(kind.startswith("OBJECT"), F.from_json(listed, items))
         .otherwise(scraped)
     )
+
+
+def judge_items(answer: Column) -> Column:
+    """Scored items of a free-text answer."""
+    text = clean_answer(answer)
+    return scored_items(text, json_kind(text))

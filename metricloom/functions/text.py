@@ -110,4 +110,5 @@ def metric_name(measure: Column, form: str = "count", value: Column | None = Non
 
 def pair_key(a: Column, b: Column) -> Column:
     """Key of a table pair that ignores its direction."""
-    return F.array_sort(F.array(F.lower(a), F.lower(b)))
+    low, high = F.lower(a), F.lower(b)
+    return F.array(F.least(low, high), F.greatest(low, high))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from metricloom.functions.json_text import judge_items
+from metricloom.functions.json_text import clean_answer, json_kind, scored_items
 from metricloom.functions.periods import span_months
 from metricloom.operators.skew import attach, rank_rounded, upper_median
 from metricloom.session import pin
@@ -23,7 +23,12 @@ def match_databases(catalogues: DataFrame, databases: DataFrame) -> tuple[DataFr
 def judge_scores(responses: DataFrame) -> DataFrame:
     """Scores found in free-text answers: (catalogue_id, name, score, reason). The last
     answer about a name counts; a missing score is 3."""
-    rows = responses.select("catalogue_id", "batch", F.posexplode(judge_items("text")).alias("i", "item"))
+    # Step by step, so that each answer is cleaned and parsed once.
+    cleaned = responses.select("catalogue_id", "batch", clean_answer(F.col("text")).alias("t"))
+    typed = cleaned.withColumn("k", json_kind(F.col("t")))
+    rows = typed.select(
+        "catalogue_id", "batch", F.posexplode(scored_items(F.col("t"), F.col("k"))).alias("i", "item")
+    )
     last = F.max_by(F.struct(F.coalesce("item.score", F.lit(3.0)).alias("score"),
                              F.coalesce("item.reason", F.lit("")).alias("reason")),
                     F.struct("batch", "i"))
