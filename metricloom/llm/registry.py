@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricloom.llm import line_dedup, quality, shards, simhash
+from metricloom.llm import lattice, line_dedup, quality, shards, simhash
 from metricloom.llm.common import table
 
 SHARDS = 40
@@ -58,9 +58,28 @@ def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_piece_sampling(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return lattice.encode_samples(docs).select(
+        "doc_id",
+        "sample",
+        F.size("ids").alias("n_pieces"),
+        F.xxhash64("ids").alias("ids_hash"),
+        "log_prob",
+        "log_inclusion",
+        "restored",
+    )
+
+
 QUERIES = {
     q.__name__: q
-    for q in (op1_quality_classifier, op3_simhash, op4_line_dedup, op9_sharding)
+    for q in (
+        op1_quality_classifier,
+        op3_simhash,
+        op4_line_dedup,
+        op9_sharding,
+        op10_piece_sampling,
+    )
 }
 
 ORACLE = {
