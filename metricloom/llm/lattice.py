@@ -397,7 +397,7 @@ class _Search:
             self.push_range(path, low, step)
             self.push_range(path, step + 1, high)
             taken = int(path.edges[step])
-            state = int(np.searchsorted(table.first[: table._first.size], taken, "right")) - 1
+            state = int(np.searchsorted(table.first[: table._first.size], np.int32(taken), "right")) - 1
             first, count = int(table.first[state]), int(table.count[state])
             open_ = [e for e in range(first, first + count) if e != taken]
         else:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricloom.llm import lattice, line_dedup, quality, shards, simhash
+from metricloom.llm import lattice, line_dedup, pii, quality, secret_scan, shards, simhash
 from metricloom.llm.common import table
 
 SHARDS = 40
@@ -27,6 +27,48 @@ def op1_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _joined(spans):
+    """kind:start:end of each span, by commas."""
+    return F.concat_ws(
+        ",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
+    )
+
+
+def _count(kind: str):
+    return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
+def op2_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    # Found spans meet no base span, so the starts alone put them in between.
+    ordered = F.array_sort(
+        F.concat("base", "found"), lambda a, b: F.when(a["start"] < b["start"], -1)
+        .when(a["start"] > b["start"], 1)
+        .otherwise(_rank(a) - _rank(b)),
+    )
+    return secret_scan.scan_secrets(docs).select(
+        "doc_id",
+        *[_count(k) for k in secret_scan.BASE_KINDS],
+        F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),
+        _joined(ordered).alias("spans"),
+    )
+
+
+def _rank(span):
+    kinds = F.array(*map(F.lit, secret_scan.BASE_KINDS))
+    return F.array_position(kinds, span["kind"]).cast("int")
+
+
+def op7_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return pii.find_personal_data(docs).select(
+        "doc_id",
+        *[_count(k) for k in pii.BASE_KINDS],
+        F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),
+        _joined(F.concat("base", "found")).alias("spans"),
+    )
+
+
 def op3_simhash(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents"))
     return found.select("doc_id", _hex(F.col("fp")).alias("fingerprint"), "component_id")
@@ -75,8 +117,10 @@ QUERIES = {
     q.__name__: q
     for q in (
         op1_quality_classifier,
+        op2_secret_scan,
         op3_simhash,
         op4_line_dedup,
+        op7_personal_data,
         op9_sharding,
         op10_piece_sampling,
     )
