@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from metricloom.session import pin
+
 # The white space of the contracts.
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -39,3 +43,18 @@ def ascii_lower(text: Column) -> Column:
 def digest(*values: Column) -> list[Column]:
     """128 bits that stand for the values in shuffles: two longs."""
     return [F.xxhash64(*values), F.xxhash64(F.lit("second"), *values)]
+
+
+def stash(df: DataFrame) -> DataFrame:
+    """``df`` written once as a table in the shared checkpoint folder, and read from there.
+
+    Columns compress and later readers skip those they don't need, which suits wide rows
+    better than a checkpoint. Without a folder, the rows are kept as ``pin`` does.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        return pin(df)
+    path = f"{folder.rstrip('/')}/stash-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -5,7 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricloom.llm import lattice, line_dedup, pii, quality, secret_scan, shards, simhash
+from metricloom.llm import (
+    decontaminate,
+    html_text,
+    lattice,
+    line_dedup,
+    pii,
+    quality,
+    secret_scan,
+    shards,
+    simhash,
+)
 from metricloom.llm.common import table
 
 SHARDS = 40
@@ -59,6 +69,12 @@ def _rank(span):
     return F.array_position(kinds, span["kind"]).cast("int")
 
 
+def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.find_leaks(
+        table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    )
+
+
 def op7_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return pii.find_personal_data(docs).select(
@@ -81,6 +97,13 @@ def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url", "html")
+    return html_text.main_text(pages).select(
+        "page_id", "url", "text", F.length("text").cast("long").alias("n_chars")
+    )
+
+
 def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     docs = table(spark, folder, "documents").select(
@@ -120,7 +143,9 @@ QUERIES = {
         op2_secret_scan,
         op3_simhash,
         op4_line_dedup,
+        op6_decontamination,
         op7_personal_data,
+        op8_html_text,
         op9_sharding,
         op10_piece_sampling,
     )
