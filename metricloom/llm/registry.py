@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from metricloom.llm import (
     decontaminate,
     html_text,
     lattice,
     line_dedup,
+    neighbours,
     pii,
     quality,
     secret_scan,
@@ -69,6 +71,11 @@ def _rank(span):
     return F.array_position(kinds, span["kind"]).cast("int")
 
 
+def op5_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return neighbours.nearest(vectors, F.col("vec_id") % 20 == 0)
+
+
 def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.find_leaks(
         table(spark, folder, "documents"), table(spark, folder, "benchmark")
@@ -143,13 +150,14 @@ QUERIES = {
         op2_secret_scan,
         op3_simhash,
         op4_line_dedup,
+        op5_nearest_neighbours,
         op6_decontamination,
         op7_personal_data,
         op8_html_text,
         op9_sharding,
         op10_piece_sampling,
     )
-}
+} | {"pipeline": corpus_pipeline.run}
 
 ORACLE = {
     "op4_line_dedup": r"""
