@@ -45,6 +45,10 @@ def digest(*values: Column) -> list[Column]:
     return [F.xxhash64(*values), F.xxhash64(F.lit("second"), *values)]
 
 
+def shared_folder(spark: SparkSession) -> str | None:
+    return spark.conf.get("spark.checkpoint.dir", None)
+
+
 def stash(df: DataFrame) -> DataFrame:
     """``df`` written once as a table in the shared checkpoint folder, and read from there.
 
@@ -52,7 +56,7 @@ def stash(df: DataFrame) -> DataFrame:
     better than a checkpoint. Without a folder, the rows are kept as ``pin`` does.
     """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = shared_folder(spark)
     if folder is None:
         return pin(df)
     path = f"{folder.rstrip('/')}/stash-{uuid.uuid4().hex}"

@@ -87,7 +87,7 @@ def alignment(item: list[str], passage: list[str]) -> tuple[float, int, int]:
 
 
 def _items(benchmark: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """(item, words) of the items that have words, repeats once."""
+    """(key, item, words) of the items that have words, repeats once; ids may be null."""
 
     @F.pandas_udf("array<string>")
     def split(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -100,25 +100,24 @@ def _items(benchmark: DataFrame, id_column: str, text_column: str) -> DataFrame:
         .select("item", split("t").alias("words"))
         .where(F.size("words") > 0)
         .distinct()
+        .withColumn("key", F.xxhash64("item", "words"))
     )
 
 
 def _item_grams(items: DataFrame, n: int) -> DataFrame:
-    """(item, size, at, gram): the n-grams of each item; shorter items are one gram whole."""
+    """(key, size, at, gram): the n-grams of each item; shorter items are one gram whole."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for item, words in zip(b["item"], b["words"], strict=True):
+            for key, words in zip(b["key"], b["words"], strict=True):
                 words = list(words)
                 size = min(n, len(words))
                 h = gram_hashes(words, size)
                 yield pd.DataFrame(
-                    {"item": item, "size": size, "at": np.arange(len(h)), "gram": h.view(np.int64)}
+                    {"key": key, "size": size, "at": np.arange(len(h)), "gram": h.view(np.int64)}
                 )
 
-    return items.select("item", "words").mapInPandas(
-        run, f"item {items.schema['item'].dataType.simpleString()}, size int, at int, gram long"
-    )
+    return items.select("key", "words").mapInPandas(run, "key long, size int, at int, gram long")
 
 
 def _filter(grams: DataFrame) -> np.ndarray:
@@ -174,10 +173,11 @@ def _regions(docs: DataFrame, sizes: list[int], reach: int, bits) -> DataFrame:
                     rows.append((x.id, x.k0, x.k1, low, words[low:high], np.unique(own).view(np.int64)))
                 yield pd.DataFrame(rows, columns=["id", "k0", "k1", "at", "words", "grams"])
 
-    kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInPandas(
-        run, f"id {kind}, k0 long, k1 long, at int, words array<string>, grams array<long>"
+    # Ids go through Python as texts, so that nulls and large numbers stay what they are.
+    found = docs.withColumn("id", F.col("id").cast("string")).mapInPandas(
+        run, "id string, k0 long, k1 long, at int, words array<string>, grams array<long>"
     )
+    return found.withColumn("id", F.col("id").cast(docs.schema["id"].dataType))
 
 
 def _found(
@@ -212,20 +212,19 @@ def _found(
     hits = regions.select("r0", "r1", F.explode("grams").alias("gram"))
     # Rarity: in how many regions an n-gram stands.
     often = hits.groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
-    block = Window.partitionBy("item", "size", F.floor(F.col("at") / stride)).orderBy(
-        F.coalesce("often", F.lit(0)), "gram", "at"
+    block = Window.partitionBy("key", "size", F.floor(F.col("at") / stride)).orderBy(
+        "often", "gram", "at"
     )
     seeds = pin(
-        grams.join(often, "gram", "left")
+        grams.join(often, "gram")  # n-grams that no document has find nothing
         .withColumn("rank", F.row_number().over(block))
-        .where("rank = 1 AND often IS NOT NULL")
-        .select("gram", "item")
+        .where("rank = 1")
+        .select("gram", "key")
         .distinct()
     )
     # Equal regions, as copies of documents have, are aligned once.
-    pairs = hits.distinct().join(seeds, "gram").select("r0", "r1", "item").distinct()
+    pairs = hits.distinct().join(seeds, "gram").select("r0", "r1", "key").distinct()
     passages = regions.groupBy("r0", "r1").agg(F.first("words").alias("passage"))
-    item_type = items.schema["item"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -233,14 +232,15 @@ def _found(
             for x in b.itertuples(index=False):
                 score, first, last = alignment(list(x.words), list(x.passage))
                 if score >= threshold:
-                    out.append((x.r0, x.r1, x.item, score, first, last))
-            yield pd.DataFrame(out, columns=["r0", "r1", "item", "score", "first", "last"])
+                    out.append((x.r0, x.r1, x.key, score, first, last))
+            yield pd.DataFrame(out, columns=["r0", "r1", "key", "score", "first", "last"])
 
     matched = (
-        pairs.join(items, "item")
+        pairs.join(items, "key")
         .join(passages, ["r0", "r1"])
-        .select("r0", "r1", "item", "words", "passage")
-        .mapInPandas(run, f"r0 long, r1 long, item {item_type}, score double, first int, last int")
+        .select("r0", "r1", "key", "words", "passage")
+        .mapInPandas(run, "r0 long, r1 long, key long, score double, first int, last int")
+        .join(items.select("key", "item"), "key")
     )
     return regions.select("id", "k0", "k1", "at", "r0", "r1").join(matched, ["r0", "r1"]).select(
         "id", "k0", "k1", "item", "score", (F.col("at") + F.col("first")).alias("first"),
