@@ -50,14 +50,16 @@ def text_list(document: Column, field: str) -> Column:
     return F.coalesce(parsed, F.array().cast("array<string>"))
 
 
-# Fixed value: a whole scored object inside a cut-off answer.
-SCORED_OBJECT = r'\{[^{}]*"name"\s*:\s*"[^"]+"[^{}]*"score"\s*:\s*\d[^{}]*\}'
+FLAT_OBJECT = r"\{[^{}]+\}"
+FENCE = "```"
 
 
 def clean_answer(answer: Column) -> Column:
     """Answer without surrounding whitespace and code fences."""
-    text = F.regexp_replace(F.regexp_replace(answer, r"^\s+|\s+$", ""), r"^```(?:json)?\s*", "")
-    return F.regexp_replace(text, r"\s*```$", "")
+    text = F.regexp_replace(answer, r"(?U)^\s+|\s+$", "")
+    body = F.when(text.startswith(FENCE), F.regexp_replace(text, r"(?U)^```\w*\s*", "")).otherwise(text)
+    cut = F.left(body, F.length(body) - 3)
+    return F.when(body.endswith(FENCE), F.regexp_replace(cut, r"(?U)\s+$", "")).otherwise(body)
 
 
 def json_kind(text: Column) -> Column:
@@ -71,17 +73,12 @@ def scored_items(text: Column, kind: Column) -> Column:
     items = T.ArrayType(JUDGE_ITEM)
     values = F.map_values(F.from_json(text, T.MapType(T.StringType(), T.StringType())))
     listed = F.get(F.filter(values, lambda v: F.ltrim(v).startswith("[")), F.lit(0))
-    scraped = F.transform(
-        F.regexp_extract_all(text, F.lit(SCORED_OBJECT), F.lit(0)),
-        lambda m: F.coalesce(
-            F.when(F.try_parse_json(m).isNotNull(), F.from_json(m, JUDGE_ITEM)),
-            F.struct(
-                F.regexp_extract(m, r'"name"\s*:\s*"([^"]+)"', 1).alias("name"),
-                F.regexp_extract(m, r'"score"\s*:\s*(\d)', 1).cast("double").alias("score"),
-                F.lit("").alias("reason"),
-            ),
-        ),
+    # A cut-off answer: every whole object in it that parses and has a name and a score.
+    parsed = F.transform(
+        F.regexp_extract_all(text, F.lit(FLAT_OBJECT), F.lit(0)),
+        lambda m: F.when(F.try_parse_json(m).isNotNull(), F.from_json(m, JUDGE_ITEM)),
     )
+    scraped = F.filter(parsed, lambda i: i["name"].isNotNull() & i["score"].isNotNull())
     return (
         F.when(kind.startswith("ARRAY"), F.from_json(text, items))
         .when(kind.startswith("OBJECT"), F.from_json(listed, items))

@@ -5,26 +5,40 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The spellings of an identifier a table reference may use.
-IDENTIFIER = r'"[^"]+"|`[^`]+`|\[[^\]]+\]|\w+'
-
-# U makes \w and \s cover Unicode, i ignores case.
-TABLE_REFERENCE = rf"(?iU)\b(?:from|join)\s+(?:(?:{IDENTIFIER})\s*\.\s*)?({IDENTIFIER})"
-
-# Fixed value: longest metric name.
-MAX_NAME = 60
+# One token of SQL text: a quoted name, a string, a comment, a word, or any other sign.
+TOKEN = (
+    r"(?sU)\"[^\"]+\"|`[^`]+`|\[[^\]]+\]|'(?:[^']|'')*'|--[^\n]*|/\*.*?\*/|\w+|[^\s\w]"
+)
+# A token that can name a table.
+NAME = r"(?U)^(?:\"[^\"]+\"|`[^`]+`|\[[^\]]+\]|\w+)$"
 
 
 def tables_referenced(sql: Column) -> Column:
-    """Lower-case table names after FROM or JOIN, sorted, quotes and schema dropped."""
-    found = F.regexp_extract_all(sql, F.lit(TABLE_REFERENCE), F.lit(1))
-    bare = F.transform(
-        found,
-        lambda t: F.lower(
-            F.when(t.rlike(r'^["`\[]'), t.substr(F.lit(2), F.length(t) - 2)).otherwise(t)
-        ),
+    """Lower-case table names after FROM or JOIN, sorted, quotes and schema dropped.
+
+    The text is cut into tokens; comments and strings are none that could name a table.
+    """
+    tokens = F.filter(
+        F.regexp_extract_all(sql, F.lit(TOKEN), F.lit(0)),
+        lambda t: ~(t.startswith("--") | t.startswith("/*")),
     )
-    return F.coalesce(F.array_sort(F.array_distinct(bare)), F.array().cast("array<string>"))
+    # Bound once, so that no token list is made again for each of its tokens.
+    return F.coalesce(F.transform(F.array(tokens), _named_tables)[0], F.array().cast("array<string>"))
+
+
+def _named_tables(tokens: Column) -> Column:
+    def at(i: Column) -> Column:
+        return F.coalesce(F.get(tokens, i), F.lit(""))
+
+    def named(i: Column) -> Column:
+        qualified = (at(i + 2) == ".") & at(i + 3).rlike(NAME)
+        name = F.when(qualified, at(i + 3)).otherwise(at(i + 1))
+        bare = F.when(name.rlike(r'^["`\[]'), name.substr(F.lit(2), F.length(name) - 2)).otherwise(name)
+        after = F.lower(at(i)).isin("from", "join") & at(i + 1).rlike(NAME)
+        return F.when(after, F.lower(bare))
+
+    found = F.transform(tokens, lambda _, i: named(i))
+    return F.array_sort(F.array_distinct(F.filter(found, lambda t: t.isNotNull())))
 
 
 def strip_semicolons(sql: Column) -> Column:
@@ -105,7 +119,22 @@ def metric_name(measure: Column, form: str = "count", value: Column | None = Non
         base = F.concat(F.lit("Cumulative "), base)
     if value is not None:
         base = F.concat(base, F.lit(" ("), value, F.lit(")"))
-    return F.left(base, F.lit(MAX_NAME))
+    return base
+
+
+def quoted_name(name: str | Column) -> str | Column:
+    """Name as an identifier of a statement, whatever characters it has."""
+    if isinstance(name, str):
+        return "`" + name.replace("`", "``") + "`"
+    return F.concat(F.lit("`"), F.replace(name, F.lit("`"), F.lit("``")), F.lit("`"))
+
+
+def quoted_text(value: str | Column) -> str | Column:
+    """Value as a text of a statement, backslashes and quotes escaped."""
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    escaped = F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'"))
+    return F.concat(F.lit("'"), escaped, F.lit("'"))
 
 
 def pair_key(a: Column, b: Column) -> Column:

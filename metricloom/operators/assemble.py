@@ -29,12 +29,8 @@ def time_coverage(columns: DataFrame) -> DataFrame:
 def null_notes(columns: DataFrame) -> DataFrame:
     """A note per column with many nulls."""
     rate = F.col("n_null") / F.col("n_rows")
-    note = F.format_string(
-        "`%s` has %s nulls (%s%% of rows)",
-        "column_name",
-        F.format_number("n_null", 0),
-        F.format_number(F.bround(rate * 100, 0), 0),
-    )
+    share = F.bround(rate * 100, 0).cast("int").cast("string")
+    note = F.concat(F.lit("Column "), "column_name", F.lit(": "), share, F.lit("% empty ("), "n_null", F.lit(" rows)"))
     return columns.where((F.col("n_rows") > 0) & (F.col("n_null") > 0) & (rate >= NOTED_NULL_RATE)).select(
         "table_name", "ordinal", "column_name", note.alias("note")
     )
@@ -42,10 +38,8 @@ def null_notes(columns: DataFrame) -> DataFrame:
 
 def size_notes(tables: DataFrame) -> DataFrame:
     """A note per small table."""
-    note = F.format_string(
-        "`%s` is a small table (%d rows) — metrics built on it may cover only a narrow slice of data.",
-        "table_name",
-        "n_rows",
+    note = F.concat(
+        F.lit("Table "), "table_name", F.lit(": only "), "n_rows", F.lit(" rows, too few for firm conclusions")
     )
     return tables.where((F.col("n_rows") > 0) & (F.col("n_rows") < SMALL_TABLE)).select(
         "table_name", note.alias("note")

@@ -8,10 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from metricloom.operators.profile import Snapshot
+from metricloom.operators.profile import DIMENSION_VALUES, TOP_VALUES, Snapshot
 
-# Most distinct values of a dimension, most rows of a lookup table.
-MAX_DIMENSION_VALUES = 20
+# Most distinct values of a dimension; fixed value: most rows of a lookup table.
+MAX_DIMENSION_VALUES = DIMENSION_VALUES
 MAX_LOOKUP_ROWS = 200
 
 ISO_DATE = r"^\d{4}-\d{2}-\d{2}"
@@ -97,9 +97,8 @@ def dimension_manifest(snapshot: Snapshot) -> DataFrame:
 
 
 def manifest_lines(manifest: DataFrame) -> DataFrame:
-    via = F.when(F.col("via") == "", "").otherwise(F.concat(F.lit(" (via "), "via", F.lit(")")))
-    line = F.concat(
-        F.lit("  "), "table_name", F.lit("."), "column_name", via, F.lit("  →  "),
-        F.array_join("values", ", "),
-    )
+    via = F.when(F.col("via") == "", "").otherwise(F.concat(F.lit(", named by "), "via"))
+    more = F.when(F.size("values") > TOP_VALUES, ", …").otherwise("")
+    shown = F.concat(F.array_join(F.slice("values", 1, TOP_VALUES), ", "), more)
+    line = F.concat("table_name", F.lit("."), "column_name", via, F.lit(": "), shown)
     return manifest.select("table_name", "ordinal", line.alias("line"))

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from metricloom.functions.periods import period_start, period_text
-from metricloom.functions.text import MAX_NAME
 
 
 def _by_period(df: DataFrame, ts: str, granularity: str, value: Column, where: Column | None = None):
@@ -81,9 +80,7 @@ def split_metric(
         .groupBy(dimension, period_start(F.col(ts), granularity).alias("period"))
         .agg(flow.alias("value"))
     )
-    name = F.left(
-        F.concat(F.lit(f"{base_name} ("), F.col(dimension).cast("string"), F.lit(")")), F.lit(MAX_NAME)
-    )
+    name = F.concat(F.lit(f"{base_name} ("), F.col(dimension).cast("string"), F.lit(")"))
     return grouped.where(F.col("period").isNotNull()).select(
         name.alias("name"), period_text(F.col("period"), granularity).alias("date"), "value"
     )

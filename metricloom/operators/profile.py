@@ -1,7 +1,8 @@
 """Table profiles: row counts, nulls, ranges, distinct counts and top values.
 
 A table is scanned twice whatever its width: one aggregate for counts, nulls and
-ranges, one frequency count over all its categorical columns together.
+ranges, one frequency count over all its categorical columns together. Text columns are
+read once more where a long value is among the frequent ones.
 """
 
 from __future__ import annotations
@@ -15,13 +16,15 @@ from pyspark.sql import types as T
 from metricloom.functions.text import redact
 from metricloom.schemas import FOREIGN_KEY
 from metricloom.session import pin
-from metricloom.sources.tables import sample_rows, schema_lines, union_all
+from metricloom.sources.tables import sample_rows, union_all
 
 # Name fragments that mark a date column whatever its type.
 DATE_NAME_HINTS = ("_dt", "dt_", "_at", "_ts", "date", "time", "period", "month", "year")
 
-# Fixed value: frequent values kept per column.
+# Frequent values shown per column, and most distinct values of a dimension,
+# all of which a snapshot keeps.
 TOP_VALUES = 8
+DIMENSION_VALUES = 20
 
 # Longer values are counted by prefix and digest, so their text is not shuffled.
 LONG_TEXT = 64
@@ -142,8 +145,8 @@ def _long_form(df: DataFrame, cols: list[_Col]) -> DataFrame:
 def _restore_long(top: DataFrame, tables: dict[str, DataFrame], cols: list[_Col]) -> DataFrame:
     """Replace digests among the top values by the texts they stand for.
 
-    At most ``top_k`` keys per column are looked up, so the broadcast is bounded by
-    the number of columns.
+    Few keys per column are looked up, and more only where their counts and first
+    characters are tied; the join is planned by their size.
     """
     texts = [c for c in cols if isinstance(c.kind, T.StringType)]
     if not texts:
@@ -156,12 +159,12 @@ def _restore_long(top: DataFrame, tables: dict[str, DataFrame], cols: list[_Col]
     found = (
         union_all(scans)
         .withColumn("key", _value_key(F.col("value")))
-        .join(F.broadcast(wanted), ["col_id", "key"])
+        .join(wanted, ["col_id", "key"])
         .groupBy("col_id", "key")
         .agg(F.any_value("value").alias("text"))
     )
     return top.join(found, ["col_id", "key"], "left").select(
-        "col_id", "rn", "cnt", F.coalesce("text", "key").alias("value")
+        "col_id", "cnt", F.coalesce("text", "key").alias("value")
     )
 
 
@@ -180,11 +183,15 @@ def _frequencies(
     # Counting by a condition on cnt keeps that column in the plan, so both readers
     # of the counts share one scan and one shuffle.
     distinct = counts.groupBy("col_id").agg(F.count_if(F.col("cnt") > 0).alias("n_distinct"))
-    # The rank limit is applied before the shuffle as well, so a column of mostly
-    # distinct values sends top_k rows per task.
-    order = Window.partitionBy("col_id").orderBy(F.desc("cnt"), "key")
-    top = counts.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= top_k)
-    top = _restore_long(top, tables, cols)
+    # The rank limit is applied before the shuffle as well, so a column of mostly distinct
+    # values sends few rows per task. Keys order like their values up to their first
+    # characters; what is tied there stays until the whole values are back.
+    first = F.left("key", F.lit(LONG_TEXT))
+    rough = Window.partitionBy("col_id").orderBy(F.desc("cnt"), first)
+    near = counts.withColumn("rk", F.rank().over(rough)).where(F.col("rk") <= top_k).drop("rk")
+    order = Window.partitionBy("col_id").orderBy(F.desc("cnt"), "value")
+    top = _restore_long(near, tables, cols).withColumn("rn", F.row_number().over(order))
+    top = top.where(F.col("rn") <= top_k)
     ranked = F.array_sort(F.collect_list(F.struct("rn", "value", "cnt")))
     listed = top.groupBy("col_id").agg(
         F.transform(
@@ -255,16 +262,18 @@ def introspect(
     foreign_keys: list[tuple] | DataFrame | None = None,
     connection: str = "",
     dialect: str = "spark",
-    top_k: int = TOP_VALUES,
+    top_k: int = DIMENSION_VALUES,
+    frequencies: bool = True,
 ) -> Snapshot:
-    """Snapshot of ``tables``. Files carry no constraints, so keys are declared by the
+    """Snapshot of ``tables``, with all values of a column that can be a dimension. Without
+    ``frequencies`` no value is counted, which table roles do not need. Files carry no constraints, so keys are declared by the
     caller; the password of ``connection`` is masked."""
     declared = foreign_keys if isinstance(foreign_keys, DataFrame) else None
     if declared is None:
         declared = foreign_key_rows(spark, foreign_keys or [])
     masked = spark.range(1).select(redact(F.lit(connection)).alias("c")).first()["c"]
     return Snapshot(
-        columns=pin(profile_columns(spark, tables, primary_keys, top_k)),
+        columns=pin(profile_columns(spark, tables, primary_keys, top_k, frequencies=frequencies)),
         foreign_keys=declared,
         connection=masked,
         dialect=dialect,
@@ -272,58 +281,43 @@ def introspect(
     )
 
 
-def top_value_map(top_values: Column) -> Column:
-    """Value to count, for lookups; the array keeps the order."""
-    return F.map_from_entries(top_values)
-
-
 def column_lines(columns: DataFrame) -> DataFrame:
-    """One text line per column: marks, then range or distinct count with its top five."""
-    mark = F.when(F.col("primary_key"), " [PK]").otherwise("")
-    required = F.when(F.col("nullable"), "").otherwise(" NOT NULL")
-    nulls = F.concat(F.lit("nulls="), F.col("n_null").cast("string"))
-    top = F.array_join(
+    """One text line per column: type and marks, then its range or most frequent values."""
+    marks = F.concat(
+        F.when(F.col("primary_key"), ", key").otherwise(""),
+        F.when(F.col("nullable"), "").otherwise(", required"),
+    )
+    often = F.array_join(
         F.transform(
-            F.slice("top_values", 1, 5),
-            lambda v: F.concat(v["value"], F.lit("("), v["cnt"].cast("string"), F.lit(")")),
+            F.slice("top_values", 1, 5), lambda v: F.concat(v["cnt"].cast("string"), F.lit(" x "), v["value"])
         ),
-        ", ",
+        "; ",
     )
-    none = F.lit("None")
+    nulls = F.concat(F.col("n_null").cast("string"), F.lit(" null"))
+    span = F.concat(F.coalesce("min", F.lit("?")), F.lit(" to "), F.coalesce("max", F.lit("?")))
     detail = (
-        F.when(F.col("stat_kind") == "binary", "binary/blob — skipped")
+        F.when(F.col("stat_kind") == "binary", "not profiled")
         .when(F.col("stat_kind") == "complex", nulls)
-        .when(
-            F.col("stat_kind") == "range",
-            F.concat(
-                F.lit("range=["), F.coalesce("min", none), F.lit(" → "), F.coalesce("max", none),
-                F.lit("]  "), nulls,
-            ),
-        )
+        .when(F.col("stat_kind") == "range", F.concat_ws(" | ", span, nulls))
         .otherwise(
-            F.concat(
-                F.lit("distinct="), F.col("n_distinct").cast("string"), F.lit("  top=["), top,
-                F.lit("]  "), nulls,
-            )
+            F.concat_ws(" | ", F.concat(F.col("n_distinct").cast("string"), F.lit(" values")), often, nulls)
         )
-    )
-    line = F.concat(
-        F.lit("  "), "column_name", mark, F.lit("  "), "type", required, F.lit("  — "), detail
     )
+    line = F.concat("column_name", F.lit(" ("), "type", marks, F.lit("): "), detail)
     return columns.select("table_name", "ordinal", line.alias("line"))
 
 
 def snapshot_lines(snapshot: Snapshot) -> DataFrame:
     """All lines of a snapshot, per table in order: title, columns, foreign keys."""
-    title = F.format_string("TABLE: %s  (%s rows)", "table_name", F.format_number("n_rows", 0))
+    title = F.concat(F.lit("# "), "table_name", F.lit(", "), F.col("n_rows").cast("string"), F.lit(" rows"))
     titles = snapshot.tables.select(
         "table_name", F.lit(0).alias("section"), F.lit(0).alias("pos"), title.alias("line")
     )
     body = column_lines(snapshot.columns).select(
         "table_name", F.lit(1).alias("section"), F.col("ordinal").alias("pos"), "line"
     )
-    link = F.format_string(
-        "  FK: (%s) → %s.(%s)", F.array_join("from_cols", ", "), "to_table", F.array_join("to_cols", ", ")
+    link = F.concat(
+        F.array_join("from_cols", ", "), F.lit(" refers to "), "to_table", F.lit(" by "), F.array_join("to_cols", ", ")
     )
     links = snapshot.foreign_keys.select(
         F.col("from_table").alias("table_name"), F.lit(2).alias("section"), F.lit(0).alias("pos"),
@@ -336,23 +330,18 @@ def render_as_text(spark: SparkSession, snapshot: Snapshot) -> str:
     """Whole snapshot as text. Its size depends on the number of columns, not on rows."""
     from metricloom.operators.dimensions import dimension_manifest, manifest_lines
 
-    parts = [f"DATABASE: {snapshot.connection}", f"DIALECT:  {snapshot.dialect}", ""]
+    parts = [f"Source {snapshot.connection} ({snapshot.dialect})", ""]
     dims = [
         r["line"]
         for r in manifest_lines(dimension_manifest(snapshot)).orderBy("table_name", "ordinal").collect()
     ]
     if dims:
-        parts += ["DIMENSION BREAKDOWNS AVAILABLE", *dims, ""]
+        parts += ["# Dimensions", *dims, ""]
     first = {r["table_name"]: r["row_json"] for r in snapshot.samples(spark, 1).collect()}
     lines = snapshot_lines(snapshot).orderBy("table_name", "section", "pos", "line").collect()
     for table in dict.fromkeys(r["table_name"] for r in lines):
         parts += [r["line"] for r in lines if r["table_name"] == table]
         if table in first:
-            parts.append(f"  SAMPLE ROW: {first[table]}")
+            parts.append(f"for example {first[table]}")
         parts.append("")
     return "\n".join(parts)
-
-
-def compact_schema(columns: DataFrame) -> DataFrame:
-    """One ``table(col, col)`` line per table."""
-    return schema_lines(columns)

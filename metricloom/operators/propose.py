@@ -6,20 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from metricloom.functions.periods import snap_to_period
-from metricloom.functions.text import metric_name, title
+from metricloom.functions.text import metric_name, quoted_name, quoted_text, title
 from metricloom.operators.dimensions import dimension_manifest, is_temporal_column, table_classes
 from metricloom.operators.profile import Snapshot
 from metricloom.schemas import FACT_ROW, METRIC_ROW
 
 
-def _quoted(name: Column) -> Column:
-    return F.concat(F.lit("`"), name, F.lit("`"))
-
-
-def _text(value: Column) -> Column:
-    return F.concat(F.lit("'"), F.replace(value, F.lit("'"), F.lit("\\'")), F.lit("'"))
-
-
 def _monthly_sql(value: Column, source: Column, ts: Column, where: Column | None = None) -> Column:
     condition = F.lit("") if where is None else F.concat(F.lit(" WHERE "), where)
     return F.concat(
@@ -58,7 +50,7 @@ def propose_metrics(snapshot: Snapshot, catalogue_id: str = "proposal") -> DataF
         "to_table",
         F.col("to_cols")[0].alias("to_col"),
     )
-    source, ts = _quoted(F.col("table_name")), _quoted(F.col("ts"))
+    source, ts = quoted_name(F.col("table_name")), quoted_name(F.col("ts"))
     one_table = F.array("table_name")
 
     def entries(rows: DataFrame, name: Column, sql: Column, unit: str, used: Column, note: Column):
@@ -84,7 +76,7 @@ def propose_metrics(snapshot: Snapshot, catalogue_id: str = "proposal") -> DataF
         .join(dates, "table_name")
         .join(links.select("table_name", "column_name"), ["table_name", "column_name"], "left_anti")
     )
-    column = _quoted(F.col("column_name"))
+    column = quoted_name(F.col("column_name"))
 
     def measure(function: str, form: str, prefix: str) -> DataFrame:
         value = F.concat(F.lit(f"{function}("), column, F.lit(")"))
@@ -104,22 +96,22 @@ def propose_metrics(snapshot: Snapshot, catalogue_id: str = "proposal") -> DataF
         dims,
         metric_name(F.concat_ws("_", "table_name"), "count", F.col("dim_value")),
         _monthly_sql(
-            F.lit("count(*)"), source, ts, F.concat(column, F.lit(" = "), _text(F.col("dim_value")))
+            F.lit("count(*)"), source, ts, F.concat(column, F.lit(" = "), quoted_text(F.col("dim_value")))
         ),
         "count",
         one_table,
         F.concat(F.lit("Rows per month where "), "column_name", F.lit(" = "), "dim_value"),
     )
     joined_source = F.concat(
-        source, F.lit(" AS a JOIN "), _quoted(F.col("to_table")), F.lit(" AS b ON a."), column,
-        F.lit(" = b."), _quoted(F.col("to_col")),
+        source, F.lit(" AS a JOIN "), quoted_name(F.col("to_table")), F.lit(" AS b ON a."), column,
+        F.lit(" = b."), quoted_name(F.col("to_col")),
     )
     child_dates = links.join(dates, "table_name")
     across = entries(
         child_dates,
         metric_name(F.concat_ws("_", "table_name", F.lit("per"), "to_table", F.lit("rate")), "count"),
         _monthly_sql(
-            F.concat(F.lit("count(*) / count(DISTINCT b."), _quoted(F.col("to_col")), F.lit(")")),
+            F.concat(F.lit("count(*) / count(DISTINCT b."), quoted_name(F.col("to_col")), F.lit(")")),
             joined_source,
             F.concat(F.lit("a."), ts),
         ),
@@ -147,7 +139,7 @@ def propose_facts(snapshot: Snapshot, catalogue_id: str = "proposal") -> DataFra
     classes = table_classes(snapshot)
     names = snapshot.tables.select("table_name", F.lower("table_name").alias("key"))
     rows = names.join(classes.select(F.col("table_name").alias("key"), "is_lookup"), "key")
-    source = _quoted(F.col("table_name"))
+    source = quoted_name(F.col("table_name"))
     sql = F.when(F.col("is_lookup"), F.concat(F.lit("SELECT DISTINCT * FROM "), source)).otherwise(
         F.concat(F.lit("SELECT count(*) AS n_rows FROM "), source)
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from metricloom.functions.text import truncate
+from metricloom.functions.text import normalise_sql, truncate
 from metricloom.operators.skew import keep_first
 
 # Lengths of the shortened texts.
@@ -22,17 +22,23 @@ def dedup_queries(log: DataFrame) -> DataFrame:
 
 
 def shorten(log: DataFrame) -> DataFrame:
-    """Log rows with their label, statement and result cut for display."""
+    """Log rows with their label, whole statement, and result cut for display."""
     label = F.coalesce(F.nullif("plain_language", F.lit("")), F.nullif("reason", F.lit("")), F.lit("Query"))
     return log.select(
         "run",
         "pos",
         label.alias("label"),
-        truncate(F.replace("sql", F.lit("\n"), F.lit(" ")), SHORT_SQL, "…").alias("sql"),
+        "sql",
         truncate(F.col("result"), SHORT_RESULT, "\n... (truncated)").alias("result"),
     )
 
 
+def shorten_proposals(proposals: DataFrame) -> DataFrame:
+    """Proposals with their statement on one line, cut for display."""
+    line = F.replace("sql", F.lit("\n"), F.lit(" "))
+    return proposals.withColumn("sql", truncate(line, SHORT_SQL, "…"))
+
+
 def log_totals(log: DataFrame, deduped: DataFrame, proposals: DataFrame | None = None) -> DataFrame:
     """Queries and first-seen queries per run, and its proposed metrics where given."""
     totals = (
@@ -47,5 +53,11 @@ def log_totals(log: DataFrame, deduped: DataFrame, proposals: DataFrame | None =
 
 
 def union_proposals(proposals: DataFrame) -> DataFrame:
-    """All proposed metrics over all runs, the first of a repeated name."""
-    return keep_first(proposals, ["name"], ["run", "pos"])
+    """All proposed metrics over all runs: a row for each name and normalised statement,
+    as first proposed, with the runs that proposed it."""
+    form = normalise_sql(F.col("sql"))
+    first = F.min(F.struct("run", "pos", "name", "sql")).alias("first")
+    grouped = proposals.groupBy(F.col("name").alias("_name"), form.alias("_form")).agg(
+        first, F.array_sort(F.collect_set("run")).alias("runs")
+    )
+    return grouped.select("first.*", "runs")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from metricloom.functions.periods import snap_to_period
-from metricloom.functions.text import MAX_NAME
+from metricloom.functions.text import quoted_name, quoted_text
 from metricloom.operators.evaluate import is_evaluator_crash
 from metricloom.sources.tables import run_sql
 
@@ -15,6 +15,8 @@ from metricloom.sources.tables import run_sql
 PATCHED_DIRECTLY = ("date_mismatch", "period_boundary")
 # Fixed value: most values of a category column that is split into metrics.
 MAX_SPLIT = 5
+# Types whose values name categories.
+CATEGORY_TYPES = (T.StringType, T.VarcharType, T.CharType, T.BooleanType, T.DateType)
 
 
 def _codes() -> Column:
@@ -126,51 +128,54 @@ def refine_actions(results: DataFrame, categories: DataFrame | None = None) -> D
     return rows.withColumn("action", action).withColumn("note", note)
 
 
-def category_column(df: DataFrame) -> str | None:
-    """The column to split by in a statement of more than two columns: the first after
-    the period that is not a number, else the last."""
-    rest = df.schema.fields[1:]
-    if len(rest) < 2:
-        return None
-    texts = [f.name for f in rest if not isinstance(f.dataType, T.NumericType)]
-    return texts[0] if texts else rest[-1].name
+def split_columns(df: DataFrame) -> tuple[int, int] | None:
+    """Places of the category and of the value in a statement (period, ...): the first column
+    after the period that is no number, and the first that is one. None if either is missing:
+    a measure is nothing to split by, and a text nothing to measure."""
+    rest = list(enumerate(df.schema.fields))[1:]
+    numbers = [i for i, f in rest if isinstance(f.dataType, T.NumericType)]
+    others = [i for i, f in rest if type(f.dataType) in CATEGORY_TYPES]
+    return (others[0], numbers[0]) if others and numbers else None
+
+
+def _by_place(df: DataFrame) -> DataFrame:
+    """Columns c0, c1, ...: a statement may give one name to several."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
 
 
 def category_count(spark: SparkSession, sql: str) -> DataFrame:
-    """Distinct non-null values of the category column of a statement."""
+    """Distinct non-null values of the category column of a statement; 0 without one."""
     df = run_sql(spark, sql)
-    column = category_column(df)
-    return df.agg(F.count_distinct(F.col(f"`{column}`")).alias("n_categories"))
+    places = split_columns(df)
+    if places is None:
+        return spark.range(1).select(F.lit(0).cast("bigint").alias("n_categories"))
+    return _by_place(df).agg(F.count_distinct(f"c{places[0]}").alias("n_categories"))
 
 
 def split_by_category(spark: SparkSession, metric: dict) -> list[dict]:
     """One two-column metric per value of the category column, or none when there are
-    more than ``MAX_SPLIT`` values."""
+    more than ``MAX_SPLIT`` values, or no such column."""
     df = run_sql(spark, metric["sql"])
-    column = category_column(df)
-    period = df.schema.fields[0].name
-    value = next(
-        f.name
-        for f in df.schema.fields[1:]
-        if f.name != column and isinstance(f.dataType, T.NumericType)
-    )
-    distinct = df.select(F.col(f"`{column}`").cast("string").alias("v")).distinct().where("v IS NOT NULL")
+    places = split_columns(df)
+    if places is None:
+        return []
+    category, value = (f"c{i}" for i in places)
+    distinct = _by_place(df).select(F.col(category).cast("string").alias("v")).distinct().where("v IS NOT NULL")
     values = sorted(r["v"] for r in distinct.limit(MAX_SPLIT + 1).collect())
     if len(values) > MAX_SPLIT:
         return []
     body = metric["sql"].strip().rstrip(";")
-    split = []
-    for v in values:
-        literal = v.replace("\\", "\\\\").replace("'", "\\'")
-        split.append(
-            {
-                **metric,
-                "name": f"{metric['name']} ({v})"[:MAX_NAME],
-                "sql": f"SELECT `{period}`, `{value}` FROM (\n{body}\n) "
-                f"WHERE CAST(`{column}` AS STRING) = '{literal}'",
-            }
-        )
-    return split
+    names = ", ".join(f"c{i}" for i in range(len(df.columns)))
+    period, number = (quoted_name(df.columns[i]) for i in (0, places[1]))
+    return [
+        {
+            **metric,
+            "name": f"{metric['name']} ({v})",
+            "sql": f"SELECT c0 AS {period}, {value} AS {number} FROM (\n{body}\n) AS t({names}) "
+            f"WHERE CAST({category} AS STRING) = {quoted_text(v)}",
+        }
+        for v in values
+    ]
 
 
 def as_facts(metrics: DataFrame) -> DataFrame:

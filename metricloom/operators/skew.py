@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 HOT_KEYS = 1024
 # Keys below this size are never worth a broadcast.
 HOT_ROWS = 10_000
-SPREAD = 1024
 
 
 def attach(
@@ -23,31 +22,17 @@ def attach(
 ) -> DataFrame:
     """Left join of ``rows`` to ``lookup``, which is unique on the text column ``key``.
 
-    ``size`` is a column of ``lookup`` with the number of rows behind a key. The
-    largest keys (at most ``HOT_KEYS``, so the broadcast is bounded) are joined
-    without moving their rows; those rows are then spread over the shuffle of the
-    remaining keys, so no task receives a whole hot group.
+    ``size`` is a column of ``lookup`` with the number of rows behind a key. Rows of the
+    largest keys (at most ``HOT_KEYS``, so the broadcast is bounded) are joined where they
+    are, without a shuffle; all others, none of which has a large key, by a shuffle.
     """
-    slim = lookup.select(key, size, *values)
-    hot = (
-        slim.where(F.col(size) >= hot_rows)
-        .orderBy(F.desc(size), key)
-        .limit(HOT_KEYS)
-        .select(
-            F.col(key).alias("_hot_key"),
-            F.struct(*values, size).alias("_hot"),
-        )
-    )
-    marked = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
-    spread = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(*rows.columns), F.lit(SPREAD)).cast("string"))
-    marked = marked.withColumn(
-        "_key", F.when(F.col("_hot").isNull() & F.col(key).isNotNull(), F.col(key)).otherwise(spread)
-    )
-    # Both sides read the same columns of the lookup, so its shuffle is made once.
-    cold = slim.select(F.col(key).alias("_cold_key"), F.struct(*values, size).alias("_cold"))
-    joined = marked.join(cold, F.col("_key") == F.col("_cold_key"), "left")
-    found = F.coalesce("_hot", "_cold")
-    return joined.select(*rows.columns, *[found[v].alias(v) for v in values])
+    slim = lookup.select(F.col(key).alias("_key"), F.struct(*values).alias("_found"), F.col(size).alias("_size"))
+    hot = F.broadcast(slim.where(F.col("_size") >= hot_rows).orderBy(F.desc("_size"), "_key").limit(HOT_KEYS))
+    same = F.col(key) == F.col("_key")
+    warm = rows.join(hot, same)
+    cold = rows.join(hot.select("_key"), same, "left_anti").join(slim, same, "left")
+    both = warm.unionByName(cold)
+    return both.select(*rows.columns, *[F.col("_found")[v].alias(v) for v in values])
 
 
 def keep_first(rows: DataFrame, keys: list[str | Column], order: list[str | Column]) -> DataFrame:

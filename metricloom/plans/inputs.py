@@ -126,18 +126,21 @@ FROM (
 QUERY_LOG = """
 SELECT user_id % 4 AS run, event_id AS pos,
   CASE WHEN event_id % 3 = 0 THEN '  ' ELSE '' END || 'SELECT count(*) FROM ' || event_type || ' WHERE k = '
-    || CAST(CAST(floor(value) AS bigint) % 40 AS STRING) || CASE WHEN event_id % 5 = 0 THEN chr(10) ELSE '' END AS sql,
+    || CAST(CAST(floor(value) AS bigint) % 40 AS STRING) || CASE WHEN event_id % 7 = 0
+    THEN repeat(' OR k IS NULL', 20) ELSE '' END || CASE WHEN event_id % 5 = 0 THEN chr(10) ELSE '' END AS sql,
   CASE WHEN event_id % 2 = 0 THEN '' ELSE 'check ' || event_type END AS reason,
   CASE WHEN event_id % 6 = 0 THEN 'Count of ' || event_type ELSE '' END AS plain_language,
-  props AS result
+  CASE WHEN event_id % 11 = 0 THEN repeat(props, 100) ELSE props END AS result
 FROM events
 """
 
-# One proposed metric per order; names repeat over runs.
+# One proposed metric per order; names repeat over runs, statements in other spellings.
 PROPOSALS = """
 SELECT o_orderkey % 3 AS run, o_orderkey AS pos,
   'Orders ' || o_orderpriority || ' of ' || CAST(o_custkey % 500 AS STRING) AS name,
-  'SELECT ' || CAST(o_orderkey AS STRING) AS sql
+  CASE WHEN o_orderkey % 2 = 0 THEN 'SELECT  ' ELSE 'select' || chr(10) END || CAST(o_orderkey % 50 AS STRING)
+    || CASE WHEN o_orderkey % 50 = 7 THEN repeat(' + 1', 40) ELSE '' END
+    || CASE WHEN o_orderkey % 3 = 0 THEN ' ;' ELSE '' END AS sql
 FROM orders
 """
 

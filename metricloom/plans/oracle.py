@@ -22,10 +22,15 @@ def _values(rows: list[tuple]) -> str:
 _NORMAL = (
     "regexp_replace(regexp_replace(regexp_replace(lower(sql), '^\\s+', ''), '\\s*;*\\s*$', ''), '\\s+', ' ', 'g')"
 )
+_TOKENS = (
+    r"list_filter(regexp_extract_all(sql, '(?s)\"[^\"]+\"|`[^`]+`|\[[^\]]+\]|''(?:[^'']|'''')*''|--[^\n]*|/\*.*?\*/|\w+|[^\s\w]'), "
+    "lambda t: NOT starts_with(t, '--') AND NOT starts_with(t, '/*'))"
+)
+_AFTER = "CASE WHEN k[i + 2] = '.' THEN k[i + 3] ELSE k[i + 1] END"
 _REFERENCED = (
-    "list_sort(list_distinct(list_transform(regexp_extract_all(sql, "
-    "'(?i)\\b(?:from|join)\\s+(?:(?:\"[^\"]+\"|`[^`]+`|\\[[^\\]]+\\]|\\w+)\\s*\\.\\s*)?"
-    "(\"[^\"]+\"|`[^`]+`|\\[[^\\]]+\\]|\\w+)', 1), lambda x: lower(trim(x, '\"`[]')))))"
+    f"list_sort(list_distinct(list_filter(list_transform([{_TOKENS}], lambda k: list_transform(range(1, len(k)), "
+    f"lambda i: CASE WHEN lower(k[i]) IN ('from', 'join') THEN lower(trim({_AFTER}, '\"`[]')) END))[1], "
+    "lambda t: t IS NOT NULL)))"
 )
 
 
@@ -232,6 +237,17 @@ _NUMERIC = {
     "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax",
     "orders": "o_orderkey o_custkey o_totalprice",
     "customer": "c_custkey c_nationkey c_acctbal",
+    "region": "r_regionkey",
+    "nation": "n_nationkey n_regionkey",
+    "supplier": "s_suppkey s_nationkey s_acctbal",
+    "part": "p_partkey p_size p_retailprice",
+    "events": "event_id user_id value",
+    "documents": "doc_id n_chars",
+    "embeddings": "vec_id label",
+    "pages": "page_id",
+    "benchmark": "item_id",
+    "labels": "doc_id quality toxic",
+    "conversations": "conv_id turn",
 }
 ORACLE["profile_numeric_stats"] = _union(
     [
@@ -250,9 +266,17 @@ ORACLE["profile_date_stats"] = _union(
 )
 
 _CATEGORICAL = {
+    "region": "r_name",
+    "nation": "n_name",
     "customer": "c_name c_mktsegment",
+    "supplier": "s_name",
     "part": "p_name p_brand p_type",
+    "orders": "o_orderstatus o_orderpriority",
+    "lineitem": "l_returnflag l_linestatus",
+    "events": "event_type props",
     "documents": "text lang source",
+    "pages": "url html",
+    "benchmark": "text",
     "conversations": "role text",
 }
 ORACLE["profile_distinct"] = _union(
@@ -267,55 +291,47 @@ ORACLE["profile_distinct"] = _union(
 def _top(table: str, column: str, k: int = 8) -> str:
     return f"""
 SELECT '{table}' AS table_name, '{column}' AS column_name, rn - 1 AS rank, value, cnt FROM (
-  SELECT {column} AS value, count(*) AS cnt, row_number() OVER (ORDER BY count(*) DESC, left({column}, 64),
-    CASE WHEN length({column}) > 64 THEN sha256({column}) ELSE '' END) AS rn
+  SELECT {column} AS value, count(*) AS cnt, row_number() OVER (ORDER BY count(*) DESC, {column}) AS rn
   FROM {table} WHERE {column} IS NOT NULL GROUP BY {column}) WHERE rn <= {k}"""
 
 
 ORACLE["profile_top_values"] = _union(
     [
         _top(t, c)
-        for t, cols in {"part": "p_name p_brand p_type", "documents": "text lang source", "events": "event_type props"}.items()
+        for t, cols in _CATEGORICAL.items()
         for c in cols.split()
     ]
 )
 
 
-def _line(table: str, ordinal: int, column: str, kind: str, categorical: bool) -> str:
-    pk = " [PK]" if column in _KEYS.get(table, []) else ""
-    if categorical:
-        detail = (
-            f"'distinct=' || (SELECT count(DISTINCT {column}) FROM {table}) || '  top=[' || (SELECT "
-            f"string_agg(value || '(' || cnt || ')', ', ' ORDER BY rank) FROM ({_top(table, column, 5)})) || ']'"
-        )
-    else:
-        show = f"strftime({{}}({column}), '%Y-%m-%d %H:%M:%S')" if "timestamp" in kind else f"{{}}({column}) + 0"
-        detail = f"'range=[' || {show.format('min')} || ' → ' || {show.format('max')} || ']'"
+def _line(table: str, ordinal: int, column: str, kind: str) -> str:
+    key = ", key" if column in inputs.PRIMARY_KEYS.get(table, []) else ""
+    shown = []
+    if column in _CATEGORICAL.get(table, "").split():
+        shown = [
+            f"(SELECT count(DISTINCT {column}) FROM {table}) || ' values'",
+            f"(SELECT string_agg(cnt || ' x ' || value, '; ' ORDER BY rank) FROM ({_top(table, column, 5)}))",
+        ]
+    elif kind != "array<float>":
+        bound = "CAST({0}({1}) AS STRING)" if "timestamp" in kind else "CAST({0}({1}) + 0 AS STRING)"
+        shown = [f"{bound.format('min', column)} || ' to ' || {bound.format('max', column)}"]
+    detail = " || ' | ' || ".join([*shown, f"(count(*) - count({column})) || ' null'"])
     return (
-        f"SELECT '{table}' AS table_name, CAST({ordinal} AS bigint) AS ordinal, '  {column}{pk}  {kind}  — ' || "
-        f"{detail} || '  nulls=' || (count(*) - count({column})) AS line FROM {table}"
+        f"SELECT '{table}' AS table_name, CAST({ordinal} AS bigint) AS ordinal, '{column} ({kind}{key}): ' || "
+        f"{detail} AS line FROM {table}"
     )
 
 
+# Types that are no bigint for numbers, and no text for the rest.
+_KINDS = dict.fromkeys(
+    "r_regionkey n_nationkey n_regionkey c_nationkey s_nationkey p_size l_linenumber label quality toxic".split(), "int"
+) | dict.fromkeys(
+    "c_acctbal s_acctbal p_retailprice o_totalprice l_quantity l_extendedprice l_discount l_tax value".split(), "double"
+) | {"o_orderdate": "timestamp_ntz", "l_shipdate": "timestamp_ntz", "ts": "timestamp_ntz", "embedding": "array<float>"}
 _SHOWN = [
-    ("nation", 0, "n_nationkey", "int", False),
-    ("nation", 1, "n_name", "string", True),
-    ("nation", 2, "n_regionkey", "int", False),
-    ("customer", 0, "c_custkey", "bigint", False),
-    ("customer", 1, "c_name", "string", True),
-    ("customer", 2, "c_nationkey", "int", False),
-    ("customer", 3, "c_acctbal", "double", False),
-    ("customer", 4, "c_mktsegment", "string", True),
-    ("orders", 0, "o_orderkey", "bigint", False),
-    ("orders", 1, "o_custkey", "bigint", False),
-    ("orders", 2, "o_orderstatus", "string", True),
-    ("orders", 3, "o_totalprice", "double", False),
-    ("orders", 4, "o_orderdate", "timestamp_ntz", False),
-    ("orders", 5, "o_orderpriority", "string", True),
-    ("events", 2, "user_id", "bigint", False),
-    ("events", 3, "event_type", "string", True),
-    ("events", 4, "value", "double", False),
-    ("events", 5, "props", "string", True),
+    (t, i, c, _KINDS.get(c, "string" if c in _CATEGORICAL.get(t, "").split() else "bigint"))
+    for t, names in _COLUMNS.items()
+    for i, c in enumerate(names.split(", "))
 ]
 ORACLE["column_lines"] = _union([_line(*row) for row in _SHOWN])
 
@@ -356,7 +372,7 @@ ORACLE["dimension_manifest"] = (
         [
             f"SELECT '{t}' AS table_name, {i} AS ordinal, '{c}' AS column_name, (SELECT count(DISTINCT {c}) FROM {t}) "
             f"AS n_distinct, (SELECT count(*) FROM {t}) AS n_rows, (SELECT string_agg(value, ',' ORDER BY value) "
-            f"FROM ({_top(t, c)})) AS \"values\""
+            f"FROM ({_top(t, c, 20)})) AS \"values\""
             for t, i, c in _TEXT_COLUMNS
         ]
     )
@@ -382,12 +398,12 @@ ORACLE["null_and_size_notes"] = (
 WITH n AS (SELECT 'o_totalprice' AS c, count(*) FILTER (o_orderkey % 4 = 0) AS nulls, count(*) AS total FROM orders
   UNION ALL SELECT 'o_custkey', count(*) FILTER (o_orderkey % 10 = 0), count(*) FROM orders
   UNION ALL SELECT 'o_orderpriority', count(*) FILTER (o_orderkey % 3 = 0), count(*) FROM orders)
-SELECT 'orders' AS table_name, '`' || c || '` has ' || format('{:,}', nulls) || ' nulls ('
-  || CAST(CAST(round_even(nulls / total * 100, 0) AS bigint) AS STRING) || '% of rows)' AS note
+SELECT 'orders' AS table_name, 'Column ' || c || ': '
+  || CAST(CAST(round_even(nulls / total * 100, 0) AS bigint) AS STRING) || '% empty (' || nulls || ' rows)' AS note
 FROM n WHERE nulls / total >= 0.2
 UNION ALL
-SELECT * FROM (SELECT table_name, '`' || table_name || '` is a small table (' || n_rows
-  || ' rows) — metrics built on it may cover only a narrow slice of data.' AS note FROM ("""
+SELECT * FROM (SELECT table_name, 'Table ' || table_name || ': only ' || n_rows
+  || ' rows, too few for firm conclusions' AS note FROM ("""
     + ORACLE["profile_table_counts"]
     + ") WHERE n_rows < 100 AND n_rows > 0)"
 )
@@ -704,11 +720,14 @@ LEFT JOIN (SELECT catalogue_id, count(*) AS n_patched FROM patches GROUP BY 1) U
 LEFT JOIN (SELECT catalogue_id, count(*) AS n_issues FROM issues GROUP BY 1) USING (catalogue_id)"""
 )
 ORACLE["refined_choice"] = _with(*_RESULTS, "facts") + """, good AS (
-  SELECT catalogue_id, name FROM results WHERE status = 'PASS' AND n_rows > 8)
+  SELECT catalogue_id, name FROM results WHERE status = 'PASS' AND n_rows > 8),
+sound AS (SELECT catalogue_id, name FROM facts WHERE status = 'PASS' AND n_rows > 2),
+alive AS (SELECT catalogue_id FROM good UNION SELECT catalogue_id FROM sound)
 SELECT catalogue_id, name, 'METRIC' AS kind FROM good
 UNION ALL SELECT catalogue_id, name, 'METRIC' FROM results
-  WHERE catalogue_id NOT IN (SELECT catalogue_id FROM good)
-UNION ALL SELECT catalogue_id, name, 'FACT' FROM facts WHERE catalogue_id NOT IN (SELECT catalogue_id FROM good)"""
+  WHERE catalogue_id NOT IN (SELECT catalogue_id FROM alive)
+UNION ALL SELECT catalogue_id, name, 'FACT' FROM sound
+UNION ALL SELECT catalogue_id, name, 'FACT' FROM facts WHERE catalogue_id NOT IN (SELECT catalogue_id FROM alive)"""
 
 # --- Serving ----------------------------------------------------------------
 
@@ -810,8 +829,8 @@ ORACLE["catalogue_tables"] = (
     + f", counts AS ({ORACLE['profile_table_counts']})"
     + """
 SELECT m.catalogue_id, m.table_name AS name, coalesce(c.n_rows, 7) AS row_count, '' AS description,
-  CASE WHEN m.table_name = 'orders' AND nulls / n_rows >= 0.2 THEN '`o_totalprice` has ' || format('{:,}', nulls) || ' nulls ('
-    || CAST(CAST(round_even(nulls / n_rows * 100, 0) AS bigint) AS STRING) || '% of rows)' ELSE '' END AS notes
+  CASE WHEN m.table_name = 'orders' AND nulls / n_rows >= 0.2 THEN 'Column o_totalprice: '
+    || CAST(CAST(round_even(nulls / n_rows * 100, 0) AS bigint) AS STRING) || '% empty (' || nulls || ' rows)' ELSE '' END AS notes
 FROM mentions m LEFT JOIN counts c USING (table_name),
   (SELECT count(*) FILTER (o_orderkey % 4 = 0) AS nulls FROM orders)"""
 )
@@ -837,14 +856,17 @@ FROM (SELECT s_suppkey, CAST(s_suppkey AS STRING) AS k FROM supplier)"""
 
 ORACLE["query_log_dedup"] = _with("log", "kept") + """
 SELECT run, pos, CASE WHEN plain_language <> '' THEN plain_language WHEN reason <> '' THEN reason ELSE 'Query' END
-  AS label, CASE WHEN length(sql) > 120 THEN left(replace(sql, chr(10), ' '), 120) || '…'
-  ELSE replace(sql, chr(10), ' ') END AS sql, result FROM kept"""
+  AS label, sql, CASE WHEN length(result) > 800 THEN left(result, 800) || chr(10) || '... (truncated)'
+  ELSE result END AS result FROM kept"""
 ORACLE["query_log_totals"] = _with("log", "kept") + """
 SELECT run, n_queries, coalesce(n_unique, 0) AS n_unique FROM (SELECT run, count(*) AS n_queries FROM log GROUP BY 1)
 LEFT JOIN (SELECT run, count(*) AS n_unique FROM kept GROUP BY 1) USING (run)"""
-ORACLE["proposal_union"] = _with("proposals") + """
-SELECT run, pos, name, sql FROM (
-  SELECT *, row_number() OVER (PARTITION BY name ORDER BY run, pos) AS rn FROM proposals) WHERE rn = 1"""
+ORACLE["proposal_union"] = _with("proposals") + f"""
+SELECT run, pos, name, CASE WHEN length(sql) > 120 THEN left(replace(sql, chr(10), ' '), 120) || '…'
+  ELSE replace(sql, chr(10), ' ') END AS sql, runs FROM (
+  SELECT arg_min(run, (run, pos)) AS run, arg_min(pos, (run, pos)) AS pos, name, arg_min(sql, (run, pos)) AS sql,
+    array_to_string(list_sort(list(DISTINCT run)), ',') AS runs
+  FROM (SELECT *, {_NORMAL} AS form FROM proposals) GROUP BY name, form)"""
 ORACLE["ledger_cost"] = _with("calls", "priced") + """
 SELECT session, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, model, round(cost, 9) AS cost, is_default FROM priced"""
 ORACLE["ledger_totals"] = _with("calls", "priced") + """

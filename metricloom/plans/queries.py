@@ -55,10 +55,10 @@ def _profile(spark: SparkSession, folder: str, *names: str, **parts) -> DataFram
     return profile.profile_columns(spark, _open(spark, folder, *names), inputs.PRIMARY_KEYS, **parts)
 
 
-def _snapshot(spark: SparkSession, folder: str, top_k: int = profile.TOP_VALUES) -> profile.Snapshot:
+def _snapshot(spark: SparkSession, folder: str, **options) -> profile.Snapshot:
     return profile.introspect(
         spark, _open(spark, folder), inputs.PRIMARY_KEYS, inputs.FOREIGN_KEYS,
-        f"parquet://reader:secret@files{folder}", "parquet", top_k,
+        f"parquet://reader:secret@files{folder}", "parquet", **options,
     )
 
 
@@ -120,7 +120,7 @@ def profile_table_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query
 def profile_numeric_stats(spark: SparkSession, folder: str) -> DataFrame:
-    columns = _profile(spark, folder, "lineitem", "orders", "customer", frequencies=False)
+    columns = _profile(spark, folder, frequencies=False)
     return columns.where("type_class = 'numeric'").select(
         "table_name",
         "column_name",
@@ -132,7 +132,7 @@ def profile_numeric_stats(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query
 def profile_date_stats(spark: SparkSession, folder: str) -> DataFrame:
-    columns = _profile(spark, folder, "lineitem", "orders", "events", frequencies=False)
+    columns = _profile(spark, folder, frequencies=False)
     return columns.where("type_class = 'date'").select(
         "table_name",
         "column_name",
@@ -144,13 +144,13 @@ def profile_date_stats(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query
 def profile_distinct(spark: SparkSession, folder: str) -> DataFrame:
-    columns = _profile(spark, folder, "customer", "part", "documents", "conversations", ranges=False)
+    columns = _profile(spark, folder, ranges=False)
     return columns.where("stat_kind = 'categorical'").select("table_name", "column_name", "n_distinct")
 
 
 @_query
 def profile_top_values(spark: SparkSession, folder: str) -> DataFrame:
-    columns = _profile(spark, folder, "part", "documents", "events", ranges=False)
+    columns = _profile(spark, folder, ranges=False)
     return columns.select("table_name", "column_name", F.posexplode("top_values").alias("rank", "v")).select(
         "table_name", "column_name", F.col("rank").cast("bigint").alias("rank"), "v.value", "v.cnt"
     )
@@ -158,8 +158,8 @@ def profile_top_values(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query
 def column_lines(spark: SparkSession, folder: str) -> DataFrame:
-    columns = _profile(spark, folder, "nation", "customer", "orders", "events")
-    return profile.column_lines(columns).where("table_name <> 'events' OR ordinal >= 2").select(
+    columns = _profile(spark, folder)
+    return profile.column_lines(columns).select(
         "table_name", F.col("ordinal").cast("bigint").alias("ordinal"), "line"
     )
 
@@ -168,7 +168,7 @@ def column_lines(spark: SparkSession, folder: str) -> DataFrame:
 def schema_lines(spark: SparkSession, folder: str) -> DataFrame:
     columns = _profile(spark, folder, frequencies=False)
     counts = columns.groupBy("table_name").agg(F.max("n_rows").alias("n_rows"))
-    return profile.compact_schema(columns).join(counts, "table_name")
+    return tables.schema_lines(columns).join(counts, "table_name")
 
 
 @_query
@@ -180,7 +180,7 @@ def sample_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query
 def table_classes(spark: SparkSession, folder: str) -> DataFrame:
-    return dimensions.table_classes(_snapshot(spark, folder))
+    return dimensions.table_classes(_snapshot(spark, folder, frequencies=False))
 
 
 @_query
@@ -454,7 +454,7 @@ def eval_family(spark: SparkSession, folder: str) -> DataFrame:
 @_query
 def eval_proposal(spark: SparkSession, folder: str) -> DataFrame:
     """Profile, propose and evaluate: every proposed metric with its status."""
-    snapshot = _snapshot(spark, folder, top_k=dimensions.MAX_DIMENSION_VALUES)
+    snapshot = _snapshot(spark, folder)
     proposed = propose.propose_metrics(snapshot)
     results = evaluate.evaluate_metrics(spark, proposed)
     return results.select("name", "sql_ok", "error", "n_rows", "status")
@@ -551,7 +551,7 @@ def covered_tables(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query
 def required_coverage(spark: SparkSession, folder: str) -> DataFrame:
-    required = dimensions.table_classes(_snapshot(spark, folder)).where("is_required")
+    required = dimensions.table_classes(_snapshot(spark, folder, frequencies=False)).where("is_required")
     entries = _metric_entries(spark, folder)
     return coverage.required_uncovered(entries, required, entries)
 
@@ -644,7 +644,7 @@ def refined_choice(spark: SparkSession, folder: str) -> DataFrame:
     columns = ["catalogue_id", "name"]
     chosen, chosen_facts = refine.choose_refined(
         results.where("status = 'PASS' AND n_rows > 8").select(*columns),
-        facts.where("status = 'PASS' AND n_rows < 0").select(*columns),
+        facts.where("status = 'PASS' AND n_rows > 2").select(*columns),
         results.select(*columns),
         facts.select(*columns),
     )
@@ -874,7 +874,8 @@ def query_log_totals(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query
 def proposal_union(spark: SparkSession, folder: str) -> DataFrame:
-    return querylog.union_proposals(_input(spark, folder, inputs.PROPOSALS))
+    union = querylog.union_proposals(_input(spark, folder, inputs.PROPOSALS))
+    return querylog.shorten_proposals(union).withColumn("runs", _list("runs"))
 
 
 def _costs(spark: SparkSession, folder: str) -> DataFrame:
@@ -908,11 +909,17 @@ def calls_per_minute(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query
 def stream_calls_per_minute(spark: SparkSession, folder: str) -> DataFrame:
-    """The same counts from a stream over the event files."""
+    """The same counts from a stream over the event files, one or a folder of them."""
     schema = _table(spark, folder, "events").schema
-    events = (
-        spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
-    )
+    files = spark.readStream.schema(schema)
+    # A stream reads folders: the table's own, or the one its only file is in.
+    table = f"{folder.rstrip('/')}/events.parquet"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table)
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if system.getFileStatus(path).isDirectory():
+        events = files.parquet(table)
+    else:
+        events = files.option("pathGlobFilter", "events.parquet").parquet(folder)
     calls = events.select(
         F.col("user_id").alias("session"),
         F.col("ts").cast("timestamp").alias("ts"),
@@ -928,6 +935,8 @@ def _scratch(spark: SparkSession) -> str:
     """A new folder under the shared checkpoint folder; a local one only in local runs."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if shared is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         return tempfile.mkdtemp(prefix="metricloom-stream-")
     return f"{shared.rstrip('/')}/stream-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
 

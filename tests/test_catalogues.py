@@ -91,11 +91,11 @@ def test_proposal_build_write_read(spark, tmp_path):
     built = assemble.build_catalogue(head, metrics, propose.propose_facts(snapshot), summary, snapshot, "rules")
     row = built.first()
     counts = {t["name"]: (t["row_count"], t["description"], t["data_quality_notes"]) for t in row["tables"]}
-    assert counts["orders"] == (399, "", ["`state` has 133 nulls (33% of rows)"])
+    assert counts["orders"] == (399, "", ["Column state: 33% empty (133 rows)"])
     assert counts["elsewhere"] == (9, "x", [])
     assert tuple(row["time_coverage"]) == ("2024-01-02", "2025-02-03")
     assert row["description"] == "" and row["key_terms"] == []
-    assert row["data_quality_notes"][-1] == "said" and "`shops` is a small table" in row["data_quality_notes"][0]
+    assert row["data_quality_notes"][-1] == "said" and "Table shops: only" in row["data_quality_notes"][0]
     assert [tuple(r) for r in row["table_relationships"]] == [("orders", "shops", "shop_id")]
     assert [m["name"] for m in row["measurable_metrics"]] == [
         r["name"] for r in metrics.orderBy("pos").select("name").collect()

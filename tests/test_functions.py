@@ -78,7 +78,7 @@ def test_metric_names(spark):
     assert one(spark, text.metric_name(F.lit("churn"), "rate")) == "Churn Rate"
     assert one(spark, text.metric_name(F.lit("accounts"), "cumulative")) == "Cumulative Accounts"
     assert one(spark, text.metric_name(F.lit("accounts"), "count", F.lit("APAC"))) == "Accounts (APAC)"
-    assert len(one(spark, text.metric_name(F.lit("a" * 80)))) == 60
+    assert len(one(spark, text.metric_name(F.lit("a" * 80)))) == 80
 
 
 @pytest.mark.parametrize(

@@ -65,11 +65,11 @@ def test_snapshot_text(spark, events):
     shot = snapshot(spark, {"events": events}, {"events": ["id"]})
     assert shot.connection == "postgresql://u:***@h/db"
     shown = profile.render_as_text(spark, shot)
-    assert "TABLE: events  (3 rows)" in shown
-    assert "  id [PK]  int  — range=[1 → 3]  nulls=0" in shown
-    assert "distinct=2  top=[alpha(2), beta(1)]  nulls=0" in shown
-    assert "  events.label  →  alpha, beta" in shown
-    assert "SAMPLE ROW" in shown
+    assert "# events, 3 rows" in shown
+    assert "id (int, key): 1 to 3 | 0 null" in shown
+    assert "2 values | 2 x alpha; 1 x beta | 0 null" in shown
+    assert "events.label: alpha, beta" in shown
+    assert "for example {" in shown
 
 
 def test_junction_lookup_required(spark, events):
@@ -142,7 +142,7 @@ def test_notes_and_coverage(spark):
     )
     cols = profile.profile_columns(spark, {"t": df, "small": df.limit(5)})
     notes = {(r["table_name"], r["column_name"]): r["note"] for r in assemble.null_notes(cols).collect()}
-    assert notes[("t", "v")] == "`v` has 250 nulls (25% of rows)"
+    assert notes[("t", "v")] == "Column v: 25% empty (250 rows)"
     tables = cols.groupBy("table_name").agg({"n_rows": "max"}).toDF("table_name", "n_rows")
     assert [r["table_name"] for r in assemble.size_notes(tables).collect()] == ["small"]
     assert tuple(assemble.time_coverage(cols).first()) == ("2024-01-01", "2026-09-26")

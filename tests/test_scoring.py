@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from metricloom.operators import scoring
 from metricloom.operators.skew import attach, keep_first, rank_rounded, upper_median
@@ -20,6 +21,14 @@ def test_attach_equals_a_left_join(spark):
     assert got == {i: f"v-{k}" if k in counted else None for i, k in enumerate(keys)}
 
 
+def test_equal_rows_of_a_hot_key_stay_where_they_are(spark):
+    rows = spark.range(0, 40_000, 1, 16).selectExpr("'hot' AS k", "7 AS x")
+    lookup = spark.createDataFrame([("hot", 40_000, "v"), ("cold", 1, "w")], "k string, n bigint, v string")
+    found = attach(rows, lookup, "k", ["v"], "n")
+    sizes = found.where("v = 'v'").groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in sizes) == 40_000 and max(r["count"] for r in sizes) <= 2_500
+
+
 def test_upper_median_equals_sorting(spark):
     rng = random.Random(5)
     groups = {

@@ -124,11 +124,21 @@ def test_query_log(spark):
     short = {r["run"]: r for r in querylog.shorten(kept).collect()}
     assert short[0]["label"] == "why" and short[1]["label"] == "plain"
     assert short[1]["result"] == "x" * 800 + "\n... (truncated)"
+    long = spark.createDataFrame([(0, 0, "SELECT " + "9" * 300, "", "", "r")], LOG)
+    assert querylog.shorten(long).first()["sql"] == "SELECT " + "9" * 300
 
 
-def test_proposals_keep_the_first_of_a_name(spark):
-    rows = spark.createDataFrame([(1, 0, "a", "late"), (0, 3, "a", "early"), (1, 1, "b", "x")], "run int, pos int, name string, sql string")
-    assert {(r["name"], r["sql"]) for r in querylog.union_proposals(rows).collect()} == {("a", "early"), ("b", "x")}
+def test_proposals_keep_every_statement(spark):
+    rows = spark.createDataFrame(
+        [(1, 0, "a", "late"), (0, 3, "a", "early"), (2, 0, "a", " LATE ;"), (1, 1, "b", "x" * 130)],
+        "run int, pos int, name string, sql string",
+    )
+    union = querylog.union_proposals(rows)
+    assert {(r["name"], r["sql"], tuple(r["runs"])) for r in union.collect()} == {
+        ("a", "early", (0,)), ("a", "late", (1, 2)), ("b", "x" * 130, (1,)),
+    }
+    cut = {r["name"]: r["sql"] for r in querylog.shorten_proposals(union).collect()}
+    assert cut["b"] == "x" * 120 + "…"
 
 
 def test_metric_builders(spark):

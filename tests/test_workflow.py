@@ -54,6 +54,27 @@ def test_refinement(spark, shop):
     assert pairs.where("status = 'FAIL'").select("name").first()["name"] == "Broken"
 
 
+def test_odd_statements_do_not_end_a_refinement(spark, shop):
+    """No number to measure, no category to split by, one name twice, category last."""
+    statements = {
+        "Texts": "SELECT day, state, kind FROM orders",
+        "Numbers": "SELECT day, count(*) AS n, 2.5 AS a FROM orders GROUP BY 1",
+        "Twice": "SELECT day, state AS x, sum(amount) AS x FROM orders GROUP BY 1, 2",
+        "Last": "SELECT day, sum(amount) AS v, state FROM orders GROUP BY 1, 3",
+        "Quoted": "SELECT day, CASE WHEN state = 'new' THEN 'b\\\\' ELSE 'it''s' END AS `s``s`, 1.0 * count(*) AS v FROM orders GROUP BY 1, 2",
+    }
+    metrics = spark.createDataFrame(
+        [metric(i, n, sql) for i, (n, sql) in enumerate(statements.items())], METRIC_ROW
+    )
+    facts = spark.createDataFrame([], FACT_ROW)
+    out = workflow.refine_catalogue(spark, metrics, facts)
+    kept = {r["name"] for r in out.metrics.collect()}
+    assert {"Twice (new)", "Twice (paid)", "Last (new)", "Last (paid)"} <= kept
+    assert len([n for n in kept if n.startswith("Quoted (")]) == 2
+    assert {r["name"] for r in out.facts.collect()} == {"Texts", "Numbers"}
+    assert all(r["sql_ok"] for r in out.metric_results.collect())
+
+
 def test_comparison(spark, shop, tmp_path):
     good = {
         "name": "Orders", "description": "", "sql": "SELECT day, sum(amount) FROM orders GROUP BY 1 ORDER BY 1",
