@@ -7,8 +7,11 @@ texts, one statement each, and a family of metrics that lies in one long table.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from functools import partial
+from itertools import islice
+from typing import TypeVar
 
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +22,7 @@ from metricloom.functions.periods import month_prefix, on_boundary
 from metricloom.functions.text import normalise_sql
 from metricloom.operators.skew import attach
 from metricloom.schemas import SERIES_STATS
+from metricloom.session import pin
 from metricloom.sources.tables import run_sql
 
 # Thresholds of the warning codes.
@@ -28,6 +32,10 @@ MAX_BAD_DATE_RATE = 0.05
 
 # Statements running at the same time.
 CONCURRENT = 8
+# Statements whose texts and rows the driver holds at a time.
+BATCH = 512
+
+T = TypeVar("T")
 
 NO_SQL = "No SQL in catalogue entry"
 
@@ -66,6 +74,31 @@ def _row(sql: str, ok: bool, error: str = "", names: list[str] | None = None, st
     return tuple(known.get(f.name) for f in SERIES_STATS.fields)
 
 
+# Signs of a failure of the cluster, which says nothing about a statement.
+LOST = (
+    "ExecutorLostFailure", "FetchFailed", "No space left on device", "OutOfMemoryError",
+    "SparkContext was shut down", "stopped SparkContext", "Connection refused", "heartbeat",
+)
+
+
+def run_twice(job: Callable[[], T]) -> T:
+    """Result of a job. Where the cluster failed it, it is tried once more and then fails
+    for good; an error of the statement itself is raised at once."""
+    try:
+        return job()
+    except Exception as error:  # noqa: BLE001 - a task failure arrives as a JVM error
+        if not any(sign in str(error) for sign in LOST):
+            raise
+    return job()
+
+
+def _own_error(error: Exception) -> str:
+    """Text of a statement's error; a failure of the cluster goes on upwards."""
+    if any(sign in str(error) for sign in LOST):
+        raise error
+    return str(error)
+
+
 def _measure(spark: SparkSession, shape_only: bool, sql: str) -> tuple:
     """Statistics of one statement, reduced to one row inside Spark. Errors of the
     statement itself show at analysis without a job, or when it runs; where only the
@@ -80,28 +113,46 @@ def _measure(spark: SparkSession, shape_only: bool, sql: str) -> tuple:
         else:
             stats = series_columns(df).agg(*_statistics())
     except PySparkException as error:
-        return _row(sql, False, str(error))
+        return _row(sql, False, _own_error(error))
     try:
-        return _row(sql, True, "", names, stats.first())
+        return _row(sql, True, "", names, run_twice(stats.first))
     except Exception as error:  # noqa: BLE001 - a task failure arrives as a JVM error
+        crash = _own_error(error)
         try:
-            df.write.format("noop").mode("overwrite").save()
+            run_twice(df.write.format("noop").mode("overwrite").save)
         except Exception as own:  # noqa: BLE001
-            return _row(sql, False, str(own))
-        return _row(sql, True, f"eval error: {error}", names)
+            return _row(sql, False, _own_error(own))
+        return _row(sql, True, f"eval error: {crash}", names)
+
+
+def each_statement(
+    spark: SparkSession, entries: DataFrame, job: Callable[[str], tuple], schema, width: int = CONCURRENT
+) -> DataFrame:
+    """Rows of ``job`` for each distinct statement of ``entries``.
+
+    Statements run a few at a time as jobs of their own, so one that fails disturbs no
+    other. The driver holds one batch of texts and their rows; a full batch is written out
+    before the next begins.
+    """
+    texts = entries.select(F.coalesce("sql", F.lit("")).alias("sql")).distinct()
+    sqls = (r["sql"] for r in texts.toLocalIterator())
+    done = None
+    with ThreadPoolExecutor(width) as pool:
+        while batch := list(islice(sqls, BATCH)):
+            rows = spark.createDataFrame(list(pool.map(job, batch)), schema)
+            if done is not None or len(batch) == BATCH:
+                rows = pin(rows)
+            done = rows if done is None else done.unionByName(rows)
+    return done if done is not None else spark.createDataFrame([], schema)
 
 
 def measure_sql(
     spark: SparkSession, entries: DataFrame, shape_only: bool = False, width: int = CONCURRENT
 ) -> DataFrame:
     """Statistics per distinct statement of ``entries``; each runs once however many
-    entries share it. Statements are submitted a few at a time as jobs of their own, so
-    one that fails disturbs no other. The driver sees statement texts and one row each.
+    entries share it. The driver sees statement texts and one row each, by the batch.
     """
-    texts = entries.select(F.coalesce("sql", F.lit("")).alias("sql")).distinct().orderBy("sql")
-    with ThreadPoolExecutor(width) as pool:
-        rows = list(pool.map(partial(_measure, spark, shape_only), (r["sql"] for r in texts.toLocalIterator())))
-    return spark.createDataFrame(rows, SERIES_STATS)
+    return each_statement(spark, entries, partial(_measure, spark, shape_only), SERIES_STATS, width)
 
 
 def apply_rules(measured: DataFrame) -> DataFrame:

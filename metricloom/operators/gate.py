@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from functools import partial
 
-from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metricloom.functions.json_text import decode_field, field_kind
 from metricloom.operators.coverage import ghost_tables
-from metricloom.operators.evaluate import CONCURRENT
+from metricloom.operators.evaluate import CONCURRENT, LOST, each_statement, run_twice
 from metricloom.schemas import TEXTS
 from metricloom.sources.tables import run_sql, union_all
 
@@ -163,19 +161,15 @@ def ghost_violations(entries: DataFrame) -> DataFrame:
 def runnable(spark: SparkSession, entries: DataFrame, width: int = CONCURRENT) -> DataFrame:
     """Entries whose statement runs. Analysis settles most without a job; what passes
     is tried on one row."""
-    texts = entries.select(F.coalesce("sql", F.lit("")).alias("sql")).distinct().orderBy("sql")
-    sqls = [r["sql"] for r in texts.toLocalIterator()]
-    with ThreadPoolExecutor(width) as pool:
-        runs = list(pool.map(partial(_runs, spark), sqls))
-    kept = spark.createDataFrame([(s,) for s, ok in zip(sqls, runs) if ok], "sql string")
-    return entries.join(kept, "sql", "left_semi")
+    tried = each_statement(spark, entries, partial(_runs, spark), "sql string, ok boolean", width)
+    return entries.join(tried.where("ok").select("sql"), "sql", "left_semi")
 
 
-def _runs(spark: SparkSession, sql: str) -> bool:
+def _runs(spark: SparkSession, sql: str) -> tuple[str, bool]:
     try:
-        run_sql(spark, sql).take(1)
-    except PySparkException:
-        return False
-    except Exception:  # noqa: BLE001 - a task failure arrives as a JVM error
-        return False
-    return True
+        run_twice(partial(run_sql(spark, sql).take, 1))
+    except Exception as error:  # noqa: BLE001 - a task failure arrives as a JVM error
+        if any(sign in str(error) for sign in LOST):
+            raise
+        return sql, False
+    return sql, True

@@ -262,3 +262,25 @@ def test_table_coverage_keeps_case(spark):
     got = [r["table_name"] for r in coverage.uncovered_tables(entries, db, mentions).collect()]
     assert got == ["orders"]
     assert coverage.required_uncovered(entries, db, entries).count() == 0
+
+
+def test_a_lost_cluster_is_no_failed_statement(spark, monkeypatch):
+    from metricloom.operators import evaluate as e
+
+    calls = []
+
+    def lost():
+        calls.append(1)
+        raise RuntimeError("Job aborted: ExecutorLostFailure (executor 3 exited)")
+
+    with pytest.raises(RuntimeError):
+        e.run_twice(lost)
+    assert len(calls) == 2
+    with pytest.raises(ValueError):
+        e.run_twice(lambda: int("x"))
+    with pytest.raises(RuntimeError):
+        e._own_error(RuntimeError("No space left on device"))
+    monkeypatch.setattr(e, "BATCH", 2)
+    entries = spark.createDataFrame([(f"SELECT {i} AS a, {i} AS b",) for i in range(5)] + [("nope",)], "sql string")
+    rows = e.measure_sql(spark, entries).collect()
+    assert len(rows) == 6 and sum(r["sql_ok"] for r in rows) == 5
