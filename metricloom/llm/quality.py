@@ -151,8 +151,8 @@ def train(
     """Fit on at most ``sample`` labelled documents of each class outside ``held_out``.
 
     The sample goes by a hash of the id. Several labels of one id count as their majority,
-    an id with a tie, a null id or a null label has none. Several rows of one id are all read
-    (no more than ``sample`` a class).
+    an id with a tie, a null id or a null label has none. Of several rows of one id the one with
+    the least features counts.
     """
     key = F.col(f"`{id_column}`").cast("long")
     label = F.col(f"`{label_column}`")
@@ -176,12 +176,17 @@ def train(
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"h": b["h"], "id": b["id"], "y": b["y"], "f": [features(t) for t in b["text"]]})
-
-    found = rows.mapInPandas(read, "h long, id long, y int, f array<double>")
-    got = []
-    for y in (0, 1):
-        got += found.where(F.col("y") == y).orderBy("h", "id", "f").limit(sample).collect()
+            found = [features(t) for t in b["text"]]
+            yield pd.DataFrame({"id": b["id"], "y": b["y"], "f": found})
+
+    # One row an id, so the bound holds whatever rows repeat.
+    got = (
+        rows.mapInPandas(read, "id long, y int, f array<double>")
+        .groupBy("id", "y")
+        .agg(F.min("f").alias("f"))
+        .orderBy("y", "id")
+        .collect()
+    )
     x = np.array([r["f"] for r in got], dtype=float).reshape(-1, FEATURES)
     return fit(x, np.array([r["y"] for r in got]))
 
