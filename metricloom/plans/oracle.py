@@ -729,6 +729,25 @@ UNION ALL SELECT catalogue_id, name, 'METRIC' FROM results
 UNION ALL SELECT catalogue_id, name, 'FACT' FROM sound
 UNION ALL SELECT catalogue_id, name, 'FACT' FROM facts WHERE catalogue_id NOT IN (SELECT catalogue_id FROM alive)"""
 
+# --- Catalogue documents ----------------------------------------------------
+
+ORACLE["catalogue_documents"] = _with("entries") + """
+SELECT label, db_stem, rank AS pos, name, stored AS sql, tables_csv AS tables, granularity, declared_start FROM (
+  SELECT *, row_number() OVER (PARTITION BY label, db_stem, name ORDER BY rank DESC) AS last FROM (
+    SELECT *, regexp_replace(regexp_replace(sql, '^\\s+', ''), '\\s*;*\\s*$', '') AS stored,
+      row_number() OVER (PARTITION BY label, db_stem ORDER BY pos) - 1 AS rank FROM entries))
+WHERE last = 1"""
+ORACLE["paired_results"] = _with(*_RESULTS) + """
+SELECT e.catalogue_id, e.pos, e.name, e.sql, e.tables_csv, r.status, r.error, r.n_rows
+FROM entries e JOIN results r USING (catalogue_id, pos)"""
+ORACLE["report_rows"] = _with(*_RESULTS) + """
+SELECT catalogue_id, pos, name, status, confidence, granularity, unit, actual_start, actual_end, duplicate_of, error,
+  n_rows, round(null_rate, 4) AS null_rate FROM results"""
+ORACLE["listed_names"] = _with("entries", "facts") + """
+SELECT name, 'METRIC' AS kind FROM (SELECT DISTINCT catalogue_id, name FROM entries)
+UNION ALL SELECT name, 'FACT' FROM (SELECT DISTINCT catalogue_id, name FROM facts)"""
+ORACLE["listed_tables"] = _union([f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in inputs.TABLES])
+
 # --- Serving ----------------------------------------------------------------
 
 ORACLE["broker_fetch"] = """

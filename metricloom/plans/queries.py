@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from metricloom.functions import coerce, json_text, periods, text
 from metricloom.operators import (
     assemble, broker, coverage, dimensions, evaluate, gate, metrics, profile, propose, querylog,
-    refine, scoring, usage,
+    refine, scoring, usage, workflow,
 )
 from metricloom.plans import inputs
-from metricloom.schemas import FACT_ROW, METRIC_ROW, PRICE_BOOK
+from metricloom.schemas import FACT_ROW, METRIC, METRIC_ROW, PRICE_BOOK
 from metricloom.session import pin
 from metricloom.sources import catalogues, tables
 from metricloom.streaming import calls as call_stream
@@ -653,6 +653,71 @@ def refined_choice(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# --- Catalogue documents ----------------------------------------------------
+
+
+@_query
+def catalogue_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Catalogues written as documents, found again and read back: one row per metric,
+    the last of a repeated name."""
+    entries = _metric_entries(spark, folder)
+    given = entries.select("*", F.lit("").alias("description"), F.lit("").alias("agent_notes"), F.col("metric_group").alias("group"))
+    metric = F.struct(*[F.col(f.name) for f in METRIC.fields])
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("pos", metric.alias("m")))), lambda x: x["m"])
+    docs = given.groupBy("label", "db_stem").agg(listed.alias("measurable_metrics")).select(
+        F.col("label").alias("model"),
+        F.concat(F.lit("parquet://files/"), "db_stem").alias("connection"),
+        "measurable_metrics",
+    )
+    root = _scratch(spark)
+    catalogues.write_catalogues(docs, root, "run")
+    read = catalogues.read_written(spark, root)
+    rows = catalogues.by_name(catalogues.metric_rows(read))
+    known = read.select("catalogue_id", F.col("model").alias("label"), text.db_stem(F.col("connection")).alias("db_stem"))
+    return rows.join(known, "catalogue_id").select(
+        "label", "db_stem", "pos", "name", "sql", _list("tables_used").alias("tables"), "granularity",
+        F.col("time_range.start").alias("declared_start"),
+    )
+
+
+@_query
+def paired_results(spark: SparkSession, folder: str) -> DataFrame:
+    entries = pin(_metric_entries(spark, folder))
+    results = _metric_results(spark, folder, entries)
+    pairs = workflow.pair_results(entries, results)
+    return pairs.select("catalogue_id", "pos", "name", "sql", "tables_csv", "status", "error", "n_rows")
+
+
+@_query
+def report_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Metric rows of the evaluation report, read back from their JSON text."""
+    items = catalogues.report_items(_metric_results(spark, folder))
+    plain = ["name", "status", "confidence", "granularity", "unit", "actual_start", "actual_end", "duplicate_of", "error"]
+    return items.select(
+        "catalogue_id",
+        "pos",
+        *[F.get_json_object("item", f"$.{c}").alias(c) for c in plain],
+        F.get_json_object("item", "$.n_rows").cast("bigint").alias("n_rows"),
+        F.get_json_object("item", "$.null_rate").cast("double").alias("null_rate"),
+    )
+
+
+@_query
+def listed_names(spark: SparkSession, folder: str) -> DataFrame:
+    """Names a broker lists; repeated names of a catalogue once."""
+    served = broker.Broker(spark, _metric_entries(spark, folder), _fact_entries(spark, folder))
+    names = served.list_metrics().withColumn("kind", F.lit("METRIC"))
+    return names.unionByName(served.list_facts().withColumn("kind", F.lit("FACT")))
+
+
+@_query
+def listed_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """Tables found by listing the folder, with their rows."""
+    found = tables.open_folder(spark, folder)
+    counts = [df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(t).alias("table_name"), "n_rows") for t, df in found.items()]
+    return tables.union_all(counts)
+
+
 # --- Serving ----------------------------------------------------------------
 
 
