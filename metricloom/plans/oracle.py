@@ -729,6 +729,24 @@ UNION ALL SELECT catalogue_id, name, 'METRIC' FROM results
 UNION ALL SELECT catalogue_id, name, 'FACT' FROM sound
 UNION ALL SELECT catalogue_id, name, 'FACT' FROM facts WHERE catalogue_id NOT IN (SELECT catalogue_id FROM alive)"""
 
+_SPLITS = (
+    ("METRIC", "'Status (' || o_orderstatus || ')'", "o_orderdate", "orders"),
+    ("METRIC", "'Flag (' || l_returnflag || ')'", "l_shipdate", "lineitem"),
+    ("FACT", "'Numbers'", "o_orderdate", "orders"),
+)
+ORACLE["split_metrics"] = _union(
+    [
+        f"SELECT '{kind}' AS kind, {name} AS name, TRUE AS sql_ok, count(DISTINCT date_trunc('month', {ts})) AS n_rows "
+        f"FROM {table} GROUP BY 2"
+        for kind, name, ts, table in _SPLITS
+    ]
+    + [
+        "SELECT 'METRIC', 'Event (' || event_type || ')', TRUE, count(DISTINCT date_trunc('day', ts)) FROM events GROUP BY 2",
+        "SELECT 'FACT', 'Customers', TRUE, count(DISTINCT (date_trunc('month', o_orderdate), o_custkey % 7)) FROM orders",
+        "SELECT 'FACT', 'Texts', TRUE, count(DISTINCT (date_trunc('month', o_orderdate), o_orderstatus)) FROM orders",
+    ]
+)
+
 # --- Catalogue documents ----------------------------------------------------
 
 ORACLE["catalogue_documents"] = _with("entries") + """

@@ -613,6 +613,40 @@ def _refined_names(entries: DataFrame, results: DataFrame) -> DataFrame:
     return actions.select("catalogue_id", renamed.alias("name"))
 
 
+# Statements of more than two columns: category second, category last, five values, one name
+# twice, too many values, no category, no number.
+_ORDER_MONTH = "SELECT date_format(o_orderdate, 'yyyy-MM') AS period"
+SPLIT_METRICS = [
+    ("Status", f"{_ORDER_MONTH}, o_orderstatus, count(*) AS n FROM orders GROUP BY 1, 2"),
+    (
+        "Flag",
+        "SELECT date_format(l_shipdate, 'yyyy-MM') AS period, sum(l_quantity) AS v, l_returnflag "
+        "FROM lineitem GROUP BY 1, 3",
+    ),
+    ("Event", "SELECT date_format(ts, 'yyyy-MM-dd') AS period, event_type AS x, count(*) AS x FROM events GROUP BY 1, 2"),
+    ("Customers", f"{_ORDER_MONTH}, CAST(o_custkey % 7 AS STRING) AS c, count(*) AS n FROM orders GROUP BY 1, 2"),
+    ("Numbers", f"{_ORDER_MONTH}, count(*) AS n, 2.5 AS a FROM orders GROUP BY 1"),
+    ("Texts", f"{_ORDER_MONTH}, o_orderstatus, max(o_orderpriority) AS p FROM orders GROUP BY 1, 2"),
+]
+
+
+@_query
+def split_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    """Refinement of wide statements: metrics by category, the rest as facts, with their rows."""
+    _open(spark, folder)
+    rows = [
+        ("wide", i, name, name, sql, ("", ""), "monthly", "count", [], "high", "", "")
+        for i, (name, sql) in enumerate(SPLIT_METRICS)
+    ]
+    refined = workflow.refine_catalogue(
+        spark, spark.createDataFrame(rows, METRIC_ROW), spark.createDataFrame([], FACT_ROW)
+    )
+    metrics_ = refined.metric_results.select(F.lit("METRIC").alias("kind"), "name", "sql_ok", "n_rows")
+    return metrics_.unionByName(
+        refined.fact_results.select(F.lit("FACT").alias("kind"), "name", "sql_ok", "n_rows")
+    )
+
+
 @_query
 def refine_actions(spark: SparkSession, folder: str) -> DataFrame:
     entries = pin(_metric_entries(spark, folder))

@@ -166,3 +166,17 @@ def test_metric_builders(spark):
     parent = spark.createDataFrame([("x", "east"), ("y", "west")], "id string, side string")
     got = metrics.cross_table_metric(df, parent, "k", "id", "ts", "annual", F.col("v"), by=["side"])
     assert series(got) == [("east", "2024-01", 5.0), ("west", "2024-01", 2.0)]
+
+
+def test_stream_reads_a_folder_of_files(spark, tmp_path):
+    from metricloom.plans.queries import QUERIES
+
+    rows = spark.range(600).selectExpr(
+        "id AS event_id", "timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id * 7) AS ts",
+        "id % 5 AS user_id", "'click' AS event_type", "CAST(id AS double) AS value", "'{}' AS props",
+    )
+    rows.repartition(5).write.parquet(str(tmp_path / "events.parquet"))
+    got = QUERIES["stream_calls_per_minute"](spark, str(tmp_path)).collect()
+    want = QUERIES["calls_per_minute"](spark, str(tmp_path)).collect()
+    key = lambda r: str(sorted(r.asDict().items()))
+    assert len(got) > 50 and sorted(got, key=key) == sorted(want, key=key)
