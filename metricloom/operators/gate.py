@@ -11,7 +11,7 @@ from metricloom.functions.json_text import decode_field, field_kind
 from metricloom.operators.coverage import ghost_tables
 from metricloom.operators.evaluate import CONCURRENT, LOST, each_statement, run_twice
 from metricloom.schemas import TEXTS
-from metricloom.sources.tables import run_sql, union_all
+from metricloom.sources.tables import run_sql
 
 # Keys a submission needs, lists that must not be empty, allowed values.
 REQUIRED_KEYS = ("tables", "measurable_metrics", "queryable_facts", "description", "overview")
@@ -37,48 +37,55 @@ def items(submissions: DataFrame, field: str) -> DataFrame:
 
 
 def item_violations(submissions: DataFrame) -> DataFrame:
-    """Rule violations per item: (submission_id, field, idx, name, rule)."""
-    parts = []
-    for field, texts in ITEM_RULES.items():
-        rows = items(submissions, field).withColumn("v", F.try_parse_json("item"))
-
-        def kind(path: str) -> Column:
-            found = F.schema_of_variant(F.try_variant_get("v", f"$.{path}", "variant"))
-            return F.coalesce(found, F.lit("absent"))
-
-        rules = [F.when(kind(t) != "STRING", F.concat(F.lit(f"{t}:"), _problem(kind(t)))) for t in texts]
-        if field == "measurable_metrics":
-            for t in ("time_range.start", "time_range.end"):
-                rules.append(F.when(kind(t) != "STRING", F.concat(F.lit(f"{t}:"), _problem(kind(t)))))
-            for name, allowed in (("granularity", GRANULARITIES), ("confidence", CONFIDENCES)):
-                value = F.get_json_object("item", f"$.{name}")
-                rules.append(
-                    F.when(
-                        F.coalesce(kind(name) != "STRING", F.lit(True))
-                        | ~F.coalesce(value.isin(*allowed), F.lit(False)),
-                        f"{name}:not_allowed",
-                    )
-                )
-            rules.append(F.when(~_is_text_list(kind("tables_used")), "tables_used:not_a_list"))
-        if field == "queryable_facts":
-            used = kind("tables_used")
-            rules.append(
-                F.when((used != "absent") & ~_is_text_list(used), "tables_used:not_a_list")
-            )
-        label = "term" if field == "key_terms" else "name"
-        name = F.lit("") if field == "table_relationships" else F.coalesce(
-            F.get_json_object("item", f"$.{label}"), F.lit("?")
-        )
-        parts.append(
-            rows.select(
-                "submission_id",
-                F.lit(field).alias("field"),
-                F.col("idx").cast("bigint").alias("idx"),
-                name.alias("name"),
-                F.explode(F.array_compact(F.array(*rules))).alias("rule"),
-            )
+    """Rule violations per item: (submission_id, field, idx, name, rule). One scan: the four
+    lists are laid end to end and each item is parsed once."""
+
+    def listed(field: str) -> Column:
+        found = F.from_json(decode_field(F.col("data"), field), TEXTS)
+        tagged = F.transform(
+            found, lambda x, i: F.struct(F.lit(field).alias("field"), i.cast("bigint").alias("idx"), x.alias("item"))
         )
-    return union_all(parts)
+        return F.coalesce(tagged, F.array().cast("array<struct<field:string,idx:bigint,item:string>>"))
+
+    rows = (
+        submissions.select("submission_id", F.inline(F.concat(*map(listed, ITEM_RULES))))
+        .where(F.ltrim("item").startswith("{"))
+        .withColumn("v", F.try_parse_json("item"))
+    )
+
+    def kind(path: str) -> Column:
+        found = F.schema_of_variant(F.try_variant_get("v", f"$.{path}", "variant"))
+        return F.coalesce(found, F.lit("absent"))
+
+    def texts(*paths: str) -> list[Column]:
+        return [F.when(kind(t) != "STRING", F.concat(F.lit(f"{t}:"), _problem(kind(t)))) for t in paths]
+
+    def one_of(name: str, allowed: tuple) -> Column:
+        known = (kind(name) == "STRING") & F.get_json_object("item", f"$.{name}").isin(*allowed)
+        return F.when(~F.coalesce(known, F.lit(False)), f"{name}:not_allowed")
+
+    used = kind("tables_used")
+    no_list = F.when(~_is_text_list(used), "tables_used:not_a_list")
+    more = {
+        "measurable_metrics": [
+            *texts("time_range.start", "time_range.end"),
+            one_of("granularity", GRANULARITIES),
+            one_of("confidence", CONFIDENCES),
+            no_list,
+        ],
+        "queryable_facts": [F.when(used != "absent", no_list)],
+    }
+    labels = {"key_terms": "term", "table_relationships": None}
+    name, rules = F.lit(None).cast("string"), F.array().cast("array<string>")
+    for field, paths in ITEM_RULES.items():
+        own = F.col("field") == field
+        label = labels.get(field, "name")
+        shown = F.coalesce(F.get_json_object("item", f"$.{label}"), F.lit("?")) if label else F.lit("")
+        name = F.when(own, shown).otherwise(name)
+        rules = F.when(own, F.array(*texts(*paths), *more.get(field, []))).otherwise(rules)
+    return rows.select(
+        "submission_id", "field", "idx", name.alias("name"), F.explode(F.array_compact(rules)).alias("rule")
+    )
 
 
 def _problem(kind: Column) -> Column:

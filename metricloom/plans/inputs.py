@@ -212,6 +212,7 @@ FROM (
     ELSE 'Supplier' END AS other
   FROM lineitem
 ) AS l
+UNION ALL SELECT 'Region', r_name FROM region
 """
 
 # One column value per event, as a mix of number and date spellings.

@@ -668,7 +668,7 @@ WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT catalogue_id, {_REFERENCED} AS
   WHERE e.catalogue_id = c.catalogue_id AND list_contains(t, f.col0) AND list_contains(t, f.col2))"""
 ORACLE["fk_waivers"] = _with("rejections") + """
 SELECT least(lower(table_a), lower(table_b)) || ',' || greatest(lower(table_a), lower(table_b)) AS pair,
-  count(*) AS n_rejections, count(*) >= 10000 AS waived FROM rejections GROUP BY 1"""
+  count(*) AS n_rejections, count(*) >= 2 AS waived FROM rejections GROUP BY 1"""
 ORACLE["table_coverage"] = _with("entries", "facts", "db", "mentions") + _UNCOVERED
 ORACLE["covered_tables"] = _with("entries", "facts", "db", "mentions") + """
 SELECT catalogue_id, count(*) AS n_covered_tables FROM mentions WHERE table_name IN (SELECT col0 FROM db) GROUP BY 1"""

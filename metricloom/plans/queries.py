@@ -532,7 +532,7 @@ def fk_coverage(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query
 def fk_waivers(spark: SparkSession, folder: str) -> DataFrame:
-    waived = coverage.waived_pairs(_input(spark, folder, inputs.REJECTIONS), cap=10_000)
+    waived = coverage.waived_pairs(_input(spark, folder, inputs.REJECTIONS))
     return waived.select(_list("pair").alias("pair"), "n_rejections", "waived")
 
 
