@@ -43,36 +43,38 @@ def _tokens(name: Column) -> Column:
     return F.array_distinct(F.concat(whole, numbered, short))
 
 
-def match_names(requests: DataFrame, names: DataFrame) -> DataFrame:
+def match_names(requests: DataFrame, names: DataFrame, within: str | None = None) -> DataFrame:
     """Best entry for each request: (request, matched_name, score), null without a match.
 
-    ``names`` has (name, pos), one row per name. An equal name (ignoring case) wins with
+    ``names`` has (name, pos), one row per name. With ``within``, a column of both sides
+    such as the catalogue, requests only meet names of the same value, and it is returned. An equal name (ignoring case) wins with
     score 1. Otherwise the score is the mean of character-sequence ratio and word
     overlap. A pair can only reach ``MIN_SCORE`` by sharing a word, or, for names of
     T characters together, at least 0.2 T - 1 character pairs; so candidates come
     from an equality join on tokens and no pair is lost.
     """
-    wanted = requests.select("request", F.lower(F.trim("request")).alias("q"))
-    distinct = wanted.groupBy("q").agg(F.count(F.lit(1)).alias("n_requests"))
-    known = names.select("name", "pos", F.lower("name").alias("n"))
+    scope = (F.col(within) if within else F.lit("")).cast("string").alias("c")
+    wanted = requests.select("request", scope, F.lower(F.trim("request")).alias("q"))
+    distinct = wanted.groupBy("c", "q").agg(F.count(F.lit(1)).alias("n_requests"))
+    known = names.select("name", "pos", scope, F.lower("name").alias("n"))
     exact = (
-        distinct.join(known, F.col("q") == F.col("n"))
-        .groupBy("q")
+        distinct.withColumn("n", F.col("q")).join(known, ["c", "n"])
+        .groupBy("c", "q")
         .agg(F.min(F.struct("pos", "name")).alias("m"))
-        .select("q", F.col("m.name").alias("matched_name"), F.lit(1.0).alias("score"))
+        .select("c", "q", F.col("m.name").alias("matched_name"), F.lit(1.0).alias("score"))
     )
-    open_requests = distinct.join(exact, "q", "left_anti").select("q")
+    open_requests = distinct.join(exact, ["c", "q"], "left_anti").select("c", "q")
     # Each request goes to one share of its tokens; the shorter name list is in every share.
     left = open_requests.select(
-        "q", F.explode(_tokens(F.col("q"))).alias("token"),
+        "c", "q", F.explode(_tokens(F.col("q"))).alias("token"),
         F.pmod(F.xxhash64("q"), F.lit(TOKEN_SALTS)).cast("int").alias("salt"),
     )
-    right = known.select("name", "pos", "n", F.explode(_tokens(F.col("n"))).alias("token")).withColumn(
+    right = known.select("c", "name", "pos", "n", F.explode(_tokens(F.col("n"))).alias("token")).withColumn(
         "salt", F.explode(F.sequence(F.lit(0), F.lit(TOKEN_SALTS - 1)))
     )
     pairs = (
-        left.join(right, ["token", "salt"])
-        .groupBy("q", "name", "pos", "n")
+        left.join(right, ["c", "token", "salt"])
+        .groupBy("c", "q", "name", "pos", "n")
         .agg(F.count_if(F.col("token").startswith("p:")).alias("shared"))
         .withColumn("overlap", jaccard(words(F.col("q")), words(F.col("n"))))
     )
@@ -91,22 +93,26 @@ def match_names(requests: DataFrame, names: DataFrame) -> DataFrame:
     )
     scored = (
         pairs.where(possible)
-        .repartition(tasks, "q")
+        .repartition(tasks, "c", "q")
         .withColumn("score", (sequence_ratio("q", "n", needed - 1e-9) + F.col("overlap")) / 2)
     )
     best = (
         scored.where(F.col("score") >= MIN_SCORE)
-        .groupBy("q")
+        .groupBy("c", "q")
         .agg(F.max(F.struct("score", (-F.col("pos")).alias("first"), "name")).alias("m"))
-        .select("q", F.col("m.name").alias("matched_name"), F.col("m.score").alias("score"))
+        .select("c", "q", F.col("m.name").alias("matched_name"), F.col("m.score").alias("score"))
     )
     # One row per distinct request, read twice below.
     matched = pin(
-        distinct.join(exact.unionByName(best), "q", "left").withColumn(
+        distinct.join(exact.unionByName(best), ["c", "q"], "left").withColumn(
             "score", F.coalesce("score", F.lit(0.0))
         )
     )
-    return attach(wanted, matched, "q", ["matched_name", "score"], "n_requests").drop("q")
+    key = F.concat_ws("\u0001", F.coalesce("c", F.lit("")), "q")
+    found = attach(
+        wanted.withColumn("k", key), matched.withColumn("k", key), "k", ["matched_name", "score"], "n_requests"
+    ).drop("k", "q")
+    return found.withColumnRenamed("c", within) if within else found.drop("c")
 
 
 def normalised_series(df: DataFrame) -> DataFrame:
