@@ -62,7 +62,9 @@ class Pieces:
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.names = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
         self.byte_ids = {int(p[3:5], 16): i for i, p in enumerate(self.names) if sp.is_byte(i)}
-        self.bytes = {i: b for b, i in self.byte_ids.items()}
+        self.raw = [p.replace(SPACE, " ").encode() for p in self.names]
+        for b, i in self.byte_ids.items():
+            self.raw[i] = bytes([b])
         self.byte_of = np.array([self.byte_ids[b] for b in range(256)], dtype=np.int32)
         plain = [
             i
@@ -114,21 +116,8 @@ class Pieces:
 
     def decode(self, ids) -> str:
         """The text of the ids, without the model's leading space."""
-        names, raw = self.names, self.bytes
-        ids = ids.tolist() if hasattr(ids, "tolist") else list(ids)
-        if raw.keys().isdisjoint(ids):
-            return "".join([names[i] for i in ids]).replace(SPACE, " ")[1:]
-        parts, run = [], bytearray()
-        for i in ids:
-            if i in raw:
-                run.append(raw[i])
-                continue
-            if run:
-                parts.append(run.decode("utf-8", "surrogatepass"))
-                run = bytearray()
-            parts.append(names[i].replace(SPACE, " "))
-        parts.append(run.decode("utf-8", "surrogatepass"))
-        return "".join(parts)[1:]
+        ids = ids.tolist() if hasattr(ids, "tolist") else ids
+        return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]
 
 
 class _Grown:
@@ -159,23 +148,38 @@ class Compiled:
 
     def clear(self) -> None:
         self.number: dict[str, int] = {}
-        self._start = _Grown(np.int32)  # of units: state
+        # Of units: state of the first character, least state of all added with them.
+        self._start, self._first_state = _Grown(np.int32), _Grown(np.int32)
         self._first, self._count = _Grown(np.int32), _Grown(np.int32)  # of states: edges
         self._logp, self._upto = _Grown(np.float64), _Grown(np.float64)  # of edges
         self._to, self._id = _Grown(np.int32), _Grown(np.int32)
         self._views()
 
+    def forget(self) -> None:
+        """Back to the units met first, among which are the frequent ones."""
+        kept = int(np.searchsorted(self._first_state.data[: self._first_state.size], KNOWN // 2))
+        if kept == self._start.size:
+            return self.clear()
+        self.number = {u: n for u, n in self.number.items() if n < kept}
+        states = int(self._first_state.data[kept])
+        edges = int(self.first[states])
+        self._start.size = self._first_state.size = kept
+        self._first.size = self._count.size = states
+        self._logp.size = self._upto.size = self._to.size = self._id.size = edges
+
     def _views(self) -> None:
         for name in ("start", "first", "count", "logp", "upto", "to", "id"):
             setattr(self, name, getattr(self, f"_{name}").data)
 
     def look_up(self, units: list[str]) -> np.ndarray:
         get = self.number.get
-        found = [get(u, -1) for u in units]
-        if -1 in found:
-            self._add(list(dict.fromkeys(u for u, n in zip(units, found, strict=True) if n < 0)))
-            found = [get(u) for u in units]
-        return np.array(found, dtype=np.int64)
+        found = np.array([get(u, -1) for u in units], dtype=np.int64)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            missing = [units[i] for i in new.tolist()]
+            self._add(list(dict.fromkeys(missing)))
+            found[new] = [get(u) for u in missing]
+        return found
 
     def _add(self, units: list[str]) -> None:
         pieces = self.pieces
@@ -203,20 +207,26 @@ class Compiled:
             places.append(at[hit])
             lengths.append(np.full(len(places[-1]), n))
             ids.append(found[hit])
-        place = np.concatenate(places[::-1])
-        length, id_ = np.concatenate(lengths[::-1]), np.concatenate(ids[::-1])
         # States in the order of their distance from the end, so that those behind come first.
-        order = np.argsort(left, kind="stable")
+        far = int(left.max(initial=0))
+        order = np.argsort(left.astype(np.uint16) if far < 2**16 else left, kind="stable")
         state = np.empty(len(codes), dtype=np.int64)
         state[order] = np.arange(len(codes))
-        own = state[place]
-        edges = np.argsort(own, kind="stable")
-        own, length, id_ = own[edges], length[edges], id_[edges]
+        # Edges by state, each state's longest first; a place has one edge of a length at most.
+        rank, count = [], np.zeros(len(codes), dtype=np.int64)
+        for at in places[::-1]:
+            rank.append(count[at])
+            count[at] += 1
+        count = count[order]
+        first = np.cumsum(count) - count
+        place = np.concatenate(places[::-1])
+        edges = first[state[place]] + np.concatenate(rank)
+        own, length, id_ = (np.empty(len(edges), dtype=np.int64) for _ in range(3))
+        own[edges] = state[place]
+        length[edges], id_[edges] = np.concatenate(lengths[::-1]), np.concatenate(ids[::-1])
         behind = order[own] + length
         last = length == left[order[own]]
         to = np.where(last, -1, state[np.minimum(behind, len(codes) - 1)])
-        count = np.bincount(own, minlength=len(codes))
-        first = np.cumsum(count) - count
         spelled = id_ < 0
         logp = pieces.logp[np.maximum(id_, 0)]
         if spelled.any():
@@ -237,6 +247,7 @@ class Compiled:
         upto[first + count - 1] = 2.0
         states, edges0 = self._first.size, self._logp.size
         self._start.add(states + state[ends - size])
+        self._first_state.add(np.full(len(units), states))
         self._first.add(edges0 + first)
         self._count.add(count)
         self._logp.add(logp)
@@ -245,10 +256,10 @@ class Compiled:
         self._id.add(id_)
         self._views()
 
-    def ids_of(self, edges: np.ndarray) -> np.ndarray:
-        ids = self.id[edges]
-        if (ids >= 0).all():
-            return ids
+    def ids_of(self, paths: list[np.ndarray]) -> list[np.ndarray]:
+        """Piece ids of each path of edges."""
+        ids = self.id[np.concatenate(paths)]
+        ends = np.cumsum([len(p) for p in paths])
         spelled = np.flatnonzero(ids < 0)
         codes = -2 - ids[spelled].astype(np.int64)
         size = np.ones(len(ids), dtype=np.int64)
@@ -259,7 +270,7 @@ class Compiled:
         for i, c in zip(at[codes > 0x7F].tolist(), codes[codes > 0x7F].tolist(), strict=True):
             raw = chr(c).encode("utf-8", "surrogatepass")
             out[i : i + len(raw)] = [self.pieces.byte_ids[b] for b in raw]
-        return out
+        return np.split(out, np.append(0, np.cumsum(size))[ends[:-1]])
 
 
 def _uniform(keys: np.ndarray) -> np.ndarray:
@@ -424,7 +435,7 @@ def log_inclusion(phi: float, kappa: float) -> float:
 def segmentations(table: Compiled, texts: list[tuple[int, str]], samples: int) -> list[list[tuple]]:
     """For each (seed, text) up to ``samples`` tuples (ids, log-probability, log-inclusion)."""
     if table._first.size > KNOWN:
-        table.clear()
+        table.forget()
     units = [table.pieces.units(t) for _, t in texts]
     flat = table.look_up([u for us in units for u in us])
     parts = np.split(flat, np.cumsum([len(us) for us in units])[:-1])
@@ -445,19 +456,15 @@ def segmentations(table: Compiled, texts: list[tuple[int, str]], samples: int) -
             s.add(path, len(he))
         if round_ + 1 < samples:
             begun = [(s, *got) for s in searches if (got := s.pop())]
+    ids = iter(table.ids_of([p.edges for s in searches for p in s.found]) if searches else ())
     found = []
     for s in searches:
         kappa = -s.queue[0][0] if s.queue else -math.inf
-        found.append(
-            [
-                (
-                    table.ids_of(p.edges),
-                    float(p.phi[-1]),
-                    0.0 if kappa == -math.inf else log_inclusion(float(p.phi[-1]), kappa),
-                )
-                for p in s.found
-            ]
-        )
+        drawn = []
+        for p in s.found:
+            phi = float(p.phi[-1])
+            drawn.append((next(ids), phi, 0.0 if kappa == -math.inf else log_inclusion(phi, kappa)))
+        found.append(drawn)
     return found
 
 
