@@ -69,6 +69,11 @@ def compare_tiles(left: np.ndarray, right: np.ndarray | None, radius: int) -> np
     the links within ``radius`` bits connect. Tiles are sorted by their bit counts."""
     found_a, found_b = [], []
     other = left if right is None else right
+    if right is None and len(left) <= 64:
+        near = np.triu(np.bitwise_count(left[:, None] ^ left) <= radius, 1)
+        a, b = np.nonzero(near)
+        kept = _forest(a, b, len(left)) if len(a) > 1 else slice(None)
+        return np.stack([left[a[kept]], left[b[kept]]], axis=1)
     ones_a, ones_b = np.bitwise_count(left), np.bitwise_count(other)
     # A row meets the part of the other tile whose bit counts are within the radius.
     low = np.searchsorted(ones_b, ones_a.astype(np.int64) - radius, "left")
@@ -142,7 +147,13 @@ def links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFram
         F.pmod(F.xxhash64("fp"), cuts).alias("cut"),
         F.when(few, F.lit(None).cast("map<int,bigint>")).otherwise(F.col("n")).alias("n"),
     )
-    tiles = dealt.groupBy("block", "part", "level", "cut").agg(
+    # Few bytes but much work a tile: a fixed count of partitions keeps all cores busy.
+    spark = prints.sparkSession
+    tasks = max(
+        4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    )
+    keys = ["block", "part", "level", "cut"]
+    tiles = dealt.repartition(tasks, *keys).groupBy(*keys).agg(
         F.collect_list("fp").alias("fps"), F.first("n").alias("n")
     )
     return _pairs_of_tiles(tiles, radius, tile)
@@ -154,13 +165,12 @@ def _pairs_of_tiles(tiles: DataFrame, radius: int, tile: int) -> DataFrame:
 
     def within(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for fps in batch["fps"]:
-                yield _frame(compare_tiles(_sorted(fps), None, radius))
+            yield _frame([compare_tiles(_sorted(fps), None, radius) for fps in batch["fps"]])
 
     def between(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for x, y in zip(batch["fps"], batch["others"], strict=True):
-                yield _frame(compare_tiles(_sorted(x), _sorted(y), radius))
+            pairs = zip(batch["fps"], batch["others"], strict=True)
+            yield _frame([compare_tiles(_sorted(x), _sorted(y), radius) for x, y in pairs])
 
     own = tiles.where(F.size("fps") > 1).select("fps").mapInPandas(within, schema)
     large = tiles.where("n IS NOT NULL")
@@ -191,7 +201,8 @@ def _sorted(fps) -> np.ndarray:
     return prints[np.argsort(np.bitwise_count(prints), kind="stable")]
 
 
-def _frame(found: np.ndarray) -> pd.DataFrame:
+def _frame(parts: list[np.ndarray]) -> pd.DataFrame:
+    found = np.concatenate([np.zeros((0, 2), dtype=np.uint64), *parts])
     return pd.DataFrame({"a": found[:, 0].view(np.int64), "b": found[:, 1].view(np.int64)})
 
 
