@@ -172,14 +172,10 @@ class Compiled:
             setattr(self, name, getattr(self, f"_{name}").data)
 
     def look_up(self, units: list[str]) -> np.ndarray:
-        get = self.number.get
-        found = np.array([get(u, -1) for u in units], dtype=np.int64)
-        new = np.flatnonzero(found < 0)
-        if len(new):
-            missing = [units[i] for i in new.tolist()]
-            self._add(list(dict.fromkeys(missing)))
-            found[new] = [get(u) for u in missing]
-        return found
+        new = set(units).difference(self.number)
+        if new:
+            self._add(list(new))
+        return np.fromiter(map(self.number.__getitem__, units), dtype=np.int64, count=len(units))
 
     def _add(self, units: list[str]) -> None:
         pieces = self.pieces
@@ -343,11 +339,13 @@ def _draw(table: Compiled, jobs: list[tuple], batch: list[tuple], found: list[li
 class _Path:
     """A segmentation: unit and edge of each step, log-probability of each beginning."""
 
-    __slots__ = ("edges", "phi", "units")
+    __slots__ = ("edges", "fall", "phi", "units")
 
     def __init__(self, table: Compiled, units: np.ndarray, edges: np.ndarray):
         self.units, self.edges = units, edges
-        self.phi = np.concatenate([[0.0], np.cumsum(table.logp[edges])])
+        self.phi = np.zeros(len(edges) + 1)
+        np.cumsum(table.logp[edges], out=self.phi[1:])
+        self.fall = -self.phi
 
 
 class _Search:
@@ -401,7 +399,7 @@ class _Search:
             u = self.uniform()
             target = phi[low] + math.log1p(u * math.expm1(phi[high] - phi[low]))
             # The first step whose log-probability falls below the target.
-            step = low + int(np.searchsorted(-phi[low + 1 : high + 1], -target, "right"))
+            step = low + int(np.searchsorted(path.fall[low + 1 : high + 1], -target, "right"))
             step = min(step, high - 1)
             while table.logp[path.edges[step]] == 0:
                 step -= 1
@@ -421,7 +419,7 @@ class _Search:
             mass = float(np.exp(table.logp[open_]).sum())
             if mass > 0:
                 self.push(float(path.phi[step]) + math.log(mass), (path, step, step, open_))
-        return np.append(path.units[:step], path.units[step]), np.append(path.edges[:step], edge)
+        return path.units[: step + 1], np.append(path.edges[:step], edge)
 
 
 def log_inclusion(phi: float, kappa: float) -> float:
