@@ -1,4 +1,4 @@
-"""Copies of benchmark items in documents: rare n-gram seeds, then local alignment."""
+"""Copies of benchmark items in documents: n-gram seeds, then local alignment."""
 
 from __future__ import annotations
 
@@ -8,15 +8,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from metricloom.llm.common import digest, pack, unpack
 from metricloom.session import pin
 
 GRAM = 4
-#: One seed, the rarest, of each so many consecutive n-grams of an item.
-STRIDE = 3
 THRESHOLD = 0.6
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Bits of the filter that the documents' n-grams pass before they are shuffled: 8 MB.
@@ -188,7 +186,6 @@ def _found(
     item_column: str,
     item_text_column: str,
     n: int,
-    stride: int,
     threshold: float,
 ) -> DataFrame:
     """(id, k0, k1, item, score, first, last) of each region that holds an item."""
@@ -210,19 +207,9 @@ def _found(
     parts = digest(F.col("words"))
     regions = pin(regions.select("*", parts[0].alias("r0"), parts[1].alias("r1")))
     hits = regions.select("r0", "r1", F.explode("grams").alias("gram"))
-    # Rarity: in how many regions an n-gram stands.
-    often = hits.groupBy("gram").agg(F.count(F.lit(1)).alias("often"))
-    block = Window.partitionBy("key", "size", F.floor(F.col("at") / stride)).orderBy(
-        "often", "gram", "at"
-    )
-    seeds = pin(
-        grams.join(often, "gram")  # n-grams that no document has find nothing
-        .withColumn("rank", F.row_number().over(block))
-        .where("rank = 1")
-        .select("gram", "key")
-        .distinct()
-    )
     # Equal regions, as copies of documents have, are aligned once.
+    # Every n-gram of an item is a seed: which of them a copy has kept is not known beforehand.
+    seeds = grams.select("gram", "key").distinct()
     pairs = hits.distinct().join(seeds, "gram").select("r0", "r1", "key").distinct()
     passages = regions.groupBy("r0", "r1").agg(F.first("words").alias("passage"))
 
@@ -230,6 +217,10 @@ def _found(
         for b in batches:
             out = []
             for x in b.itertuples(index=False):
+                # The score is at most the share of the item's words that the passage has.
+                has = set(x.passage)
+                if sum(w in has for w in x.words) < threshold * len(x.words):
+                    continue
                 score, first, last = alignment(list(x.words), list(x.passage))
                 if score >= threshold:
                     out.append((x.r0, x.r1, x.key, score, first, last))
@@ -256,16 +247,14 @@ def find_leaks(
     item_column: str = "item_id",
     item_text_column: str = "text",
     n: int = GRAM,
-    stride: int = STRIDE,
     threshold: float = THRESHOLD,
 ) -> DataFrame:
     """(id, item, score, first_word, last_word): the documents that hold a copy of an item,
     whole or edited, and where its best copy stands.
 
-    Words are runs of letters and digits, lower-cased. Of each ``stride`` consecutive
-    n-grams of an item the rarest among the documents is a seed, so a copy is found if
-    ``n + 2 * stride - 2`` words of it stand unchanged anywhere; items shorter than ``n`` are one
-    seed. The region of a document around a seed, as wide as any item and half as much
+    Words are runs of letters and digits, lower-cased. Every n-gram of an item is a seed,
+    so a copy is found if ``n`` words of it in a row stand unchanged anywhere; items shorter
+    than ``n`` are one seed. The region of a document around a seed, as wide as any item and half as much
     again, is aligned with the item (match 2, other word -1, gap -1); the score is the share
     of what the whole item would give, and a pair counts from ``threshold``.
 
@@ -275,10 +264,10 @@ def find_leaks(
 
     Documents' n-grams meet a filter of fixed size before anything is shuffled, and only
     regions around n-grams of the benchmark are. A passage in very many documents is a
-    frequent key of the join with its few seeds, which AQE splits or broadcasts.
+    frequent key of the join with the items' seeds, which AQE splits or broadcasts.
     """
     found = _found(
-        docs, benchmark, id_column, text_column, item_column, item_text_column, n, stride, threshold
+        docs, benchmark, id_column, text_column, item_column, item_text_column, n, threshold
     )
     best = found.groupBy("id", "item").agg(
         F.max(F.struct("score", (-F.col("first")).alias("before"), "last")).alias("b")
@@ -300,12 +289,11 @@ def drop_leaks(
     item_column: str = "item_id",
     item_text_column: str = "text",
     n: int = GRAM,
-    stride: int = STRIDE,
     threshold: float = THRESHOLD,
 ) -> DataFrame:
     """The rows whose text holds no item, with their columns as they were."""
     found = _found(
-        docs, benchmark, id_column, text_column, item_column, item_text_column, n, stride, threshold
+        docs, benchmark, id_column, text_column, item_column, item_text_column, n, threshold
     )
     row, names = pack(docs, [])
     key, text = F.col(f"`{id_column}`"), F.col(f"`{text_column}`")

@@ -91,3 +91,22 @@ def test_empty_tables(spark):
     assert d.find_leaks(rows.limit(0), bench).count() == 0
     assert d.find_leaks(rows, bench.limit(0)).count() == 0
     assert d.drop_leaks(rows, bench.limit(0)).count() == 2
+
+
+def test_every_seed_of_an_edited_copy_counts(spark):
+    """Whole copies make the n-grams that an edited one lost rarer than those it kept."""
+    rng = random.Random(5)
+    items = [(i, " ".join(f"w{i}x{j}" for j in range(17))) for i in range(60)]
+    docs, want = [], set()
+    for i, text in items:
+        docs.append((i, text))
+        copy = text.split()
+        for at in rng.sample(range(17), 4):
+            copy[at] = "other"
+        docs.append((1000 + i, "before it " + " ".join(copy) + " after it"))
+        run = any("other" not in copy[x : x + d.GRAM] for x in range(17 - d.GRAM + 1))
+        want |= {(i, i)} | ({(1000 + i, i)} if run and plain_score(text.split(), copy) >= d.THRESHOLD else set())
+    assert len(want) > 90
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = d.find_leaks(hard_docs(spark, docs), bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == want
