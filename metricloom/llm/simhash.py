@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,23 +21,30 @@ TILE = 1024
 SEED = 42
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """SimHash of the shingles of a text, repeats included; zero without words.
+def shingle_hashes(text: str | None, shingle: int, seed: int = SEED) -> np.ndarray:
+    """64-bit hashes of the shingles of a text in order; a shorter text is one shingle.
 
     Bytes are lower-cased and split, which touches A-Z and ASCII white space only.
     """
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     line = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     last = ends[shingle - 1 :] if len(words) >= shingle else ends[-1:]
     hashed = xxhash.xxh64_intdigest
-    hashes = np.array(
+    return np.array(
         [hashed(line[a:b], seed) for a, b in zip(starts.tolist(), last.tolist(), strict=False)],
         dtype=np.uint64,
     )
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """SimHash of the shingles of a text, repeats included; zero without words."""
+    hashes = shingle_hashes(text, shingle, seed)
+    if not len(hashes):
+        return 0
     # Long texts are tallied in bounded slices.
     ones = np.zeros(BITS, dtype=np.int64)
     for at in range(0, len(hashes), 65536):
@@ -278,6 +285,14 @@ def keep_one(
     columns have the least digest, and one of rows that are equal throughout. A row without
     an id stays only where its group has none with one. Maps take no part in the digest.
     """
+    return keep_groups(docs, id_column, text_column, lambda rows: _grouped(rows, radius, shingle, tile))
+
+
+def keep_groups(
+    docs: DataFrame, id_column: str, text_column: str, grouped: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
+    """The row that ``keep_one`` names of each group; ``grouped`` gives (id, group, k0, k1)
+    for rows (id, text, k0, k1)."""
     row, names = pack(docs, [])
     hashable = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind]
     keyed = docs.select(
@@ -289,7 +304,7 @@ def keep_one(
         *[h.alias(f"k{i}") for i, h in enumerate(digest(*hashable))],
     )
     each = (
-        _grouped(rows, radius, shingle, tile)
+        grouped(rows)
         .groupBy("k0", "k1", "group")
         .agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
     )
