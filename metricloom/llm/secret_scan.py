@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -180,6 +181,12 @@ def letter_shares(docs: DataFrame, text_column: str) -> np.ndarray:
 BINS = 64
 
 
+def _digest(token: str) -> dict[str, int]:
+    """128 bits that stand for a token, as two longs."""
+    d = xxhash.xxh3_128_digest(token)
+    return {f"d{i}": int.from_bytes(d[8 * i : 8 * i + 8], "big", signed=True) for i in (0, 1)}
+
+
 def _bin(p: float) -> int:
     return min(BINS - 1, int(-math.log2(max(p, 1e-30)) * BINS / 100))
 
@@ -208,17 +215,17 @@ def scan_secrets(
 
     ``base`` has the fixed formats, leftmost and without overlaps per kind, by start and
     kind. ``found`` has the tokens that pass the randomness battery of their encoding, that
-    words would not give, and that the false-discovery control keeps; their kind is
-    ``random_`` and the encoding. They never overlap a base span.
+    words would not give, and that the false-discovery control keeps, for which equal tokens
+    are one test; their kind is ``random_`` and the encoding. They never overlap a base span.
 
     Null and empty texts have no spans. Repeated rows come back each, input columns named
     like an output are replaced. Texts are read whole, twice (letter counts, then tokens),
-    and never shuffled; the driver gets 26 letter counts and a histogram.
+    and never shuffled, digests of tokens are; the driver gets 26 letter counts and a histogram.
     """
     words = letter_shares(docs, text_column)
     row, names = pack(docs, [text_column, "base", "found"])
     span = "array<struct<kind:string,start:int,end:int>>"
-    token = "array<struct<start:int,end:int,enc:int,size:int,bin:int>>"
+    token = "array<struct<start:int,end:int,enc:int,size:int,bin:int,d0:long,d1:long>>"
 
     @F.pandas_udf(f"struct<base:{span},tokens:{token}>")
     def scan(texts: pd.Series) -> pd.DataFrame:
@@ -229,7 +236,7 @@ def scan_secrets(
             bases.append([{"kind": k, "start": s, "end": e} for k, s, e in base])
             tokens.append(
                 [
-                    {"start": s, "end": e, "enc": k, "size": n, "bin": _bin(p)}
+                    {"start": s, "end": e, "enc": k, "size": n, "bin": _bin(p), **_digest(t[s:e])}
                     for s, e, k, n, p in candidates(t, base, words)
                 ]
             )
@@ -238,8 +245,11 @@ def scan_secrets(
     scanned = pin(docs.select(row.alias("_row"), scan(f"`{text_column}`").alias("_s")))
     counts: dict[tuple[int, int], np.ndarray] = {}
     tallied = (
+        # A token is one test however often it occurs.
         scanned.select(F.explode("_s.tokens").alias("t"))
-        .groupBy("t.enc", "t.size", "t.bin")
+        .select("t.enc", "t.size", "t.bin", "t.d0", "t.d1")
+        .distinct()
+        .groupBy("enc", "size", "bin")
         .agg(F.count(F.lit(1)).alias("n"))
     )
     for r in tallied.collect():  # encodings x length classes x bins

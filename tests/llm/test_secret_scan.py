@@ -124,3 +124,22 @@ def test_scan(spark):
     assert [x["kind"] for x in by_id[108]["base"]] == ["assign"] and by_id[108]["found"] == []
     assert not [r for r in got if r["doc_id"] not in (107, 108) and (r["base"] or r["found"])]
     assert s.scan_secrets(docs.limit(0)).count() == 0
+
+
+def test_copies_of_a_token_are_one_test(spark):
+    rng = random.Random(12)
+    words = ["stone", "river", "lights", "walking", "under", "greenhouse", "tables"]
+    text = " ".join(words)
+    share = np.array([1 + text.count(c) for c in string.ascii_lowercase], dtype=float)
+    share /= share.sum()
+    p = 1.0
+    while not 3e-5 < p < 3e-4:
+        secret = "".join(rng.choice(B62) for _ in range(20))
+        p = s.word_p_value(secret, share) if s.encoding(secret) == 5 else 1.0
+    rows = [(1, f"{text} {secret} {text}"), (2, f"{text} SomewhatLongCamelCaseName1 {text}")]
+    few = s.scan_secrets(hard_docs(spark, rows))
+    many = s.scan_secrets(hard_docs(spark, rows + rows[1:] * 4000))
+    for found in (few, many):
+        got = found.where("doc_id = 1").collect()
+        assert [tuple(x)[1:] for x in got[0]["found"]] == [(len(text) + 1, len(text) + 21)]
+    assert many.where("doc_id = 2 AND size(found) > 0").count() == 0
