@@ -6,6 +6,7 @@ import heapq
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -77,15 +78,19 @@ class Pieces:
         self.logp[plain] = alpha * np.log(weight / total)
         self.byte_logp = alpha * float(-np.log((len(plain) + BEND) * total))
         self.longest = max(len(self.names[i]) for i in plain)
-        # Pieces by hash, in open addressing.
+        # Pieces by hash, in open addressing; one step hashes a place of all pieces that have it.
         self.slots = np.full(1 << _SLOTS, -1, dtype=np.int32)
         self.hashes = np.zeros(len(self.names), dtype=np.uint64)
-        for i in plain:
-            h = np.zeros(1, dtype=np.uint64)
-            for code in _codes(self.names[i].replace(SPACE, " ")):
-                h = self.roll(h, np.array([code]))
-            self.hashes[i] = h[0]
-            at = int(self.slot(h)[0])
+        length = np.array([len(self.names[i]) for i in plain])
+        by_length = np.argsort(-length, kind="stable")
+        ids, length = np.array(plain)[by_length], length[by_length]
+        codes = _codes("".join(self.names[i] for i in ids).replace(SPACE, " "))
+        begin = np.cumsum(length) - length
+        for n in range(self.longest):
+            live = int(np.searchsorted(-length, -n, "left"))  # pieces longer than n
+            own = ids[:live]
+            self.hashes[own] = self.roll(self.hashes[own], codes[begin[:live] + n])
+        for i, at in zip(plain, self.slot(self.hashes[plain]).tolist(), strict=True):
             while self.slots[at] >= 0:
                 at = (at + 1) % len(self.slots)
             self.slots[at] = i
@@ -430,6 +435,12 @@ def log_inclusion(phi: float, kappa: float) -> float:
     return float(x if x < -30 else math.log(-math.expm1(-math.exp(x))))
 
 
+@lru_cache(maxsize=2)
+def _compiled(model: bytes, alpha: float) -> Compiled:
+    """The units compiled so far; a worker keeps them from task to task, up to ``KNOWN``."""
+    return Compiled(Pieces(model, alpha))
+
+
 def segmentations(table: Compiled, texts: list[tuple[int, str]], samples: int) -> list[list[tuple]]:
     """For each (seed, text) up to ``samples`` tuples (ids, log-probability, log-inclusion)."""
     if table._first.size > KNOWN:
@@ -513,7 +524,7 @@ def encode_samples(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = Compiled(Pieces(model.value, alpha))
+        table = _compiled(model.value, alpha)
         for batch in batches:
             texts = [t or "" for t in batch.column("_text").to_pylist()]
             keys = [
