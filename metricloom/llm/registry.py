@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 import corpus_pipeline
 from metricloom.llm import (
+    conversations,
     decontaminate,
     html_text,
     lattice,
     line_dedup,
+    merkle,
     neighbours,
+    packing,
     pii,
     quality,
     secret_scan,
@@ -143,6 +151,55 @@ def op10_piece_sampling(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@F.pandas_udf(T.LongType())
+def _crc32(ids: pd.Series) -> pd.Series:
+    """Of the ids as little-endian unsigned 32-bit numbers."""
+    return ids.map(lambda x: zlib.crc32(np.asarray(x).astype("<u4").tobytes())).astype("int64")
+
+
+def op11_packing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return packing.pack_documents(docs).select(
+        "doc_id",
+        "start",
+        F.size("ids").cast("long").alias("length"),
+        _crc32("ids").alias("ids_crc32"),
+        "doc_tokens",
+        "sequence_id",
+        "offset",
+    )
+
+
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    rows, present = conversations.damage(table(spark, folder, "conversations"))
+    found = conversations.repair(rows, present=present)
+    hashes = conversations.line_hashes(found.rows).select(F.col("conv_id").alias("_id"), "sha256")
+    return found.report.join(hashes, F.col("conv_id").eqNullSafe(F.col("_id")), "left").select(
+        *found.report.columns,
+        F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    # Tampering takes the line ends out of every second text.
+    hit = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.lit(False))
+    text = F.when(hit, F.translate("text", "\n", "")).otherwise(F.col("text"))
+    start = merkle.entry_hash([*map(F.col, columns[:-1]), text])
+    manifest = merkle.build(docs, columns, start=start)
+    root = F.lit(manifest.root).cast("string")
+    return merkle.climb(spark, manifest).select(
+        F.col("id").alias("doc_id"),
+        "leaf",
+        "subroot",
+        root.alias("root"),
+        F.sha2(F.lower(F.hex("proof")), 256).alias("proof_sha256"),
+        F.col("folded").alias("folded_root"),
+        (F.col("folded") == root).alias("verified"),
+    )
+
+
 QUERIES = {
     q.__name__: q
     for q in (
@@ -156,6 +213,9 @@ QUERIES = {
         op8_html_text,
         op9_sharding,
         op10_piece_sampling,
+        op11_packing,
+        op12_conversation_repair,
+        op13_merkle_manifest,
     )
 } | {"pipeline": corpus_pipeline.run}
 

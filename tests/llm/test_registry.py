@@ -18,7 +18,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables a
 def test_all_are_registered():
     assert set(registry.QUERIES) <= set(__spark_entry__.queries())
     numbers = sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES if n.startswith("op"))
-    assert numbers == list(range(1, 11)) and "pipeline" in registry.QUERIES
+    assert numbers == list(range(1, 14)) and "pipeline" in registry.QUERIES
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLE))
