@@ -13,19 +13,27 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricloom.llm import decontaminate, lattice, line_dedup, near_copies, quality
+from metricloom.llm import decontaminate, lattice, line_dedup, quality, simhash
 from metricloom.llm.common import table
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents whose score reaches the ranking's cut; the ranking is learned on them."""
+    """Documents whose score reaches the ranking's cut; the ranking is learned on them.
+
+    Null and empty texts get the score of an empty text, repeated rows theirs each; without
+    labels every document stays. No documents give none; other columns come along.
+    """
     model = quality.train(docs, table(spark, folder, "labels"))
     kept = quality.score_documents(docs, model).where("keep")
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents without the lines that a document before them has."""
+    """Documents without the lines that a document before them has.
+
+    A null text becomes an empty one, ``n_chars`` the new length; repeated rows of one id keep
+    their lines, which no other id holds. No documents give none.
+    """
     del spark, folder
     found = line_dedup.dedup_lines(docs)
     text = F.col("text")
@@ -34,19 +42,31 @@ def drop_shared_lines(spark: SparkSession, docs: DataFrame, folder: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    """One document of each group that SimHash links, by its operator's shingles and radius.
+
+    The least id stays. Null and empty texts have one fingerprint and form a group; repeated
+    rows leave one; no documents give none; other columns come along as they are.
+    """
     del spark, folder
-    return near_copies.keep_one(docs)
+    return simhash.keep_one(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item.
+
+    Null and empty texts hold none; repeated rows go or stay together; no documents, or no
+    items, leave the documents as they are. Other columns come along.
+    """
     return decontaminate.drop_leaks(docs, table(spark, folder, "benchmark"))
 
 
 def sample_pieces(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Sampled segmentations of each document into pieces: the documents' columns but the
-    text, then sample, ids, log_prob, log_inclusion and restored."""
+    text, then sample, ids, log_prob, log_inclusion and restored.
+
+    A null or empty text has one segmentation without ids; repeated rows are sampled alike;
+    no documents give no rows.
+    """
     del spark, folder
     return lattice.encode_samples(docs)
 
