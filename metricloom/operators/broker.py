@@ -4,115 +4,54 @@ from __future__ import annotations
 
 import warnings
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from metricloom.functions.coerce import to_value
 from metricloom.functions.similarity import jaccard, sequence_ratio, words
+from metricloom.operators.similar_names import MIN_SCORE, best_names
 from metricloom.operators.skew import attach
 from metricloom.session import pin
 from metricloom.sources.catalogues import by_name
 from metricloom.sources.tables import run_sql
 
-# Fixed value: lowest score of an approximate match.
-MIN_SCORE = 0.4
-
-# Shares of a frequent token's requests.
-TOKEN_SALTS = 16
-
-
-def _tokens(name: Column) -> Column:
-    """Words, numbered character pairs, and single characters of very short names.
-
-    The n-th occurrence of a pair is its own token, so shared pair tokens count the
-    pairs two names have in common.
-    """
-    pairs = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(name) - 1, F.lit(1))), lambda i: name.substr(i, F.lit(2))
-    )
-    numbered = F.transform(
-        pairs,
-        lambda p, i: F.concat(
-            F.lit("p:"), p, F.size(F.filter(F.slice(pairs, F.lit(1), i + 1), lambda o: o == p)).cast("string")
-        ),
-    )
-    short = F.when(
-        F.length(name) <= 4, F.transform(F.split(name, ""), lambda c: F.concat(F.lit("c:"), c))
-    ).otherwise(F.array().cast("array<string>"))
-    whole = F.transform(words(name), lambda w: F.concat(F.lit("w:"), w))
-    return F.array_distinct(F.concat(whole, numbered, short))
-
 
 def match_names(requests: DataFrame, names: DataFrame, within: str | None = None) -> DataFrame:
     """Best entry for each request: (request, matched_name, score), null without a match.
 
     ``names`` has (name, pos), one row per name. With ``within``, a column of both sides
-    such as the catalogue, requests only meet names of the same value, and it is returned. An equal name (ignoring case) wins with
-    score 1. Otherwise the score is the mean of character-sequence ratio and word
-    overlap. A pair can only reach ``MIN_SCORE`` by sharing a word, or, for names of
-    T characters together, at least 0.2 T - 1 character pairs; so candidates come
-    from an equality join on tokens and no pair is lost.
+    such as the catalogue, requests only meet names of the same value, and it is returned.
+    An equal name (ignoring case) wins with score 1. Otherwise the score is the mean of
+    character-sequence ratio and word overlap, and ``MIN_SCORE`` at least; candidates come
+    from :func:`similar_names.best_names`, which loses no best name. Of equal scores the
+    first position wins.
     """
-    scope = (F.col(within) if within else F.lit("")).cast("string").alias("c")
-    wanted = requests.select("request", scope, F.lower(F.trim("request")).alias("q"))
+    scope = F.coalesce((F.col(within) if within else F.lit("")).cast("string"), F.lit("")).alias("c")
+    own = [F.col(within).alias("_within")] if within else []
+    wanted = requests.select("request", scope, *own, F.lower(F.trim("request")).alias("q"))
     distinct = wanted.groupBy("c", "q").agg(F.count(F.lit(1)).alias("n_requests"))
-    known = names.select("name", "pos", scope, F.lower("name").alias("n"))
-    exact = (
-        distinct.withColumn("n", F.col("q")).join(known, ["c", "n"])
-        .groupBy("c", "q")
+    known = (
+        names.select(scope, F.lower("name").alias("n"), "name", "pos")
+        .groupBy("c", "n")
         .agg(F.min(F.struct("pos", "name")).alias("m"))
-        .select("c", "q", F.col("m.name").alias("matched_name"), F.lit(1.0).alias("score"))
+        .select("c", "n", "m.name", "m.pos")
     )
-    open_requests = distinct.join(exact, ["c", "q"], "left_anti").select("c", "q")
-    # Each request goes to one share of its tokens; the shorter name list is in every share.
-    left = open_requests.select(
-        "c", "q", F.explode(_tokens(F.col("q"))).alias("token"),
-        F.pmod(F.xxhash64("q"), F.lit(TOKEN_SALTS)).cast("int").alias("salt"),
-    )
-    right = known.select("c", "name", "pos", "n", F.explode(_tokens(F.col("n"))).alias("token")).withColumn(
-        "salt", F.explode(F.sequence(F.lit(0), F.lit(TOKEN_SALTS - 1)))
-    )
-    pairs = (
-        left.join(right, ["c", "token", "salt"])
-        .groupBy("c", "q", "name", "pos", "n")
-        .agg(F.count_if(F.col("token").startswith("p:")).alias("shared"))
-        .withColumn("overlap", jaccard(words(F.col("q")), words(F.col("n"))))
-    )
-    # Sharing M characters in order means sharing at least 3 M - T - 1 pairs.
-    total = F.length("q") + F.length("n")
-    needed = 2 * MIN_SCORE - F.col("overlap")
-    best_ratio = 2 * F.least(F.length("q"), F.length("n")) / total
-    possible = (F.col("shared") >= 1.5 * needed * total - total - 1 - 1e-6) & (
-        best_ratio >= needed - 1e-9
-    )
-    # Few bytes but much work per pair: a fixed partition count keeps them from being
-    # merged into few tasks, and serves the grouping by request as well.
-    spark = requests.sparkSession
-    tasks = max(
-        spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))
-    )
-    scored = (
-        pairs.where(possible)
-        .repartition(tasks, "c", "q")
-        .withColumn("score", (sequence_ratio("q", "n", needed - 1e-9) + F.col("overlap")) / 2)
-    )
-    best = (
-        scored.where(F.col("score") >= MIN_SCORE)
-        .groupBy("c", "q")
-        .agg(F.max(F.struct("score", (-F.col("pos")).alias("first"), "name")).alias("m"))
-        .select("c", "q", F.col("m.name").alias("matched_name"), F.col("m.score").alias("score"))
+    exact = distinct.join(known, (distinct["c"] == known["c"]) & (F.col("q") == F.col("n"))).select(
+        distinct["c"], "q", F.col("name").alias("matched_name"), F.lit(1.0).alias("score")
     )
+    open_requests = distinct.join(exact, ["c", "q"], "left_anti").select("c", "q")
+    best = best_names(open_requests, known)
     # One row per distinct request, read twice below.
     matched = pin(
         distinct.join(exact.unionByName(best), ["c", "q"], "left").withColumn(
             "score", F.coalesce("score", F.lit(0.0))
         )
     )
-    key = F.concat_ws("\u0001", F.coalesce("c", F.lit("")), "q")
+    key = F.concat_ws("\u0001", "c", "q")
     found = attach(
         wanted.withColumn("k", key), matched.withColumn("k", key), "k", ["matched_name", "score"], "n_requests"
-    ).drop("k", "q")
-    return found.withColumnRenamed("c", within) if within else found.drop("c")
+    ).drop("k", "q", "c")
+    return found.withColumnRenamed("_within", within) if within else found
 
 
 def normalised_series(df: DataFrame) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from metricloom.functions.coerce import date_text, reads_as_date, to_value
 from metricloom.functions.periods import month_prefix, on_boundary
 from metricloom.functions.text import normalise_sql
+from metricloom.operators.shared_scans import Form, normal_form, passes, statistics
 from metricloom.operators.skew import attach
 from metricloom.schemas import SERIES_STATS
 from metricloom.session import pin
@@ -70,7 +71,7 @@ def _row(sql: str, ok: bool, error: str = "", names: list[str] | None = None, st
     """One row of :data:`SERIES_STATS`."""
     names = names or []
     known = {"sql": sql, "sql_ok": ok, "sql_error": error, "n_cols": len(names), "col_names": names}
-    known |= stats.asDict() if stats is not None else {}
+    known |= {} if stats is None else stats if isinstance(stats, dict) else stats.asDict()
     return tuple(known.get(f.name) for f in SERIES_STATS.fields)
 
 
@@ -125,21 +126,53 @@ def _measure(spark: SparkSession, shape_only: bool, sql: str) -> tuple:
         return _row(sql, True, f"eval error: {crash}", names)
 
 
+def _measure_pass(spark: SparkSession, forms: list[Form]) -> list[tuple]:
+    """Statistics of statements that share a scan. Where the pass fails for one of them, each
+    runs alone, so that no error is charged to another."""
+    try:
+        found = run_twice(partial(statistics, spark, forms))
+    except Exception as error:  # noqa: BLE001 - a task failure arrives as a JVM error
+        _own_error(error)
+        return [_measure(spark, False, f.sql) for f in forms]
+    return [_row(f.sql, True, "", list(f.names), found[f.sql]) for f in forms]
+
+
+def _shared(spark: SparkSession, sqls: list[str], pool: ThreadPoolExecutor) -> list[Callable[[], list[tuple]]]:
+    """Work on a batch of statements: passes over those that fit together, the rest singly."""
+    forms = dict(zip(sqls, pool.map(partial(normal_form, spark), sqls), strict=True))
+    together = passes(f for f in forms.values() if f is not None)
+    shared = {f.sql for g in together if len(g) > 1 for f in g}
+    jobs = [partial(_measure_pass, spark, g) for g in together if len(g) > 1]
+    return jobs + [partial(_alone, partial(_measure, spark, False), q) for q in sqls if q not in shared]
+
+
+def _alone(job: Callable[[str], tuple], sql: str) -> list[tuple]:
+    return [job(sql)]
+
+
 def each_statement(
-    spark: SparkSession, entries: DataFrame, job: Callable[[str], tuple], schema, width: int = CONCURRENT
+    spark: SparkSession,
+    entries: DataFrame,
+    job: Callable[[str], tuple],
+    schema,
+    width: int = CONCURRENT,
+    share: bool = False,
 ) -> DataFrame:
     """Rows of ``job`` for each distinct statement of ``entries``.
 
     Statements run a few at a time as jobs of their own, so one that fails disturbs no
-    other. The driver holds one batch of texts and their rows; a full batch is written out
-    before the next begins.
+    other; with ``share``, those of one normal form share a scan (:mod:`shared_scans`). The
+    driver holds one batch of texts and their rows; a full batch is written out before the
+    next begins.
     """
     texts = entries.select(F.coalesce("sql", F.lit("")).alias("sql")).distinct()
     sqls = (r["sql"] for r in texts.toLocalIterator())
     done = None
     with ThreadPoolExecutor(width) as pool:
         while batch := list(islice(sqls, BATCH)):
-            rows = spark.createDataFrame(list(pool.map(job, batch)), schema)
+            work = _shared(spark, batch, pool) if share else [partial(_alone, job, q) for q in batch]
+            found = [row for rows in pool.map(lambda one: one(), work) for row in rows]
+            rows = spark.createDataFrame(found, schema)
             if done is not None or len(batch) == BATCH:
                 rows = pin(rows)
             done = rows if done is None else done.unionByName(rows)
@@ -150,9 +183,11 @@ def measure_sql(
     spark: SparkSession, entries: DataFrame, shape_only: bool = False, width: int = CONCURRENT
 ) -> DataFrame:
     """Statistics per distinct statement of ``entries``; each runs once however many
-    entries share it. The driver sees statement texts and one row each, by the batch.
+    entries share it, and series of one table and period share a scan. The driver sees
+    statement texts and one row each, by the batch.
     """
-    return each_statement(spark, entries, partial(_measure, spark, shape_only), SERIES_STATS, width)
+    job = partial(_measure, spark, shape_only)
+    return each_statement(spark, entries, job, SERIES_STATS, width, share=not shape_only)
 
 
 def apply_rules(measured: DataFrame) -> DataFrame:

@@ -191,6 +191,27 @@ SELECT p_partkey AS submission_id, p_partkey, p_size, p_name,
 FROM part
 """
 
+# Eight submissions of a run, one per part, with two metrics over joined tables.
+_JOIN_KINDS = """CASE {k} % 4 WHEN 0 THEN 'SELECT m, count(*) FROM orders JOIN customer c ON true'
+      WHEN 1 THEN 'SELECT m, 1 FROM public.lineitem l, x JOIN orders o ON true' WHEN 2 THEN 'SELECT 1 FROM lineitem JOIN part'
+      ELSE 'SELECT day, n FROM Events' END"""
+_JOIN_TABLES = """CASE {k} % 4 WHEN 0 THEN '"orders", "Customer"' WHEN 1 THEN '"lineitem", "orders"'
+      WHEN 2 THEN '"part"' ELSE '"events"' END"""
+_ATTEMPT_METRIC = """'{{"name": "M{i}", "description": "d", "sql": "' || {sql} || '", "time_range": {{"start": "2024-01", '
+      || '"end": "2024-12"}}, "granularity": "' || CASE WHEN p_partkey % 6 = 5 THEN 'hourly' ELSE 'monthly' END
+      || '", "unit": "count", "confidence": "high", "agent_notes": "n", "tables_used": [' || {used}
+      || CASE WHEN p_partkey % 9 = {i} THEN ', "ghost{i}"' ELSE '' END || ']}}'"""
+_FIRST = _ATTEMPT_METRIC.format(i=1, sql=_JOIN_KINDS.format(k="p_partkey"), used=_JOIN_TABLES.format(k="p_partkey"))
+_OTHER = _ATTEMPT_METRIC.format(i=2, sql=_JOIN_KINDS.format(k="k4"), used=_JOIN_TABLES.format(k="k4"))
+ATTEMPTS = f"""
+SELECT p_partkey AS submission_id, run, p_partkey AS attempt, p_partkey % 20 AS iteration, p_partkey, k4,
+  '{{"tables": ' || CASE p_partkey % 13 WHEN 0 THEN '"part"' WHEN 1 THEN '["part"]' WHEN 2 THEN '[]'
+    ELSE '[{{"name": "part"}}]' END || CASE WHEN p_partkey % 31 = 0 THEN ', "_compressed": true' ELSE '' END
+  || CASE WHEN p_partkey % 17 = 0 THEN '' ELSE ', "overview": "o"' END || ', "description": "d", "queryable_facts": [], '
+  || '"measurable_metrics": [' || {_FIRST} || CASE WHEN p_partkey % 10 = 3 THEN '' ELSE ', ' || {_OTHER} END || ']}}' AS data
+FROM (SELECT p_partkey, CAST(floor(p_partkey / 4) AS bigint) AS k4, CAST(floor(p_partkey / 8) AS bigint) AS run FROM part) AS p
+"""
+
 # One connection text per supplier.
 CONNECTIONS = """
 SELECT s_suppkey AS source_id, CASE s_suppkey % 6

@@ -775,6 +775,59 @@ _SERVED = "SELECT d AS date, CAST(v AS double) AS value FROM (" + _M + " GROUP B
 ORACLE["broker_window"] = _SERVED + "WHERE d >= '1996-03' AND d <= '1998-06'"
 ORACLE["broker_window_inclusive"] = _SERVED + "WHERE d >= '1996-03' AND left(d, 7) <= '1998-06'"
 ORACLE["broker_query"] = "SELECT DISTINCT p_brand, p_type FROM part"
+ORACLE["fuzzy_match_tokens"] = f"""
+WITH n AS (SELECT DISTINCT lower(name) AS name FROM ({inputs.PART_NAMES}) AS x),
+r AS (SELECT DISTINCT lower(trim(request)) AS request FROM ({inputs.PART_REQUESTS}) AS x),
+nw AS (SELECT name, list_distinct(list_filter(regexp_split_to_array(replace(name, '_', ' '), '\\s+'), lambda w: w <> ''))
+  AS a FROM n),
+rw AS (SELECT request, list_distinct(list_filter(regexp_split_to_array(replace(request, '_', ' '), '\\s+'),
+  lambda w: w <> '')) AS b FROM r),
+p AS (SELECT request, name, len(list_intersect(a, b)) AS shared, len(a) + len(b) AS total FROM nw, rw)
+SELECT request, name, CAST(shared AS bigint) AS shared, round(shared / (total - shared), 6) AS overlap
+FROM p WHERE shared >= 0.5 * (total - shared)
+"""
+ORACLE["submission_decision"] = f"""
+WITH a AS (SELECT run, attempt, iteration, p_partkey AS k, k4, p_partkey % 10 = 3 AS single FROM ({inputs.ATTEMPTS}) AS x),
+f AS (
+  SELECT *, k % 4 <> 0 AND (single OR k4 % 4 <> 0) AS no_oc, k % 4 <> 1 AND (single OR k4 % 4 <> 1) AS no_lo,
+    k % 9 = 1 AS g1, k % 9 = 2 AND NOT single AS g2,
+    k % 4 IN (0, 1) OR (NOT single AND k4 % 4 IN (0, 1)) AS has_orders,
+    k % 4 = 1 OR (NOT single AND k4 % 4 = 1) AS has_lineitem
+  FROM a),
+w AS (
+  SELECT *, sum(CAST(no_oc AS int)) OVER r AS n_oc, sum(CAST(no_lo AS int)) OVER r AS n_lo
+  FROM f WINDOW r AS (PARTITION BY run ORDER BY attempt)),
+j AS (
+  SELECT *,
+    concat_ws('; ', CASE WHEN no_lo AND n_lo <= 2 THEN 'lineitem-orders' END,
+      CASE WHEN no_oc AND n_oc <= 2 THEN 'orders-customer' END) AS fk,
+    concat_ws('; ', CASE WHEN g1 THEN 'M1: ghost1' END, CASE WHEN g2 THEN 'M2: ghost2' END) AS ghost,
+    concat_ws('; ', CASE WHEN NOT has_lineitem THEN 'Lineitem' END, CASE WHEN NOT has_orders THEN 'orders' END) AS req,
+    concat_ws(',', CASE WHEN n_lo - CAST(no_lo AS int) >= 2 THEN 'lineitem-orders' END,
+      CASE WHEN n_oc - CAST(no_oc AS int) >= 2 THEN 'orders-customer' END) AS waived
+  FROM w),
+hard AS (
+  SELECT *, list_filter([
+    CASE WHEN k % 13 = 0 THEN ['tables_not_list', 'text'] END, CASE WHEN k % 13 = 1 THEN ['bare_tables', 'part'] END,
+    CASE WHEN k % 31 = 0 THEN ['compressed', ''] END,
+    CASE WHEN iteration < 2 AND k % 13 > 1 AND k % 31 > 0 THEN ['too_early', iteration || '/2'] END,
+    CASE WHEN k % 17 = 0 THEN ['keys_absent', 'overview'] END, CASE WHEN k % 13 = 2 THEN ['empty_lists', 'tables'] END,
+    CASE WHEN ghost <> '' THEN ['ghost_tables', ghost] END, CASE WHEN fk <> '' THEN ['foreign_keys', fk] END
+  ], lambda x: x IS NOT NULL) AS h
+  FROM j),
+all_reasons AS (
+  SELECT *, CASE WHEN len(h) > 0 THEN h WHEN req <> '' THEN [['required_tables', req]]
+    WHEN single THEN [['too_few_metrics', '1']]
+    WHEN k % 6 = 5 THEN [['item_rules', 'measurable_metrics[0].granularity:not_allowed; '
+      || 'measurable_metrics[1].granularity:not_allowed']] ELSE [] END AS reasons
+  FROM hard),
+d AS (SELECT *, min(CASE WHEN len(reasons) = 0 THEN attempt END) OVER (PARTITION BY run) AS ends FROM all_reasons)
+SELECT run, attempt, CASE WHEN attempt > ends THEN 'closed' WHEN len(reasons) = 0 THEN 'accepted' ELSE 'rejected' END AS status,
+  CASE WHEN len(reasons) > 0 THEN reasons[1][1] END AS first_reason,
+  array_to_string(list_transform(reasons, lambda x: x[1]), ',') AS rules,
+  array_to_string(list_transform(reasons, lambda x: x[2]), '|') AS details, waived
+FROM d
+"""
 ORACLE["sql_preview"] = """
 SELECT 'grouped' AS name, 'o_orderpriority | n' || chr(10) || repeat('-', 19) || chr(10)
   || string_agg(p || ' | ' || n, chr(10) ORDER BY p) || CASE WHEN count(*) = 5 THEN chr(10) || '(truncated to 5 rows)'

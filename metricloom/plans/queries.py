@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from metricloom.functions import coerce, json_text, periods, text
 from metricloom.operators import (
-    assemble, broker, coverage, dimensions, evaluate, gate, metrics, profile, propose, querylog,
-    refine, scoring, usage, workflow,
+    assemble, broker, coverage, decision, dimensions, evaluate, gate, metrics, profile, propose, querylog,
+    refine, scoring, similar_names, usage, workflow,
 )
 from metricloom.plans import inputs
 from metricloom.schemas import FACT_ROW, METRIC, METRIC_ROW, PRICE_BOOK
@@ -787,6 +787,14 @@ def fuzzy_match(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(broker.match_names(requests, names), 3, "score")
 
 
+@_query
+def fuzzy_match_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of requests and names that have half of their words in common."""
+    names = _input(spark, folder, inputs.PART_NAMES)
+    requests = _input(spark, folder, inputs.PART_REQUESTS)
+    return _rounded(similar_names.similar_by_words(requests, names, 0.5), 6, "overlap")
+
+
 @_query
 def sql_preview(spark: SparkSession, folder: str) -> DataFrame:
     _open(spark, folder)
@@ -897,6 +905,25 @@ def submission_gate(spark: SparkSession, folder: str) -> DataFrame:
     return gate.submission_gate(_input(spark, folder, inputs.SUBMISSIONS), min_metrics=1)
 
 
+@_query
+def submission_decision(spark: SparkSession, folder: str) -> DataFrame:
+    """What becomes of each submission of a run, with the pairs waived by then."""
+    keys = spark.createDataFrame(
+        [("orders", "customer"), ("Lineitem", "orders"), ("lineitem", "part")], "from_table string, to_table string"
+    )
+    lookups = spark.createDataFrame([("Part",)], "table_name string")
+    required = spark.createDataFrame([("orders",), ("Lineitem",)], "table_name string")
+    decided = decision.decide(
+        _input(spark, folder, inputs.ATTEMPTS), keys, lookups, required, min_iterations=2, min_metrics=2
+    )
+    return decided.select(
+        "run", "attempt", "status", "first_reason",
+        F.array_join(F.transform("reasons", lambda r: r["rule"]), ",").alias("rules"),
+        F.array_join(F.transform("reasons", lambda r: r["detail"]), "|").alias("details"),
+        _list("waived").alias("waived"),
+    )
+
+
 @_query
 def submitted_notes(spark: SparkSession, folder: str) -> DataFrame:
     rows = _input(spark, folder, inputs.SUBMISSIONS)
