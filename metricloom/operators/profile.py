@@ -170,9 +170,9 @@ def _restore_long(top: DataFrame, tables: dict[str, DataFrame], cols: list[_Col]
 
 def _frequencies(
     tables: dict[str, DataFrame], cols: list[_Col], top_k: int
-) -> tuple[DataFrame, DataFrame]:
+) -> tuple[DataFrame, DataFrame | None]:
     """Distinct counts and top values of all categorical columns, from one count of
-    (column, value) pairs."""
+    (column, value) pairs. Without ``top_k`` nothing is ranked."""
     used = list(dict.fromkeys(c.table for c in cols))
     pairs = union_all([_long_form(tables[t], [c for c in cols if c.table == t]) for t in used])
     counts = (
@@ -183,12 +183,22 @@ def _frequencies(
     # Counting by a condition on cnt keeps that column in the plan, so both readers
     # of the counts share one scan and one shuffle.
     distinct = counts.groupBy("col_id").agg(F.count_if(F.col("cnt") > 0).alias("n_distinct"))
-    # The rank limit is applied before the shuffle as well, so a column of mostly distinct
-    # values sends few rows per task. Keys order like their values up to their first
-    # characters; what is tied there stays until the whole values are back.
+    if not top_k:
+        return distinct, None
+    # The k-th place by count and first characters, a row a column; keys order like their
+    # values up to there. The rank limit is applied before the shuffle as well, so each task
+    # sends k rows of a column at most. What reaches that place is a candidate, however many
+    # are tied; candidates stay where they are.
     first = F.left("key", F.lit(LONG_TEXT))
     rough = Window.partitionBy("col_id").orderBy(F.desc("cnt"), first)
-    near = counts.withColumn("rk", F.rank().over(rough)).where(F.col("rk") <= top_k).drop("rk")
+    places = counts.withColumn("rk", F.row_number().over(rough)).where(F.col("rk") <= top_k)
+    last = places.groupBy("col_id").agg(
+        F.max_by(F.struct(F.col("cnt").alias("least"), first.alias("upto")), "rk").alias("last")
+    )
+    near = counts.join(F.broadcast(last), "col_id").where(
+        (F.col("cnt") > F.col("last.least")) | ((F.col("cnt") == F.col("last.least")) & (first <= F.col("last.upto")))
+    ).drop("last")
+    # Whole values settle the ties; the limit again sends k rows a task at most.
     order = Window.partitionBy("col_id").orderBy(F.desc("cnt"), "value")
     top = _restore_long(near, tables, cols).withColumn("rn", F.row_number().over(order))
     top = top.where(F.col("rn") <= top_k)
@@ -209,7 +219,8 @@ def profile_columns(
     ranges: bool = True,
     frequencies: bool = True,
 ) -> DataFrame:
-    """Profile of every column of every table; see :class:`Snapshot`."""
+    """Profile of every column of every table; see :class:`Snapshot`. A ``top_k`` of zero
+    counts distinct values only."""
     keys = primary_keys or {}
     plan = _plan(tables)
     meta = spark.createDataFrame(
@@ -229,7 +240,7 @@ def profile_columns(
         parts += [_ranges(df, [c for c in plan if c.table == t]) for t, df in tables.items()]
     categorical = [c for c in plan if c.stats == "categorical"]
     if frequencies and categorical:
-        parts += list(_frequencies(tables, categorical, top_k))
+        parts += [p for p in _frequencies(tables, categorical, top_k) if p is not None]
     merged = parts[0]
     for part in parts[1:]:
         merged = merged.unionByName(part, allowMissingColumns=True)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from metricloom.operators.skew import attach
+from metricloom.session import pin
 
 # Price per million tokens of an unknown model, and cache price factors.
 DEFAULT_PRICE = {"input": 3.00, "output": 15.00, "cache_write": 3.75, "cache_read": 0.30}
@@ -116,6 +117,73 @@ def calls_per_minute(calls: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def _at(row: str, until: str) -> Window:
+    """Rows of a session's bucket from one place to another, by time."""
+    ends = {"first": Window.unboundedPreceding, "now": Window.currentRow, "last": Window.unboundedFollowing}
+    return Window.partitionBy("session", "bucket").orderBy("us").rangeBetween(ends[row], ends[until])
+
+
+def greedy_minutes(calls: DataFrame, seconds: int = WINDOW_SECONDS) -> DataFrame:
+    """Windows of a session that restart at the first call ``seconds`` or more after the last
+    start: (session, start, n_calls, tokens). The first window starts with the first call.
+
+    Every call points at the call that would start the next window after it. From a
+    session's first call the starts are found by pointer jumping: a round doubles how far the
+    pointers reach, so rounds grow with the logarithm of the windows, and joins are by
+    session and instant, so one busy session spreads over all tasks. Ordered work happens in
+    buckets of one window length, and once over a session's buckets, which the calendar
+    bounds.
+    """
+    width = seconds * 1_000_000
+    instants = pin(
+        calls.groupBy("session", F.unix_micros(F.col("ts").cast("timestamp")).alias("us")).agg(
+            F.count(F.lit(1)).alias("n_calls"), F.sum("output_tokens").alias("tokens")
+        )
+    )
+
+    def bucketed(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("bucket", F.floor(F.col("us") / width))
+
+    none = F.lit(None).cast("bigint")
+    seekers = instants.select("session", (F.col("us") + width).alias("us"), F.col("us").alias("origin"), none.alias("call"))
+    points = bucketed(seekers.unionByName(instants.select("session", "us", none.alias("origin"), F.col("us").alias("call"))))
+    # The first call at or after a point, in its own bucket or the next one that has calls.
+    near = points.withColumn("near", F.min("call").over(_at("now", "last"))).where("origin IS NOT NULL")
+    ahead = Window.partitionBy("session").orderBy("bucket").rowsBetween(1, Window.unboundedFollowing)
+    later = points.groupBy("session", "bucket").agg(F.min("call").alias("first")).select(
+        "session", "bucket", F.min("first").over(ahead).alias("later")
+    )
+    jumps = pin(
+        near.join(later, ["session", "bucket"])
+        .select("session", F.col("origin").alias("us"), F.coalesce("near", "later").alias("to"))
+        .where("to IS NOT NULL")
+    )
+    heads = instants.groupBy("session").agg(F.min("us").alias("us"))
+    starts = pin(heads)
+    # Only calls that some call points at, and the first ones, can be starts.
+    reached = jumps.select("session", F.col("to").alias("us")).union(heads).distinct()
+    jumps = pin(jumps.join(reached, ["session", "us"], "left_semi"))
+    while True:
+        found = starts.join(jumps, ["session", "us"]).select("session", F.col("to").alias("us"))
+        grown = pin(starts.union(found).distinct())
+        if grown.count() == starts.count():
+            break
+        starts = grown
+        on = jumps.select("session", F.col("us").alias("to"), F.col("to").alias("beyond"))
+        jumps = pin(jumps.join(on, ["session", "to"]).select("session", "us", F.col("beyond").alias("to")))
+    # A call lies in the window of the last start before it, in its bucket or the one before.
+    begun = bucketed(starts.withColumn("start", F.col("us"))).withColumn(
+        "bucket", F.explode(F.array("bucket", F.col("bucket") + 1))
+    )
+    each = bucketed(instants).unionByName(begun, allowMissingColumns=True)
+    placed = each.withColumn("start", F.max("start").over(_at("first", "now"))).where("n_calls IS NOT NULL")
+    return (
+        placed.groupBy("session", "start")
+        .agg(F.sum("n_calls").alias("n_calls"), F.sum("tokens").alias("tokens"))
+        .withColumn("start", F.timestamp_micros("start"))
+    )
+
+
 def trailing_tokens(
     calls: DataFrame, limit: int, expected: int = 0, seconds: int = WINDOW_SECONDS, span: int = 10
 ) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import partial
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,23 +39,24 @@ def _category_parts(spark: SparkSession, metric: dict) -> tuple[tuple, list[dict
 
 def _categories(spark: SparkSession, metrics: DataFrame, results: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Category counts of statements with more than two columns, and the metrics that
-    the small ones split into. Each such statement is a job or two of its own."""
+    the small ones split into. Each such statement is a job or two of its own; the driver
+    holds one batch of them, which is written out before the next begins."""
     wide = results.where(F.array_contains(F.split("error", ", "), "extra_cols"))
     entries = metrics.join(wide.select("catalogue_id", "name"), ["catalogue_id", "name"])
-    with ThreadPoolExecutor(evaluate.CONCURRENT) as pool:
-        found = list(
-            pool.map(
-                partial(_category_parts, spark),
-                (r.asDict(recursive=True) for r in entries.toLocalIterator()),
-            )
-        )
+    rows = (r.asDict(recursive=True) for r in entries.toLocalIterator())
     fields = [f.name for f in METRIC_ROW.fields]
-    return (
-        spark.createDataFrame(
-            [count for count, _ in found], "catalogue_id string, name string, n_categories bigint"
-        ),
-        spark.createDataFrame([tuple(p[f] for f in fields) for _, ps in found for p in ps], METRIC_ROW),
-    )
+    counts = spark.createDataFrame([], "catalogue_id string, name string, n_categories bigint")
+    splits = spark.createDataFrame([], METRIC_ROW)
+    with ThreadPoolExecutor(evaluate.CONCURRENT) as pool:
+        while batch := list(islice(rows, evaluate.BATCH)):
+            found = list(pool.map(partial(_category_parts, spark), batch))
+            more = spark.createDataFrame([count for count, _ in found], counts.schema)
+            parts = [tuple(p[f] for f in fields) for _, ps in found for p in ps]
+            split = spark.createDataFrame(parts, METRIC_ROW)
+            if len(batch) == evaluate.BATCH:
+                more, split = pin(more), pin(split)
+            counts, splits = counts.unionByName(more), splits.unionByName(split)
+    return counts, splits
 
 
 def refine_catalogue(spark: SparkSession, metrics: DataFrame, facts: DataFrame) -> Refined:

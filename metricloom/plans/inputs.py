@@ -40,6 +40,22 @@ FOREIGN_KEYS = [
     ("labels", ["doc_id"], "documents", ["doc_id"]),
 ]
 
+# Columns whose text is the same in every engine, for samples.
+SAMPLED = {
+    "region": ["r_regionkey", "r_name"],
+    "nation": ["n_nationkey", "n_name", "n_regionkey"],
+    "customer": ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"],
+    "supplier": ["s_suppkey", "s_name", "s_nationkey"],
+    "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size"],
+    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"],
+    "events": ["event_id", "user_id", "event_type", "props"],
+    "documents": ["doc_id", "text", "lang", "source", "n_chars"],
+    "pages": ["page_id", "url", "html"],
+    "benchmark": ["item_id", "text"],
+    "labels": ["doc_id", "quality", "toxic"],
+    "conversations": ["conv_id", "turn", "role", "text"],
+}
+
 # One metric entry per customer. Every fourth customer shares one statement.
 CUSTOMER_METRICS = """
 SELECT n_name || '/' || c_mktsegment AS catalogue_id, c_mktsegment AS label, n_name AS db_stem,
@@ -212,6 +228,21 @@ SELECT p_partkey AS submission_id, run, p_partkey AS attempt, p_partkey % 20 AS
 FROM (SELECT p_partkey, CAST(floor(p_partkey / 4) AS bigint) AS k4, CAST(floor(p_partkey / 8) AS bigint) AS run FROM part) AS p
 """
 
+# One document file per supplier, some cut off, of another shape, or encoded once more.
+DOCUMENT_FILES = """
+SELECT s_suppkey, CASE s_suppkey % 7
+  WHEN 1 THEN substr(whole, 1, length(whole) - 3) WHEN 2 THEN '[' || whole || ']' WHEN 3 THEN replace(whole, 'connection', 'link')
+  ELSE whole END AS value
+FROM (
+  SELECT s_suppkey, '{"connection": "parquet://files/db' || CAST(s_nationkey AS STRING) || '", "measurable_metrics": '
+    || CASE s_suppkey % 4
+      WHEN 0 THEN '[{"name": "' || s_name || '", "sql": "SELECT 1;"}]'
+      WHEN 1 THEN '"[{' || q || 'name' || q || ': ' || q || s_name || q || '}, {' || q || 'name' || q || ': ' || q || 'N' || q || '}]"'
+      WHEN 2 THEN '"none"' ELSE '[]' END || '}' AS whole
+  FROM (SELECT s_suppkey, s_name, s_nationkey, chr(92) || '"' AS q FROM supplier) AS s
+) AS d
+"""
+
 # One connection text per supplier.
 CONNECTIONS = """
 SELECT s_suppkey AS source_id, CASE s_suppkey % 6

@@ -286,6 +286,14 @@ ORACLE["profile_distinct"] = _union(
         for c in cols.split()
     ]
 )
+ORACLE["profile_distinct_sketch"] = _union(
+    [
+        f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) AS n_rows, count(*) - count({c}) AS n_null, "
+        f"TRUE AS same_at_once, TRUE AS within_error FROM {t}"
+        for t, cols in _CATEGORICAL.items()
+        for c in cols.split()
+    ]
+)
 
 
 def _top(table: str, column: str, k: int = 8) -> str:
@@ -348,6 +356,81 @@ ORACLE["sample_rows"] = _union(
     ]
 )
 
+ORACLE["sample_contents"] = _union(
+    [
+        f"SELECT '{t}' AS table_name, CAST(pos AS int) AS pos, '{c}' AS column_name, CAST({c} AS VARCHAR) AS value FROM ("
+        f"SELECT row_number() OVER (ORDER BY {', '.join(inputs.PRIMARY_KEYS[t])}) - 1 AS pos, * FROM {t}) AS x WHERE pos < 5"
+        for t, columns in inputs.SAMPLED.items()
+        for c in columns
+    ]
+)
+
+_NUMBERS = {
+    "region": "r_regionkey",
+    "nation": "n_nationkey n_regionkey",
+    "customer": "c_custkey c_nationkey",
+    "supplier": "s_suppkey s_nationkey",
+    "part": "p_partkey p_size",
+    "orders": "o_orderkey o_custkey",
+    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber",
+    "events": "event_id user_id",
+    "documents": "doc_id n_chars",
+    "embeddings": "vec_id label",
+    "pages": "page_id",
+    "benchmark": "item_id",
+    "labels": "doc_id quality toxic",
+    "conversations": "conv_id turn",
+}
+_NUMBERS = {t: columns.split() for t, columns in _NUMBERS.items()}
+_SINGLES = [
+    (t, c) for t in inputs.TABLES for c in (*_NUMBERS[t], *_CATEGORICAL.get(t, "").split())
+]
+_STEMS = {c: c.split("_", 1)[1] if c.index("_") <= 2 else c for cs in _NUMBERS.values() for c in cs if "_" in c}
+_LINKS = [
+    (a, x, b, y)
+    for a, xs in _NUMBERS.items()
+    for x in xs
+    for b, ys in _NUMBERS.items()
+    for y in ys
+    if a != b and _STEMS.get(x, x) == _STEMS.get(y, y)
+]
+
+
+def _is_key(table: str, *columns: str) -> str:
+    full = " AND ".join(f"{c} IS NOT NULL" for c in columns)
+    return (
+        f"(SELECT count(*) > 0 AND count(*) = count(*) FILTER (WHERE {full}) "
+        f"AND count(*) = count(DISTINCT ({', '.join(columns)})) FROM {table})"
+    )
+
+
+ORACLE["inferred_keys"] = (
+    "WITH s AS ("
+    + _union([f"SELECT '{t}' AS table_name, '{c}' AS column_names WHERE {_is_key(t, c)}" for t, c in _SINGLES])
+    + "), p AS ("
+    + _union(
+        [
+            f"SELECT '{t}' AS table_name, '{a},{b}' AS column_names WHERE {_is_key(t, a, b)}"
+            for t, cs in _NUMBERS.items()
+            for i, a in enumerate(cs)
+            for b in cs[i + 1 :]
+        ]
+    )
+    + "), l AS ("
+    + _union(
+        [
+            f"SELECT '{a}' AS table_name, '{x}' AS column_names, '{b}' AS to_table, '{y}' AS to_column "
+            f"WHERE EXISTS (SELECT 1 FROM s WHERE table_name = '{b}' AND column_names = '{y}') AND NOT EXISTS "
+            f"(SELECT {x} FROM {a} WHERE {x} IS NOT NULL EXCEPT SELECT {y} FROM {b}) AND EXISTS (SELECT 1 FROM {a} WHERE {x} IS NOT NULL)"
+            for a, x, b, y in _LINKS
+        ]
+    )
+    + ") SELECT *, '' AS to_table, '' AS to_column FROM s UNION ALL "
+    "SELECT *, '', '' FROM p WHERE table_name NOT IN (SELECT table_name FROM s WHERE column_names IN ("
+    + ", ".join(f"'{c}'" for c in sorted({c for cs in _NUMBERS.values() for c in cs}))
+    + ")) UNION ALL SELECT * FROM l"
+)
+
 _TEMPORAL = ("orders", "lineitem", "events")
 ORACLE["table_classes"] = _union(
     [
@@ -750,11 +833,26 @@ ORACLE["split_metrics"] = _union(
 # --- Catalogue documents ----------------------------------------------------
 
 ORACLE["catalogue_documents"] = _with("entries") + """
-SELECT label, db_stem, rank AS pos, name, stored AS sql, tables_csv AS tables, granularity, declared_start FROM (
+SELECT label, db_stem, CAST(length(db_stem) AS int) AS run_index, rank AS pos, name, stored AS sql, tables_csv AS tables,
+  granularity, declared_start FROM (
   SELECT *, row_number() OVER (PARTITION BY label, db_stem, name ORDER BY rank DESC) AS last FROM (
     SELECT *, regexp_replace(regexp_replace(sql, '^\\s+', ''), '\\s*;*\\s*$', '') AS stored,
       row_number() OVER (PARTITION BY label, db_stem ORDER BY pos) - 1 AS rank FROM entries))
 WHERE last = 1"""
+ORACLE["appended_documents"] = _with("entries") + """
+SELECT label AS model, 2 * count(DISTINCT db_stem) AS n_catalogues, 2 * count(*) AS n_metrics FROM (
+  SELECT DISTINCT label, db_stem, name FROM entries) GROUP BY label"""
+ORACLE["broken_documents"] = """
+SELECT s_suppkey, CASE WHEN s_suppkey % 7 = 1 THEN 'no JSON' WHEN s_suppkey % 7 = 2 THEN 'no object'
+    WHEN s_suppkey % 4 = 2 THEN 'other content: measurable_metrics' WHEN s_suppkey % 7 = 3 THEN 'no connection' ELSE '' END AS reason,
+  CASE WHEN s_suppkey % 7 IN (1, 2, 3) OR s_suppkey % 4 = 2 THEN NULL ELSE 'db' || s_nationkey END AS db_stem,
+  CASE WHEN s_suppkey % 7 IN (1, 2, 3) OR s_suppkey % 4 = 2 THEN NULL WHEN s_suppkey % 4 = 0 THEN s_name
+    WHEN s_suppkey % 4 = 1 THEN s_name || ',N' ELSE '' END AS names
+FROM supplier"""
+ORACLE["compared_catalogues"] = """
+SELECT label, 'shop' AS db_stem, CAST(CASE label WHEN 'sound' THEN 1 ELSE 2 END AS bigint) AS rank, CAST(0 AS bigint) AS unmatched,
+  (SELECT count(DISTINCT o_orderpriority) FROM orders) AS n_metrics
+FROM (SELECT 'sound' AS label UNION ALL SELECT 'broken') AS m"""
 ORACLE["paired_results"] = _with(*_RESULTS) + """
 SELECT e.catalogue_id, e.pos, e.name, e.sql, e.tables_csv, r.status, r.error, r.n_rows
 FROM entries e JOIN results r USING (catalogue_id, pos)"""
@@ -850,6 +948,7 @@ FROM (SELECT count(*) FROM orders)"""
 _SCORES = (*_RESULTS, "facts", "db", "mentions", "cats", "counted", "spans", "scores")
 ORACLE["catalogue_scores"] = _with(*_SCORES) + """
 SELECT * EXCLUDE (raw), round_even(raw, 1) AS composite FROM scores"""
+ORACLE["stored_scores"] = _with(*_SCORES) + "SELECT db_stem, catalogue_id, round_even(raw, 1) AS composite FROM scores"
 ORACLE["catalogue_ranking"] = _with(*_SCORES) + """
 SELECT db_stem, catalogue_id, round_even(raw, 1) AS composite,
   rank() OVER (PARTITION BY db_stem ORDER BY round_even(raw, 1) DESC) AS rank FROM scores"""
@@ -988,4 +1087,17 @@ FROM (
 
 
 ORACLE["trailing_tokens"] = _with("calls") + _trailing("session", 60, 400)
+ORACLE["stream_trailing_tokens"] = ORACLE["trailing_tokens"]
+ORACLE["greedy_minutes"] = f"""
+WITH RECURSIVE c AS (SELECT session, CAST(ts AS TIMESTAMP) AS ts, output_tokens FROM ({inputs.CALL_LOG}) AS x),
+w AS (
+  SELECT session, min(ts) AS start FROM c GROUP BY session
+  UNION ALL
+  SELECT w.session, min(c.ts) FROM w JOIN c ON c.session = w.session AND c.ts >= w.start + INTERVAL 60 SECOND
+  GROUP BY w.session)
+SELECT w.session, strftime(start, '%Y-%m-%d %H:%M:%S.%f') AS start, count(*) AS n_calls,
+  CAST(sum(output_tokens) AS bigint) AS tokens
+FROM w JOIN c ON c.session = w.session AND c.ts >= w.start AND c.ts < w.start + INTERVAL 60 SECOND
+GROUP BY w.session, start
+"""
 ORACLE["trailing_tokens_total"] = _with("calls") + _trailing("0", 600, 2000)

@@ -11,14 +11,15 @@ from pyspark.sql import functions as F
 
 from metricloom.functions import coerce, json_text, periods, text
 from metricloom.operators import (
-    assemble, broker, coverage, decision, dimensions, evaluate, gate, metrics, profile, propose, querylog,
-    refine, scoring, similar_names, usage, workflow,
+    assemble, broker, coverage, decision, dimensions, evaluate, gate, keys, metrics, profile, propose, querylog,
+    refine, scoring, similar_names, sketches, usage, workflow,
 )
 from metricloom.plans import inputs
 from metricloom.schemas import FACT_ROW, METRIC, METRIC_ROW, PRICE_BOOK
 from metricloom.session import pin
 from metricloom.sources import catalogues, tables
 from metricloom.streaming import calls as call_stream
+from metricloom.streaming import windows as stream_windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -144,10 +145,33 @@ def profile_date_stats(spark: SparkSession, folder: str) -> DataFrame:
 
 @_query
 def profile_distinct(spark: SparkSession, folder: str) -> DataFrame:
-    columns = _profile(spark, folder, ranges=False)
+    columns = _profile(spark, folder, ranges=False, top_k=0)
     return columns.where("stat_kind = 'categorical'").select("table_name", "column_name", "n_distinct")
 
 
+@_query
+def profile_distinct_sketch(spark: SparkSession, folder: str) -> DataFrame:
+    """Distinct counts from sketches kept by file, in two goes: the second reads only what the
+    first has not. They have to equal those of one go, and the exact ones within the error."""
+    found = _open(spark, folder)
+    paths = {t: f"{folder.rstrip('/')}/{t}.parquet" for t in found}
+    grown, whole = _scratch(spark), _scratch(spark)
+    half = {t: paths[t] for t in sorted(paths)[::2]}
+    sketches.update(spark, half, grown)
+    sketches.update(spark, paths, grown)
+    sketches.update(spark, paths, whole)
+    some, all_ = (sketches.estimates(spark, s, paths) for s in (grown, whole))
+    exact = profile.profile_columns(spark, found, inputs.PRIMARY_KEYS, top_k=0)
+    both = some.join(all_.select("table_name", "column_name", F.col("n_distinct").alias("at_once")), ["table_name", "column_name"])
+    known = exact.where("stat_kind = 'categorical'").select("table_name", "column_name", F.col("n_distinct").alias("exact"))
+    error = F.abs(F.col("n_distinct") - F.col("exact"))
+    return both.join(known, ["table_name", "column_name"]).select(
+        "table_name", "column_name", "n_rows", "n_null",
+        (F.col("n_distinct") == F.col("at_once")).alias("same_at_once"),
+        (error <= F.greatest(3 * sketches.ERROR * F.col("exact"), F.lit(1))).alias("within_error"),
+    )
+
+
 @_query
 def profile_top_values(spark: SparkSession, folder: str) -> DataFrame:
     columns = _profile(spark, folder, ranges=False)
@@ -178,6 +202,19 @@ def sample_rows(spark: SparkSession, folder: str) -> DataFrame:
     return sampled.join(profile_table_counts(spark, folder), "table_name").drop("n_cols")
 
 
+@_query
+def sample_contents(spark: SparkSession, folder: str) -> DataFrame:
+    """The sampled rows themselves: the first five by primary key, cell by cell."""
+    found = _open(spark, folder, *inputs.SAMPLED)
+    order = {t: inputs.PRIMARY_KEYS[t] for t in inputs.SAMPLED}
+    rows = tables.sample_rows(spark, found, order=order)
+    cells = rows.select("table_name", "pos", F.explode(F.from_json("row_json", "map<string,string>")).alias("column_name", "value"))
+    known = F.create_map(
+        *[x for t, cs in inputs.SAMPLED.items() for x in (F.lit(t), F.array(*map(F.lit, cs)))]
+    )
+    return cells.where(F.array_contains(known[F.col("table_name")], F.col("column_name")))
+
+
 @_query
 def table_classes(spark: SparkSession, folder: str) -> DataFrame:
     return dimensions.table_classes(_snapshot(spark, folder, frequencies=False))
@@ -219,6 +256,19 @@ def key_check(spark: SparkSession, folder: str) -> DataFrame:
     return tables.union_all([tables.key_check(found[t], t, cols) for t, cols in keys.items()])
 
 
+@_query
+def inferred_keys(spark: SparkSession, folder: str) -> DataFrame:
+    """Keys and references that the tables themselves show."""
+    found = _open(spark, folder)
+    known = keys.infer_keys(spark, found)
+    links = keys.infer_references(spark, found, known)
+    none = F.lit("")
+    own = known.select("table_name", F.array_join("columns", ",").alias("column_names"), none.alias("to_table"), none.alias("to_column"))
+    return own.unionByName(
+        links.select(F.col("from_table").alias("table_name"), F.col("from_col").alias("column_names"), "to_table", F.col("to_col").alias("to_column"))
+    )
+
+
 @_query
 def fk_orphans(spark: SparkSession, folder: str) -> DataFrame:
     found = _open(spark, folder)
@@ -690,30 +740,92 @@ def refined_choice(spark: SparkSession, folder: str) -> DataFrame:
 # --- Catalogue documents ----------------------------------------------------
 
 
-@_query
-def catalogue_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """Catalogues written as documents, found again and read back: one row per metric,
-    the last of a repeated name."""
+def _documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Catalogues to write as documents: model, connection, run_index and metrics."""
     entries = _metric_entries(spark, folder)
     given = entries.select("*", F.lit("").alias("description"), F.lit("").alias("agent_notes"), F.col("metric_group").alias("group"))
     metric = F.struct(*[F.col(f.name) for f in METRIC.fields])
     listed = F.transform(F.array_sort(F.collect_list(F.struct("pos", metric.alias("m")))), lambda x: x["m"])
-    docs = given.groupBy("label", "db_stem").agg(listed.alias("measurable_metrics")).select(
+    return given.groupBy("label", "db_stem").agg(listed.alias("measurable_metrics")).select(
         F.col("label").alias("model"),
         F.concat(F.lit("parquet://files/"), "db_stem").alias("connection"),
+        F.length("db_stem").alias("run_index"),
         "measurable_metrics",
     )
+
+
+@_query
+def catalogue_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Catalogues written as files, found by folder and read back: one row per metric,
+    the last of a repeated name."""
     root = _scratch(spark)
-    catalogues.write_catalogues(docs, root, "run")
-    read = catalogues.read_written(spark, root)
+    catalogues.write_files(_documents(spark, folder), root)
+    read = catalogues.read_catalogues(spark, catalogues.find_catalogues(spark, [root]))
     rows = catalogues.by_name(catalogues.metric_rows(read))
-    known = read.select("catalogue_id", F.col("model").alias("label"), text.db_stem(F.col("connection")).alias("db_stem"))
+    known = read.select("catalogue_id", "label", "db_stem", "run_index")
     return rows.join(known, "catalogue_id").select(
-        "label", "db_stem", "pos", "name", "sql", _list("tables_used").alias("tables"), "granularity",
+        "label", "db_stem", "run_index", "pos", "name", "sql", _list("tables_used").alias("tables"), "granularity",
         F.col("time_range.start").alias("declared_start"),
     )
 
 
+@_query
+def appended_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Two runs of the same catalogues, appended and read back; no run hides the other."""
+    docs, root = _documents(spark, folder).drop("run_index"), _scratch(spark)
+    for run in ("first", "second"):
+        catalogues.write_catalogues(docs, root, run)
+    read = catalogues.read_written(spark, root)
+    rows = catalogues.by_name(catalogues.metric_rows(read)).join(read.select("catalogue_id", "model"), "catalogue_id")
+    return rows.groupBy("model").agg(
+        F.countDistinct("catalogue_id").alias("n_catalogues"), F.count(F.lit(1)).alias("n_metrics")
+    )
+
+
+@_query
+def broken_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """One document file per supplier, some cut off or of other content: what is read of
+    them, and what is put aside with its reason."""
+    root = _scratch(spark)
+    docs = _input(spark, folder, inputs.DOCUMENT_FILES)
+    docs.repartition("s_suppkey").write.partitionBy("s_suppkey").text(root)
+    read, left = catalogues.read_documents(spark, [root])
+    supplier = F.regexp_extract("path", "/s_suppkey=([0-9]+)/", 1).cast("bigint").alias("s_suppkey")
+    names = F.array_join(F.transform("measurable_metrics", lambda m: m["name"]), ",")
+    whole = read.select(supplier, F.lit("").alias("reason"), "db_stem", names.alias("names"))
+    return whole.unionByName(left.select(supplier, "reason"), allowMissingColumns=True)
+
+
+@_query
+def compared_catalogues(spark: SparkSession, folder: str) -> DataFrame:
+    """Catalogue files of two models, found in their folders, evaluated on the tables and
+    ranked: one metric for each status of an order, broken in the second model."""
+    found = _open(spark, folder, "orders")
+    metric = F.concat(
+        F.lit(f"SELECT {_MONTH} AS period, count(*) AS value FROM orders WHERE "), "c", F.lit(" = '"),
+        "o_orderpriority", F.lit("' GROUP BY 1 ORDER BY 1"),
+    )
+    priorities = found["orders"].select("o_orderpriority").distinct()
+    kinds = [("sound", "o_orderpriority"), ("broken", "o_missing")]
+    entries = priorities.withColumn("k", F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.lit(c).alias("c")) for m, c in kinds]))).select(
+        "k.model", "k.c", "o_orderpriority"
+    )
+    given = {"name": F.col("o_orderpriority"), "sql": metric, "granularity": F.lit("monthly"), "unit": F.lit("count"), "confidence": F.lit("high")}
+    given |= {"tables_used": F.array(F.lit("orders")), "time_range": F.struct(F.lit("").alias("start"), F.lit("").alias("end"))}
+    row = F.struct(*[given.get(f.name, F.lit("")).cast(f.dataType).alias(f.name) for f in METRIC.fields])
+    docs = entries.groupBy("model").agg(F.sort_array(F.collect_list(row)).alias("measurable_metrics")).select(
+        "model", F.lit("parquet://files/shop").alias("connection"), F.lit(3).alias("run_index"), "measurable_metrics"
+    )
+    root = _scratch(spark)
+    catalogues.write_files(docs, root)
+    ranked, _, unmatched = workflow.compare_catalogues(spark, {"parquet://here/shop": found}, [root])
+    label = F.element_at(F.split("catalogue_id", "/"), -2).alias("label")
+    missing = unmatched.count()
+    return ranked.select("db_stem", label, F.col("rank").cast("bigint").alias("rank"), F.lit(missing).cast("bigint").alias("unmatched")).join(
+        docs.select(F.col("model").alias("label"), F.size("measurable_metrics").cast("bigint").alias("n_metrics")), "label"
+    )
+
+
 @_query
 def paired_results(spark: SparkSession, folder: str) -> DataFrame:
     entries = pin(_metric_entries(spark, folder))
@@ -839,6 +951,19 @@ def catalogue_scores(spark: SparkSession, folder: str) -> DataFrame:
     return _scores(spark, folder).drop("semantic_score", "combined", "run_index")
 
 
+@_query
+def stored_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Comparison reports of all databases, written in two goes and read back together."""
+    scores = pin(_scores(spark, folder).select("db_stem", "catalogue_id", "composite"))
+    root = _scratch(spark)
+    early = F.col("db_stem") < "JAPAN"
+    for some in (scores.where(early).withColumn("composite", F.lit(-1.0)), scores.where(~early), scores.where(early)):
+        catalogues.write_scores(some, root)
+    return catalogues.read_scores(spark, root, scores.schema).select(
+        "db_stem", "catalogue_id", "composite"
+    )
+
+
 @_query
 def catalogue_ranking(spark: SparkSession, folder: str) -> DataFrame:
     ranked = scoring.rank_within_database(_scores(spark, folder))
@@ -1033,9 +1158,8 @@ def calls_per_minute(spark: SparkSession, folder: str) -> DataFrame:
     return _minute_text(counts)
 
 
-@_query
-def stream_calls_per_minute(spark: SparkSession, folder: str) -> DataFrame:
-    """The same counts from a stream over the event files, one or a folder of them."""
+def _event_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Calls from a stream over the event files, one or a folder of them."""
     schema = _table(spark, folder, "events").schema
     files = spark.readStream.schema(schema)
     # A stream reads folders: the table's own, or the one its only file is in.
@@ -1046,11 +1170,17 @@ def stream_calls_per_minute(spark: SparkSession, folder: str) -> DataFrame:
         events = files.parquet(table)
     else:
         events = files.option("pathGlobFilter", "events.parquet").parquet(folder)
-    calls = events.select(
+    return events.select(
         F.col("user_id").alias("session"),
         F.col("ts").cast("timestamp").alias("ts"),
         F.floor(F.col("value") * 10).alias("output_tokens"),
     )
+
+
+@_query
+def stream_calls_per_minute(spark: SparkSession, folder: str) -> DataFrame:
+    """The same counts from a stream over the event files, one or a folder of them."""
+    calls = _event_stream(spark, folder)
     root = _scratch(spark)
     counts = call_stream.stream_calls_per_minute(calls, ["session"])
     call_stream.run_to_files(counts, f"{root}/counts", f"{root}/state")
@@ -1073,6 +1203,22 @@ def trailing_tokens(spark: SparkSession, folder: str) -> DataFrame:
     return used.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
 
+@_query
+def stream_trailing_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    """The same tokens in use from a stream of calls, with state and timers."""
+    root = _scratch(spark)
+    used = stream_windows.stream_trailing_tokens(_event_stream(spark, folder))
+    call_stream.run_to_files(used, f"{root}/used", f"{root}/state")
+    final = stream_windows.final_tokens(spark, f"{root}/used", limit=400, expected=100)
+    return final.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
+@_query
+def greedy_minutes(spark: SparkSession, folder: str) -> DataFrame:
+    found = usage.greedy_minutes(_input(spark, folder, inputs.CALL_LOG))
+    return found.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
 @_query
 def trailing_tokens_total(spark: SparkSession, folder: str) -> DataFrame:
     """One session over all calls: the hot case, spread over time buckets."""

@@ -135,11 +135,14 @@ def foreign_key_check(
     )
 
 
-def sample_rows(spark: SparkSession, tables: dict[str, DataFrame], n: int = 5) -> DataFrame:
+def sample_rows(
+    spark: SparkSession, tables: dict[str, DataFrame], n: int = 5, order: dict[str, list[str]] | None = None
+) -> DataFrame:
     """First ``n`` rows of each table as JSON text, binary values masked.
 
-    Each table is read by ``take``, which stops at the first partitions that hold
-    ``n`` rows.
+    With ``order``, the columns to sort a table by, the first are those by these columns, by a
+    top-n that sends ``n`` rows a task. Without it a table is read by ``take``, which stops
+    at the first partitions that hold ``n`` rows.
     """
     rows = []
     for name, df in tables.items():
@@ -150,8 +153,13 @@ def sample_rows(spark: SparkSession, tables: dict[str, DataFrame], n: int = 5) -
             for f in df.schema.fields
         ]
         row = F.to_json(F.struct(*shown), {"ignoreNullFields": "false"}).alias("row_json")
-        taken = df.select(row).take(n)
-        rows += [(name, i, r["row_json"]) for i, r in enumerate(taken)]
+        by = [F.col(f"`{c}`") for c in (order or {}).get(name, [])]
+        # Narrow to the first rows before any text is made of them.
+        first = df.orderBy(*by).limit(n) if by else df
+        taken = first.select(row, *[c.alias(f"_by{i}") for i, c in enumerate(by)])
+        if by:
+            taken = taken.orderBy(*[f"_by{i}" for i in range(len(by))])
+        rows += [(name, i, r["row_json"]) for i, r in enumerate(taken.take(n))]
     return spark.createDataFrame(rows, "table_name string, pos int, row_json string")
 
 
