@@ -5,12 +5,13 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,18 +22,27 @@ TOKENIZER = "word_bpe_49k.json"
 LENGTH = 2048
 END_ID = 1
 GROUP = 1024
-#: A worker forgets its words beyond this number, and encodes so many characters at a time.
-KNOWN, CHARS = 1_500_000, 1_000_000
-_WORDS = re.compile(r"[^ \n]+").findall
+#: A worker forgets the rarer half of its words beyond this number, and encodes so many
+#: characters at a time.
+KNOWN, CHARS = 900_000, 5_000_000
 # Fixed value: how tokenizers of this kind cut a text into parts, after dropping white space.
 PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-# The same within printable ASCII in lower case; bytes stand for themselves there.
-_PLAIN = re.compile(r"[!-~]+").fullmatch
-_PLAIN_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^0-9a-z]+").findall
+# The same for words of printable ASCII and Latin-1 letters, in lower case.
+_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+").fullmatch
+_PLAIN_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^0-9a-zß-öø-ÿ]+").findall
+
+
+def _byte_letters() -> dict[int, str]:
+    """Latin-1 letters as byte-level models spell them: a printable character for each byte
+    of UTF-8, its own where the byte is a printable one, else the next from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    spelled = {b: chr(b) for b in plain}
+    spelled |= {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in spelled)}
+    return {c: "".join(spelled[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
 
 
 class Words:
-    """Token ids of texts, by the words between spaces and line ends.
+    """Token ids of texts, by their words.
 
     A tokenizer that cuts texts into ``PARTS`` joins nothing across white space, so the ids
     of a text are those of its words in turn. Words are encoded once and kept; plain ones by
@@ -49,31 +59,39 @@ class Words:
         cut = (config.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         kinds = [x.get("type") for x in (config.get("normalizer") or {}).get("normalizers", [])]
         self.by_word = cut[0].get("pattern") == {"Regex": PARTS} and kinds == ["NFC", "Replace", "Lowercase"]
-        self.special = [x["content"] for x in config.get("added_tokens", [])]
-        self.clear()
-
-    def clear(self) -> None:
+        self.special = re.compile("|".join(re.escape(x["content"]) for x in config.get("added_tokens", [])) or "$.")
+        self.letters = _byte_letters()
         self.number: dict[str, int] = {}
         self.parts: dict[str, list[int]] = {}
         self.flat = np.zeros(0, dtype=np.int32)
         self.first = self.size = np.zeros(0, dtype=np.int64)
 
+    def forget(self) -> None:
+        """Back to the words met first, among which are the frequent ones."""
+        kept = KNOWN // 2
+        self.number = {w: n for w, n in self.number.items() if n < kept}
+        self.parts = {}
+        self.flat = self.flat[: self.first[kept]].copy()
+        self.first, self.size = self.first[:kept].copy(), self.size[:kept].copy()
+
     def _plain(self, word: str) -> list[int]:
         ids = []
         for part in _PLAIN_PARTS(word.lower()):
             own = self.parts.get(part)
             if own is None:
-                own = self.parts[part] = [t.id for t in self.tokenizer.model.tokenize(part)]
+                spelled = part if part.isascii() else part.translate(self.letters)
+                own = self.parts[part] = [t.id for t in self.tokenizer.model.tokenize(spelled)]
             ids += own
         return ids
 
     def _learn(self, words: list[str]) -> None:
-        found: list[list[int]] = [[]] * len(words)
+        found: list[list[int]] = []
         rest = []
+        special = self.special.search
         for i, word in enumerate(words):
-            if _PLAIN(word) and not any(x in word for x in self.special):
-                found[i] = self._plain(word)
-            else:
+            plain = _PLAIN(word) and not ("<" in word and special(word))
+            found.append(self._plain(word) if plain else [])
+            if not plain:
                 rest.append(i)
         for i, e in zip(rest, self._whole([words[i] for i in rest]), strict=True):
             found[i] = e.ids
@@ -88,24 +106,28 @@ class Words:
     def _whole(self, texts: list[str]) -> list:
         return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text of an array without nulls."""
         if not self.by_word:
-            return [np.array(e.ids, dtype=np.int32) for e in self._whole(texts)]
-        words = list(map(_WORDS, texts))
+            return [np.array(e.ids, dtype=np.int32) for e in self._whole(texts.to_pylist())]
         if len(self.number) > KNOWN:
-            self.clear()
-        flat = list(chain.from_iterable(words))
-        new = set(flat).difference(self.number)
+            self.forget()
+        words = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+        ends = words.value_lengths().to_numpy().cumsum()
+        each = words.flatten().dictionary_encode()
+        own = each.dictionary.to_numpy(zero_copy_only=False).tolist()
+        new = [w for w in own if w not in self.number]
         if new:
-            self._learn(list(new))
-        which = np.fromiter(map(self.number.__getitem__, flat), dtype=np.int64, count=len(flat))
+            self._learn(new)
+        known = np.fromiter(map(self.number.__getitem__, own), dtype=np.int64, count=len(own))
+        which = known[each.indices.to_numpy()]
         size = self.size[which]
-        ends = np.cumsum(size)
-        at = np.repeat(self.first[which] - (ends - size), size)
+        upto = size.cumsum()
+        at = np.repeat(self.first[which] - (upto - size), size)
         at += np.arange(len(at))
         ids = self.flat[at]
-        upto = np.append(0, ends)[np.cumsum(list(map(len, words)))].tolist()
-        return [ids[a:b] for a, b in zip([0, *upto], upto, strict=False)]
+        cuts = np.append(0, upto)[ends].tolist()
+        return [ids[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
 
 
 @lru_cache(maxsize=2)
@@ -174,21 +196,18 @@ def pack_group(sizes: list[int], room: int) -> list[list[tuple[int, int, int]]]:
     return [p for p in packed if p]
 
 
-def _batch(rows: pa.Array, found: list[tuple], names: list[str]) -> pa.RecordBatch:
+def _batch(rows: pa.Array, found: list[tuple], derive: dict | None) -> pa.RecordBatch:
     """A record for each (row, start, ids, doc_tokens, sequence, offset)."""
     take, start, ids, tokens, sequence, offset = zip(*found, strict=True)
-    ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-    return pa.RecordBatch.from_arrays(
-        [
-            rows.take(pa.array(take, pa.int64())),
-            pa.array(start, pa.int64()),
-            pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids), pa.int32())),
-            pa.array(tokens, pa.int64()),
-            pa.array(sequence, pa.int64()),
-            pa.array(offset, pa.int64()),
-        ],
-        names=names,
-    )
+    numbers = {"start": start, "doc_tokens": tokens, "sequence_id": sequence, "offset": offset}
+    columns = {"_row": rows.take(pa.array(take, pa.int64()))}
+    columns |= {name: pa.array(values, pa.int64()) for name, values in numbers.items()}
+    if derive is None:
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+        columns["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids), pa.int32()))
+    for name, function in (derive or {}).items():
+        columns[name] = pa.array(map(function, ids), pa.int64())
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
 class _Group:
@@ -203,7 +222,7 @@ class _Group:
         self.sequences += 1
         return (self.number << 32) + self.sequences - 1
 
-    def close(self, names: list[str]) -> Iterator[pa.RecordBatch]:
+    def close(self, derive: dict | None) -> Iterator[pa.RecordBatch]:
         if not self.items:
             return
         found = []
@@ -215,7 +234,7 @@ class _Group:
                 offset += n
         rows = pa.concat_arrays(self.rows)
         for at in range(0, len(found), 512):
-            yield _batch(rows, found[at : at + 512], names)
+            yield _batch(rows, found[at : at + 512], derive)
 
 
 def pack_documents(
@@ -227,9 +246,12 @@ def pack_documents(
     end_id: int = END_ID,
     group: int = GROUP,
     seed: int = 0,
+    derive: dict[str, Callable[[np.ndarray], int]] | None = None,
 ) -> DataFrame:
     """A row for each piece of a document: the input's columns but the text, ``start`` (the
-    document's ids before it), ``ids``, ``doc_tokens``, ``sequence_id`` and ``offset``.
+    document's ids before it), ``doc_tokens``, ``sequence_id``, ``offset`` and ``ids``. With
+    ``derive``, the whole numbers that its functions make of a piece's ids come instead of
+    these, made in the same task.
 
     A document is the ids of its whole text and ``end_id``; a null or empty text is the end
     id alone. Documents are cut into whole sequences of ``length`` and a remainder. Rows are
@@ -255,7 +277,8 @@ def pack_documents(
     spark = docs.sparkSession
     with open(tokenizer_file, encoding="utf-8") as f:
         model = spark.sparkContext.broadcast(f.read())
-    outputs = ["start", "ids", "doc_tokens", "sequence_id", "offset"]
+    numbers = ["start", "doc_tokens", "sequence_id", "offset", *(derive or {})]
+    outputs = numbers if derive is not None else [*numbers, "ids"]
     row, names = pack(docs, [text_column, *outputs])
     groups = max(1, -(-docs.count() // group))
     tasks = max(
@@ -268,37 +291,32 @@ def pack_documents(
         .repartition(min(groups, tasks), "_group")
         .sortWithinPartitions("_group", "_key")
     )
-    schema = T.StructType(
-        [
-            dealt.schema["_row"],
-            T.StructField("start", T.LongType()),
-            T.StructField("ids", T.ArrayType(T.IntegerType())),
-            T.StructField("doc_tokens", T.LongType()),
-            T.StructField("sequence_id", T.LongType()),
-            T.StructField("offset", T.LongType()),
-        ]
-    )
-    columns = ["_row", *outputs]
+    schema = T.StructType([dealt.schema["_row"]] + [T.StructField(n, T.LongType()) for n in numbers[:4]])
+    if derive is None:
+        schema = schema.add("ids", T.ArrayType(T.IntegerType()))
+    for name in derive or {}:
+        schema = schema.add(name, T.LongType())
     end = np.array([end_id], dtype=np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, open_ = _words(model.value), None
         for batch in batches:
-            texts = [t or "" for t in batch.column("_text").to_pylist()]
+            texts = batch.column("_text").fill_null("")
+            lengths = pc.utf8_length(texts).to_pylist()
             numbers = batch.column("_group").to_pylist()
             rows = batch.column("_row")
             begin = 0
             while begin < len(texts):
                 stop, held = begin, 0
-                while stop < len(texts) and (stop == begin or held + len(texts[stop]) <= CHARS):
-                    held += len(texts[stop])
+                while stop < len(texts) and (stop == begin or held + lengths[stop] <= CHARS):
+                    held += lengths[stop]
                     stop += 1
                 whole, kept = [], []
-                for i, ids in enumerate(words.encode(texts[begin:stop]), begin):
+                for i, ids in enumerate(words.encode(texts.slice(begin, stop - begin)), begin):
                     if open_ is None or open_.number != numbers[i]:
                         if open_ is not None:
                             open_.rows.append(rows.take(pa.array(kept, pa.int64())))
-                            yield from open_.close(columns)
+                            yield from open_.close(derive)
                         open_, kept = _Group(numbers[i], length), []
                     ids = np.concatenate([ids, end])
                     cut = len(ids) // length * length
@@ -309,9 +327,9 @@ def pack_documents(
                         open_.items.append((cut, ids[cut:].copy(), len(ids)))
                 open_.rows.append(rows.take(pa.array(kept, pa.int64())))
                 for at in range(0, len(whole), 512):
-                    yield _batch(rows, whole[at : at + 512], columns)
+                    yield _batch(rows, whole[at : at + 512], derive)
                 begin = stop
         if open_ is not None:
-            yield from open_.close(columns)
+            yield from open_.close(derive)
 
     return dealt.select("_row", "_text", "_group").mapInArrow(run, schema).select(*unpack(names), *outputs)

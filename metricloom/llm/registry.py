@@ -5,10 +5,8 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 import corpus_pipeline
 from metricloom.llm import (
@@ -151,23 +149,15 @@ def op10_piece_sampling(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@F.pandas_udf(T.LongType())
-def _crc32(ids: pd.Series) -> pd.Series:
+def _crc32(ids: np.ndarray) -> int:
     """Of the ids as little-endian unsigned 32-bit numbers."""
-    return ids.map(lambda x: zlib.crc32(np.asarray(x).astype("<u4").tobytes())).astype("int64")
+    return zlib.crc32(ids.astype("<u4").tobytes())
 
 
 def op11_packing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    return packing.pack_documents(docs).select(
-        "doc_id",
-        "start",
-        F.size("ids").cast("long").alias("length"),
-        _crc32("ids").alias("ids_crc32"),
-        "doc_tokens",
-        "sequence_id",
-        "offset",
-    )
+    found = packing.pack_documents(docs, derive={"length": len, "ids_crc32": _crc32})
+    return found.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -49,14 +50,25 @@ def assert_packed(rows, docs, length):
 @given(st.text(alphabet=st.one_of(st.sampled_from(" \n\t'sSTré.,!1ΣΑİ\x1c\x85\xa0\0́<|>"), st.characters()), max_size=40))
 def test_words_give_the_ids_of_the_text(text):
     text = text.encode("utf-8", "replace").decode()
-    assert WORDS.encode([text])[0].tolist() == ids_of(text)[:-1]
+    assert WORDS.encode(pa.array([text]))[0].tolist() == ids_of(text)[:-1]
+
+
+def test_plain_words_and_forgetting(monkeypatch):
+    letters = "".join(map(chr, [*range(33, 127), *range(0xC0, 0x100)]))
+    texts = [" ".join(a + b for b in letters) for a in "aÉß9'.×"]
+    assert [x.tolist() for x in WORDS.encode(pa.array(texts))] == [ids_of(t)[:-1] for t in texts]
+    monkeypatch.setattr(p, "KNOWN", 60)
+    few = p.Words(MODEL)
+    for _ in range(3):
+        for t in texts:
+            assert few.encode(pa.array([t]))[0].tolist() == ids_of(t)[:-1]
 
 
 def test_special_strings_and_other_tokenizers():
     for text in ("a <|endoftext|>b c", "<|startoftext|>", "x<|endoftext|>"):
-        assert WORDS.encode([text])[0].tolist() == ids_of(text)[:-1]
+        assert WORDS.encode(pa.array([text]))[0].tolist() == ids_of(text)[:-1]
     other = open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8").read()
-    assert p.Words(other).encode([" two  words\n"])[0].tolist() == Tokenizer.from_str(other).encode(
+    assert p.Words(other).encode(pa.array([" two  words\n"]))[0].tolist() == Tokenizer.from_str(other).encode(
         " two  words\n", add_special_tokens=False
     ).ids
 
@@ -102,7 +114,7 @@ def test_hard_cases(spark):
     docs = hard_docs(spark, texts).withColumn("doc", F.monotonically_increasing_id())
     found = p.pack_documents(docs, length=64, group=16)
     assert found.columns == [
-        "doc_id", "lang", "_row", "score", "a.b", "k0", "doc", "start", "ids", "doc_tokens", "sequence_id", "offset"
+        "doc_id", "lang", "_row", "score", "a.b", "k0", "doc", "start", "doc_tokens", "sequence_id", "offset", "ids"
     ]
     rows = found.collect()
     assert_packed(rows, [t for _, t in texts], 64)
