@@ -260,6 +260,12 @@ def profile_columns(
     )
 
 
+def with_counts(columns: DataFrame) -> DataFrame:
+    """Profiles with ``counts``, a map from each listed value to how often it stands there, for
+    look-ups; ``top_values`` keeps their order."""
+    return columns.withColumn("counts", F.map_from_entries("top_values"))
+
+
 def foreign_key_rows(spark: SparkSession, keys: list[tuple]) -> DataFrame:
     """Declared foreign keys; those without columns on either side are dropped."""
     rows = spark.createDataFrame(keys, FOREIGN_KEY)

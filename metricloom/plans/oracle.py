@@ -343,6 +343,28 @@ _SHOWN = [
 ]
 ORACLE["column_lines"] = _union([_line(*row) for row in _SHOWN])
 
+ORACLE["snapshot_text"] = (
+    "WITH n AS (" + ORACLE["profile_table_counts"] + "), c AS (" + ORACLE["column_lines"] + ") "
+    "SELECT table_name, 0 AS section, CAST(0 AS bigint) AS pos, '# ' || table_name || ', ' || n_rows || ' rows' AS line FROM n "
+    "UNION ALL SELECT table_name, 1, ordinal, line FROM c UNION ALL "
+    + _union(
+        [
+            f"SELECT '{a}', 2, CAST(0 AS bigint), '{', '.join(x)} refers to {b} by {', '.join(y)}'"
+            for a, x, b, y in inputs.FOREIGN_KEYS
+        ]
+    )
+)
+ORACLE["value_counts"] = (
+    "WITH v AS ("
+    + _union(
+        [
+            f"SELECT '{t}' AS table_name, '{c}' AS column_name, {c} AS value, count(*) AS cnt FROM {t} WHERE {c} IS NOT NULL GROUP BY {c}"
+            for t, cols in _CATEGORICAL.items()
+            for c in cols.split()
+        ]
+    )
+    + ") SELECT * FROM v QUALIFY count(*) OVER (PARTITION BY table_name, column_name) <= 20"
+)
 ORACLE["schema_lines"] = _union(
     [
         f"SELECT '{t}' AS table_name, '{t}({c})' AS line, count(*) AS n_rows FROM {t}"
@@ -926,6 +948,24 @@ SELECT run, attempt, CASE WHEN attempt > ends THEN 'closed' WHEN len(reasons) =
   array_to_string(list_transform(reasons, lambda x: x[2]), '|') AS details, waived
 FROM d
 """
+ORACLE["broker_info"] = """
+SELECT 'THREE_NUMBERS' AS asked, 'three_numbers' AS metric_name, 1.0 AS match_score, 'daily' AS granularity, 'count' AS unit,
+  'high' AS confidence, '' AS agent_notes, count(DISTINCT CAST(ts AS DATE)) AS n_rows FROM events
+UNION ALL SELECT 'date mismatch', 'date_mismatch', round((2 * 12 / 26.0 + 1) / 2, 3), 'monthly', 'count', 'high', '',
+  count(DISTINCT date_trunc('month', o_orderdate)) FROM orders"""
+ORACLE["broker_describe"] = _with("entries", "facts") + """
+SELECT name, 'METRIC' AS kind, catalogue_id, pos, tables_csv FROM entries WHERE name = (SELECT arg_max(name, pos) FROM entries)
+UNION ALL SELECT name, 'FACT', catalogue_id, pos, tables_csv FROM facts WHERE name = (SELECT arg_min(name, pos) FROM facts)"""
+ORACLE["tables_resolved"] = """
+SELECT o_orderpriority, f.* FROM (SELECT DISTINCT o_orderpriority FROM orders) AS o, (VALUES
+  ('plain', TRUE, 'orders', 'orders.o_totalprice', 'orders', 'nation'),
+  ('cte', TRUE, 'customer,orders', 'orders.o_totalprice', 'big,customer,orders', 'nation'),
+  ('comma', TRUE, 'customer,nation,orders', 'customer.c_custkey', 'nation', NULL),
+  ('filter', TRUE, 'nation,supplier', 'supplier.s_acctbal', 'nation,supplier', 'orders'),
+  ('union', TRUE, 'orders,part', 'orders.o_totalprice,part.p_retailprice', 'orders,part', 'nation'),
+  ('scalar', TRUE, 'lineitem,part', 'lineitem.l_tax,part.p_retailprice', 'lineitem,part', 'nation,orders'),
+  ('window', TRUE, 'orders', 'orders.o_orderdate', 'orders', 'nation'),
+  ('broken', FALSE, NULL, NULL, 'orders', NULL)) AS f(form, ok, tables, sources, by_text, ghosts)"""
 ORACLE["sql_preview"] = """
 SELECT 'grouped' AS name, 'o_orderpriority | n' || chr(10) || repeat('-', 19) || chr(10)
   || string_agg(p || ' | ' || n, chr(10) ORDER BY p) || CASE WHEN count(*) = 5 THEN chr(10) || '(truncated to 5 rows)'
@@ -1029,6 +1069,20 @@ ORACLE["relationships"] = (
     + """
 SELECT col0 AS table_a, col2 AS table_b, col1 AS join_key, n_rows FROM fk JOIN counts ON table_name = col0"""
 )
+ORACLE["restored_tables"] = _with("entries") + """
+, u AS (SELECT catalogue_id, unnest(string_split(tables_csv, ',')) AS name FROM entries)
+SELECT catalogue_id, name, count(*) AS row_count, 'seen in ' || name AS notes FROM u WHERE name <> 'events' GROUP BY 1, 2
+UNION ALL SELECT DISTINCT catalogue_id, 'fresh', CAST(-1 AS bigint), 'told' FROM entries"""
+ORACLE["built_catalogues"] = _with("entries", "facts") + f"""
+, m AS (SELECT catalogue_id, count(*) AS n_metrics, arg_min(name, pos) AS first_metric FROM entries GROUP BY 1),
+f AS (SELECT catalogue_id, count(*) AS n_facts FROM facts GROUP BY 1),
+t AS (SELECT catalogue_id, count(DISTINCT name) AS n_tables FROM (
+  SELECT catalogue_id, unnest(string_split(tables_csv, ',')) AS name FROM entries
+  UNION ALL SELECT catalogue_id, unnest(string_split(tables_csv, ',')) FROM facts) GROUP BY 1),
+d AS ({ORACLE["time_coverage"]})
+SELECT catalogue_id, 'm' AS model, 'd' AS description, '' AS overview, n_metrics, coalesce(n_facts, 0) AS n_facts, n_tables,
+  CAST({len(inputs.FOREIGN_KEYS)} AS bigint) AS n_links, first_metric, 'submitted' AS last_note, first_day
+FROM m LEFT JOIN f USING (catalogue_id) JOIN t USING (catalogue_id), d"""
 ORACLE["redacted_sources"] = """
 SELECT s_suppkey AS source_id, CASE s_suppkey % 6
     WHEN 0 THEN 'postgresql://user' || k || ':***@host.example:5432/db_' || k || '?sslmode=on'
@@ -1050,6 +1104,11 @@ SELECT run, pos, CASE WHEN plain_language <> '' THEN plain_language WHEN reason
 ORACLE["query_log_totals"] = _with("log", "kept") + """
 SELECT run, n_queries, coalesce(n_unique, 0) AS n_unique FROM (SELECT run, count(*) AS n_queries FROM log GROUP BY 1)
 LEFT JOIN (SELECT run, count(*) AS n_unique FROM kept GROUP BY 1) USING (run)"""
+ORACLE["query_log_proposals"] = _with("log", "kept", "proposals") + """
+SELECT run, n_queries, coalesce(n_unique, 0) AS n_unique, coalesce(n_proposed, 0) AS n_proposed
+FROM (SELECT run, count(*) AS n_queries FROM log GROUP BY 1)
+LEFT JOIN (SELECT run, count(*) AS n_unique FROM kept GROUP BY 1) USING (run)
+LEFT JOIN (SELECT run, count(*) AS n_proposed FROM proposals GROUP BY 1) USING (run)"""
 ORACLE["proposal_union"] = _with("proposals") + f"""
 SELECT run, pos, name, CASE WHEN length(sql) > 120 THEN left(replace(sql, chr(10), ' '), 120) || '…'
   ELSE replace(sql, chr(10), ' ') END AS sql, runs FROM (

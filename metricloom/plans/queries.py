@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,12 +12,12 @@ from pyspark.sql import functions as F
 
 from metricloom.functions import coerce, json_text, periods, text
 from metricloom.operators import (
-    assemble, broker, coverage, decision, dimensions, evaluate, gate, keys, metrics, profile, propose, querylog,
+    assemble, broker, coverage, decision, dimensions, evaluate, gate, keys, lineage, metrics, profile, propose, querylog,
     refine, scoring, similar_names, sketches, usage, workflow,
 )
 from metricloom.plans import inputs
 from metricloom.schemas import FACT_ROW, METRIC, METRIC_ROW, PRICE_BOOK
-from metricloom.session import pin
+from metricloom.session import pin, until_exit
 from metricloom.sources import catalogues, tables
 from metricloom.streaming import calls as call_stream
 from metricloom.streaming import windows as stream_windows
@@ -188,6 +189,21 @@ def column_lines(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@_query
+def snapshot_text(spark: SparkSession, folder: str) -> DataFrame:
+    """Every line of a snapshot: titles, columns, references."""
+    lines = profile.snapshot_lines(_snapshot(spark, folder))
+    return lines.select("table_name", "section", F.col("pos").cast("bigint").alias("pos"), "line")
+
+
+@_query
+def value_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """How often each value of a dimension stands in it, looked up in the column's map."""
+    columns = profile.with_counts(_snapshot(spark, folder).columns).where("n_distinct BETWEEN 1 AND 20")
+    values = columns.select("table_name", "column_name", "counts", F.explode(F.map_keys("counts")).alias("value"))
+    return values.select("table_name", "column_name", "value", F.element_at("counts", F.col("value")).alias("cnt"))
+
+
 @_query
 def schema_lines(spark: SparkSession, folder: str) -> DataFrame:
     columns = _profile(spark, folder, frequencies=False)
@@ -237,11 +253,12 @@ def time_coverage(spark: SparkSession, folder: str) -> DataFrame:
 @_query
 def null_and_size_notes(spark: SparkSession, folder: str) -> DataFrame:
     found = _open(spark, folder)
-    found["orders"] = found["orders"].select(
-        "o_orderkey",
-        F.expr("CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_totalprice END").alias("o_totalprice"),
-        F.expr("CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE o_custkey END").alias("o_custkey"),
-        F.expr("CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderpriority END").alias("o_orderpriority"),
+    found["orders"] = found["orders"].withColumns(
+        {
+            "o_totalprice": F.expr("CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_totalprice END"),
+            "o_custkey": F.expr("CASE WHEN o_orderkey % 10 = 0 THEN NULL ELSE o_custkey END"),
+            "o_orderpriority": F.expr("CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderpriority END"),
+        }
     )
     columns = profile.profile_columns(spark, found, inputs.PRIMARY_KEYS, frequencies=False)
     counts = columns.groupBy("table_name").agg(F.max("n_rows").alias("n_rows"))
@@ -555,6 +572,43 @@ def tables_referenced(spark: SparkSession, folder: str) -> DataFrame:
     return entries.select("pos", F.array_join(text.tables_referenced(F.col("sql")), ",").alias("tables"))
 
 
+# (name, statement with one value in it): what the text rule and Spark see differs.
+RESOLVED_FORMS = [
+    ("plain", "SELECT o_orderdate, sum(o_totalprice) AS v FROM orders WHERE o_orderpriority = '{p}' GROUP BY 1"),
+    ("cte", "WITH big AS (SELECT o_custkey AS k, o_totalprice * 2 AS t FROM orders WHERE o_orderpriority = '{p}') "
+     "SELECT c_mktsegment, sum(t) AS v FROM big JOIN customer ON k = c_custkey GROUP BY 1"),
+    ("comma", "SELECT n_name, count(c_custkey) AS v FROM nation, customer, orders WHERE n_nationkey = c_nationkey "
+     "AND c_custkey = o_custkey AND o_orderpriority = '{p}' GROUP BY 1"),
+    ("filter", "SELECT s_name, s_acctbal AS v FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation "
+     "WHERE n_name <> '{p}')"),
+    ("union", "SELECT p_name AS a, p_retailprice AS v FROM part UNION ALL SELECT o_orderstatus, o_totalprice FROM orders "
+     "WHERE o_orderpriority = '{p}'"),
+    ("scalar", "SELECT l_shipdate, l_tax + (SELECT max(p_retailprice) FROM part) AS v FROM lineitem WHERE '{p}' <> ''"),
+    ("window", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate) AS v FROM (SELECT * FROM orders) x "
+     "WHERE o_orderpriority = '{p}'"),
+    ("broken", "SELECT o_missing FROM orders WHERE o_orderpriority = '{p}'"),
+]
+
+
+@_query
+def tables_resolved(spark: SparkSession, folder: str) -> DataFrame:
+    """Tables and sources of statements as Spark resolves them, beside what their text shows:
+    eight forms for each priority of an order."""
+    priorities = _open(spark, folder)["orders"].select("o_orderpriority").distinct()
+    forms = F.array(*[F.struct(F.lit(n).alias("form"), F.lit(q).alias("text")) for n, q in RESOLVED_FORMS])
+    entries = priorities.withColumn("f", F.explode(forms)).select(
+        "o_orderpriority", "f.form", F.replace("f.text", F.lit("{p}"), "o_orderpriority").alias("sql"),
+        F.array(F.lit("orders"), F.lit("nation")).alias("tables_used"),
+    )
+    resolved = pin(lineage.resolved_tables(spark, entries))
+    ghosts = lineage.resolved_ghosts(entries, resolved).select("sql", _list("ghosts").alias("ghosts"))
+    last = F.element_at("columns", -1)["sources"]
+    return entries.join(resolved, "sql").join(ghosts, "sql", "left").select(
+        "o_orderpriority", "form", "ok", _list("tables").alias("tables"), F.array_join(last, ",").alias("sources"),
+        F.array_join(text.tables_referenced(F.col("sql")), ",").alias("by_text"), "ghosts",
+    )
+
+
 @_query
 def ghost_tables(spark: SparkSession, folder: str) -> DataFrame:
     return gate.ghost_violations(_metric_entries(spark, folder))
@@ -788,8 +842,8 @@ def broken_documents(spark: SparkSession, folder: str) -> DataFrame:
     them, and what is put aside with its reason."""
     root = _scratch(spark)
     docs = _input(spark, folder, inputs.DOCUMENT_FILES)
-    docs.repartition("s_suppkey").write.partitionBy("s_suppkey").text(root)
-    read, left = catalogues.read_documents(spark, [root])
+    docs.repartition("s_suppkey").write.partitionBy("s_suppkey").text(f"{root}/files")
+    read, left = catalogues.read_documents(spark, [f"{root}/files"])
     supplier = F.regexp_extract("path", "/s_suppkey=([0-9]+)/", 1).cast("bigint").alias("s_suppkey")
     names = F.array_join(F.transform("measurable_metrics", lambda m: m["name"]), ",")
     whole = read.select(supplier, F.lit("").alias("reason"), "db_stem", names.alias("names"))
@@ -877,6 +931,32 @@ def broker_fetch(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(_broker(spark, folder).fetch("high_nulls"), 2, "value")
 
 
+@_query
+def broker_info(spark: SparkSession, folder: str) -> DataFrame:
+    """What comes with a fetched series, for an equal and an approximate name."""
+    served, rows = _broker(spark, folder), None
+    for asked in ("THREE_NUMBERS", "date mismatch"):
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore", UserWarning)
+            series, info = served.fetch_with_info(asked)
+        one = series.agg(F.count(F.lit(1)).alias("n_rows")).select(
+            F.lit(asked).alias("asked"), *[F.lit(v).alias(k) for k, v in info.items()], "n_rows"
+        )
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
+@_query
+def broker_describe(spark: SparkSession, folder: str) -> DataFrame:
+    """Whole entries by name: a metric of one customer and a fact of one supplier."""
+    metrics, facts = pin(_metric_entries(spark, folder)), pin(_fact_entries(spark, folder))
+    served = broker.Broker(spark, metrics, facts)
+    wanted = metrics.orderBy(F.desc("pos")).first()["name"], facts.orderBy("pos").first()["name"]
+    metric = served.describe(wanted[0].upper()).select("name", F.lit("METRIC").alias("kind"), "catalogue_id", "pos", "tables_csv")
+    fact = served.describe_fact(wanted[1]).select("name", F.lit("FACT").alias("kind"), "catalogue_id", "pos", "tables_csv")
+    return metric.unionByName(fact)
+
+
 @_query
 def broker_window(spark: SparkSession, folder: str) -> DataFrame:
     return _broker(spark, folder).fetch("PASS", "1996-03-15", "1998-06-30")
@@ -1089,6 +1169,45 @@ def catalogue_tables(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@_query
+def restored_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """Table summaries after refinement: known tables with their own counts and notes again."""
+    entries = _metric_entries(spark, folder)
+    used = entries.select("catalogue_id", F.explode("tables_used").alias("name"))
+    known = used.groupBy("catalogue_id", "name").agg(F.count(F.lit(1)).alias("row_count"))
+    known = known.withColumn("data_quality_notes", F.array(F.concat(F.lit("seen in "), "name")))
+    told = {"row_count": F.lit(-1).cast("bigint"), "data_quality_notes": F.array(F.lit("told"))}
+    refined = known.where("name <> 'events'").withColumns(told)
+    fresh = entries.select("catalogue_id", F.lit("fresh").alias("name")).distinct().withColumns(told)
+    restored = refine.restore_tables(refined.unionByName(fresh.select(*refined.columns)), known)
+    return restored.select("catalogue_id", "name", "row_count", _list("data_quality_notes").alias("notes"))
+
+
+@_query
+def built_catalogues(spark: SparkSession, folder: str) -> DataFrame:
+    """Whole catalogues: submitted entries, and what the snapshot knows before them."""
+    snapshot = _snapshot(spark, folder, frequencies=False)
+    metrics = _metric_entries(spark, folder).select("catalogue_id", "pos", "name", "sql", "tables_used")
+    facts = _fact_entries(spark, folder).select("catalogue_id", "pos", "name", "tables_used")
+    submitted = coverage.table_mentions(metrics, facts).select(
+        "catalogue_id", F.col("table_name").alias("name"), F.lit(7).cast("bigint").alias("row_count"),
+        F.lit(None).cast("string").alias("description"), F.lit(None).cast("array<string>").alias("key_columns"),
+    )
+    proposal = metrics.select("catalogue_id").distinct().select(
+        "catalogue_id", F.lit("d").alias("description"), F.lit(None).cast("string").alias("overview"),
+        F.array(F.lit("submitted")).alias("data_quality_notes"),
+        F.lit(None).cast("array<struct<term:string,definition:string>>").alias("key_terms"),
+    )
+    built = assemble.build_catalogue(proposal, metrics, facts, submitted, snapshot, "m")
+    size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("bigint")
+    return built.select(
+        "catalogue_id", "model", "description", "overview", size("measurable_metrics").alias("n_metrics"),
+        size("queryable_facts").alias("n_facts"), size("tables").alias("n_tables"), size("table_relationships").alias("n_links"),
+        F.element_at("measurable_metrics", 1)["name"].alias("first_metric"), F.element_at("data_quality_notes", -1).alias("last_note"),
+        periods.day_prefix(F.col("time_coverage.start")).alias("first_day"),
+    )
+
+
 @_query
 def relationships(spark: SparkSession, folder: str) -> DataFrame:
     """Declared single-column keys with the number of rows on their child side."""
@@ -1123,6 +1242,13 @@ def query_log_totals(spark: SparkSession, folder: str) -> DataFrame:
     return querylog.log_totals(log, querylog.dedup_queries(log))
 
 
+@_query
+def query_log_proposals(spark: SparkSession, folder: str) -> DataFrame:
+    """Totals of a run's log with the metrics it proposed."""
+    log = _input(spark, folder, inputs.QUERY_LOG)
+    return querylog.log_totals(log, querylog.dedup_queries(log), _input(spark, folder, inputs.PROPOSALS))
+
+
 @_query
 def proposal_union(spark: SparkSession, folder: str) -> DataFrame:
     union = querylog.union_proposals(_input(spark, folder, inputs.PROPOSALS))
@@ -1188,13 +1314,14 @@ def stream_calls_per_minute(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A new folder under the shared checkpoint folder; a local one only in local runs."""
+    """A new folder under the shared checkpoint folder; a local one only in local runs. It goes
+    when the driver ends."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if shared is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-        return tempfile.mkdtemp(prefix="metricloom-stream-")
-    return f"{shared.rstrip('/')}/stream-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
+        return until_exit(spark, tempfile.mkdtemp(prefix="metricloom-stream-"))
+    return until_exit(spark, f"{shared.rstrip('/')}/stream-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}")
 
 
 @_query

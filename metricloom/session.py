@@ -50,3 +50,22 @@ def pin(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="metricloom-checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def _file_system(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def until_exit(spark: SparkSession, path: str) -> str:
+    """The folder ``path``, made if it is not there, and deleted when the driver ends."""
+    system, where = _file_system(spark, path)
+    system.mkdirs(where)
+    system.deleteOnExit(where)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that nothing reads any more."""
+    system, where = _file_system(spark, path)
+    system.delete(where, True)
