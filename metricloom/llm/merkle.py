@@ -12,7 +12,7 @@ from metricloom.session import pin
 
 FAN = 3
 #: Levels between a node row and its descendants: a row holds up to FAN ** STEP hashes below.
-STEP = 4
+STEP = 6
 #: A node row is repeated for every so many leaves below it, so that no join key is hot.
 SPREAD = 1000
 TOP = -1
@@ -250,7 +250,8 @@ def climb(spark: SparkSession, manifest: Manifest) -> DataFrame:
     One recursive query: each round joins every leaf to the node row above it, by the link
     of the row below, appends the siblings there and folds the hash. A row stands once for
     every ``SPREAD`` places below it and a leaf asks for the copy of its own place, so the
-    few rows near the root are no hot keys. Rounds grow with the logarithm of the rows.
+    few rows near the root are no hot keys. The rounds grow
+    with the logarithm of the rows, one for every ``STEP`` levels.
     """
     near, far = F.col("lo"), F.col("hi")
     nodes = manifest.nodes.select(
@@ -259,10 +260,10 @@ def climb(spark: SparkSession, manifest: Manifest) -> DataFrame:
         F.explode(F.sequence(_div(near, F.lit(SPREAD)), _div(far, F.lit(SPREAD)))).alias("part"),
     )
     leaves = manifest.leaves.select(
-        "id", "leaf", _div(F.col("place"), F.lit(SPREAD)).alias("part"),
+        "id", F.unhex("leaf").alias("leaf"), _div(F.col("place"), F.lit(SPREAD)).alias("part"),
         F.col("up_tree").alias("tree"), F.col("up_level").alias("level"),
         F.col("up_group").alias("group"), F.col("up_at").alias("at"),
-        F.when(F.col("n") == 1, F.col("leaf")).alias("subroot"),
+        F.when(F.col("n") == 1, F.unhex("leaf")).alias("subroot"),
         F.struct(F.col("start").alias("folded"), F.lit(b"").alias("proof")).alias("way"),
     )
     limit = "spark.sql.cteRecursionRowLimit"
@@ -276,11 +277,12 @@ def climb(spark: SparkSession, manifest: Manifest) -> DataFrame:
                   SELECT id, leaf, part, tree, level, group, at, subroot, way FROM {{leaves}}
                   UNION ALL
                   SELECT c.id, c.leaf, c.part, n.up_tree, n.up_level, n.up_group, n.up_at,
-                    coalesce(c.subroot, n.subroot), {_CLIMB}
+                    coalesce(c.subroot, unhex(n.subroot)), {_CLIMB}
                   FROM climb c JOIN {{nodes}} n
                   ON c.tree = n.tree AND c.level = n.level AND c.group = n.group AND c.part = n.part
                 )
-                SELECT id, leaf, subroot, way.proof, way.folded FROM climb WHERE tree IS NULL
+                SELECT id, lower(hex(leaf)) AS leaf, lower(hex(subroot)) AS subroot, way.proof, way.folded
+                FROM climb WHERE tree IS NULL
                 """,
                 leaves=leaves,
                 nodes=nodes,
