@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from metricloom.session import pin
+from metricloom.session import pin, until_exit
 
 # The white space of the contracts.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -53,7 +53,8 @@ def stash(df: DataFrame) -> DataFrame:
     """``df`` written once as a table in the shared checkpoint folder, and read from there.
 
     Columns compress and later readers skip those they don't need, which suits wide rows
-    better than a checkpoint. Without a folder, the rows are kept as ``pin`` does.
+    better than a checkpoint. The table goes when the driver ends. Without a folder, the rows
+    are kept as ``pin`` does.
     """
     spark = df.sparkSession
     folder = shared_folder(spark)
@@ -61,4 +62,5 @@ def stash(df: DataFrame) -> DataFrame:
         return pin(df)
     path = f"{folder.rstrip('/')}/stash-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    until_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)

@@ -288,7 +288,7 @@ def pack_documents(
     dealt = (
         docs.select(row.alias("_row"), F.col(f"`{text_column}`").alias("_text"), key.alias("_key"))
         .withColumn("_group", F.pmod("_key", F.lit(groups)))
-        .repartition(min(groups, tasks), "_group")
+        .repartition(min(groups, max(tasks, groups // 32)), "_group")
         .sortWithinPartitions("_group", "_key")
     )
     schema = T.StructType([dealt.schema["_row"]] + [T.StructField(n, T.LongType()) for n in numbers[:4]])
