@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from metricloom.llm import decontaminate, lattice, line_dedup, quality, simhash
 from metricloom.llm.common import table
+from metricloom.session import remove, until_exit
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -84,15 +85,19 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage. Stages go through Parquet in the shared checkpoint folder;
-    a local session without one takes a folder of its own."""
+    a local session without one takes a folder of its own. A stage's table goes when the next
+    one is written, the last one when the driver ends."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="corpus-")
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = os.path.join(folder, f"{name}-{uuid.uuid4().hex}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before is not None:
+            remove(spark, before)
+        before = until_exit(spark, path)
     return docs
