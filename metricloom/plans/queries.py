@@ -842,7 +842,9 @@ def broken_documents(spark: SparkSession, folder: str) -> DataFrame:
     them, and what is put aside with its reason."""
     root = _scratch(spark)
     docs = _input(spark, folder, inputs.DOCUMENT_FILES)
-    docs.repartition("s_suppkey").write.partitionBy("s_suppkey").text(f"{root}/files")
+    # Few bytes but many files: a fixed count of partitions keeps all cores writing.
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    docs.repartition(tasks, "s_suppkey").write.partitionBy("s_suppkey").text(f"{root}/files")
     read, left = catalogues.read_documents(spark, [f"{root}/files"])
     supplier = F.regexp_extract("path", "/s_suppkey=([0-9]+)/", 1).cast("bigint").alias("s_suppkey")
     names = F.array_join(F.transform("measurable_metrics", lambda m: m["name"]), ",")

@@ -3,6 +3,7 @@ import json
 import pytest
 
 from metricloom.operators import assemble, gate, profile, propose, refine
+from metricloom.plans import queries
 from metricloom.sources import catalogues, tables
 
 
@@ -203,3 +204,19 @@ def test_previews(spark):
     assert text("SELECT 1; DROP VIEW seven").startswith("ERROR: ")
     assert text("SELECT id FROM seven", max_chars=5) == "id\n--\n... (truncated)"
     assert spark.sql("SELECT count(*) FROM seven").first()[0] == 7
+
+
+def test_document_files_are_written_by_many_tasks_and_opened_once(spark, tmp_path, monkeypatch):
+    suppliers = spark.range(1, 41).selectExpr("id AS s_suppkey", "concat('S', id) AS s_name", "id % 3 AS s_nationkey")
+    suppliers.write.parquet(str(tmp_path / "tables" / "supplier.parquet"))
+    monkeypatch.setattr(queries, "_scratch", lambda _: str(tmp_path / "own"))
+    listing = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(listing)
+    found = queries.broken_documents(spark, str(tmp_path / "tables"))
+    assert spark.conf.get(listing) == before
+    files = list((tmp_path / "own" / "files").glob("s_suppkey=*/part-*"))
+    assert len(files) == 40 and len({f.name.split("-")[1] for f in files}) > 4
+    for file in files:
+        file.unlink()
+    got = {r["s_suppkey"]: (r["reason"], r["names"]) for r in found.collect()}
+    assert len(got) == 40 and got[1][0] == "no JSON" and got[4] == ("", "S4")
