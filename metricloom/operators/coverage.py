@@ -84,15 +84,17 @@ def foreign_key_pairs(
     return pairs
 
 
-def uncovered_pairs(catalogues: DataFrame, metrics: DataFrame, pairs: DataFrame) -> DataFrame:
+def uncovered_pairs(
+    catalogues: DataFrame, metrics: DataFrame, pairs: DataFrame, tables: str | None = None
+) -> DataFrame:
     """Pairs without a metric whose statement reads both tables; facts do not count.
 
     Statements are first reduced to their distinct table sets per catalogue, then met
-    with the pairs by table name.
+    with the pairs by table name. ``tables`` names a column with the set of each metric,
+    where that is known already.
     """
-    sets = metrics.select(
-        "catalogue_id", tables_referenced(F.coalesce("sql", F.lit(""))).alias("tables")
-    ).distinct()
+    known = F.col(tables) if tables else tables_referenced(F.coalesce("sql", F.lit("")))
+    sets = metrics.select("catalogue_id", known.alias("tables")).distinct()
     read = sets.select("catalogue_id", "tables", F.explode("tables").alias("from_table"))
     covered = (
         read.join(F.broadcast(pairs), "from_table")

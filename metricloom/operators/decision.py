@@ -32,8 +32,8 @@ def missing_pairs(attempts: DataFrame, metrics: DataFrame, pairs: DataFrame, cap
     fold over a run is a rank of its attempts for each pair, limited before it is shuffled.
     """
     ids = attempts.select(F.col("submission_id").alias("catalogue_id"))
-    entries = metrics.select(F.col("submission_id").alias("catalogue_id"), "sql")
-    left_out = uncovered_pairs(ids, entries, pairs).select(
+    entries = metrics.select(F.col("submission_id").alias("catalogue_id"), "tables")
+    left_out = uncovered_pairs(ids, entries, pairs, "tables").select(
         F.col("catalogue_id").alias("submission_id"), F.concat_ws("-", "from_table", "to_table").alias("shown"),
         F.array_sort(F.array("from_table", "to_table")).alias("pair"),
     )
@@ -72,19 +72,15 @@ def decide(
     from metricloom.operators.coverage import foreign_key_pairs
 
     attempts = pin(attempts.select("submission_id", "run", "attempt", "iteration", "data"))
-    submitted = gate.items(attempts, "measurable_metrics").select(
-        "submission_id", F.lit(True).alias("is_metric"), "idx", "item"
-    )
-    items = submitted.unionByName(
-        gate.items(attempts, "queryable_facts").select("submission_id", F.lit(False).alias("is_metric"), "idx", "item")
-    )
+    # Items and their rules are read in one pass over the documents.
+    items = pin(gate.listed_items(attempts))
     read = pin(
-        items.select(
-            "submission_id", "is_metric", "idx",
+        items.where(F.col("field").isin("measurable_metrics", "queryable_facts")).select(
+            "submission_id", (F.col("field") == "measurable_metrics").alias("is_metric"), "idx",
             F.coalesce(F.get_json_object("item", "$.name"), F.lit("?")).alias("name"),
             F.coalesce(F.get_json_object("item", "$.sql"), F.lit("")).alias("sql"),
             F.transform(_texts("item", "$.tables_used"), F.lower).alias("used"),
-        )
+        ).withColumn("tables", tables_referenced(F.col("sql")))
     )
     metrics = read.where("is_metric")
 
@@ -102,7 +98,7 @@ def decide(
             F.concat_ws("/", F.col("iteration"), F.lit(min_iterations)),
         ),
     ]
-    ghosts = F.array_sort(F.array_except("used", tables_referenced(F.col("sql"))))
+    ghosts = F.array_sort(F.array_except("used", "tables"))
     ghostly = read.withColumn("ghosts", ghosts).where("size(ghosts) > 0")
     line = F.concat("name", F.lit(": "), F.array_join("ghosts", ","))
     found.append(_listed(reasons(ghostly, "ghost_tables", line)))
@@ -117,7 +113,7 @@ def decide(
         counts = metrics.groupBy("submission_id").agg(F.count(F.lit(1)).alias("n"))
         counted = attempts.select("submission_id").join(counts, "submission_id", "left").fillna(0, ["n"])
         found.append(reasons(counted.where(F.col("n") < min_metrics), "too_few_metrics", F.col("n").cast("string")))
-    broken = gate.item_violations(attempts)
+    broken = gate.broken_rules(items)
     line = F.concat("field", F.lit("["), F.col("idx").cast("string"), F.lit("]."), "rule")
     found.append(_listed(reasons(broken, "item_rules", line)))
 

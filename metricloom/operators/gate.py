@@ -39,6 +39,11 @@ def items(submissions: DataFrame, field: str) -> DataFrame:
 def item_violations(submissions: DataFrame) -> DataFrame:
     """Rule violations per item: (submission_id, field, idx, name, rule). One scan: the four
     lists are laid end to end and each item is parsed once."""
+    return broken_rules(listed_items(submissions))
+
+
+def listed_items(submissions: DataFrame) -> DataFrame:
+    """(submission_id, field, idx, item JSON) of the objects in the four lists that have rules."""
 
     def listed(field: str) -> Column:
         found = F.from_json(decode_field(F.col("data"), field), TEXTS)
@@ -47,11 +52,13 @@ def item_violations(submissions: DataFrame) -> DataFrame:
         )
         return F.coalesce(tagged, F.array().cast("array<struct<field:string,idx:bigint,item:string>>"))
 
-    rows = (
-        submissions.select("submission_id", F.inline(F.concat(*map(listed, ITEM_RULES))))
-        .where(F.ltrim("item").startswith("{"))
-        .withColumn("v", F.try_parse_json("item"))
-    )
+    rows = submissions.select("submission_id", F.inline(F.concat(*map(listed, ITEM_RULES))))
+    return rows.where(F.ltrim("item").startswith("{"))
+
+
+def broken_rules(items: DataFrame) -> DataFrame:
+    """Rule violations of ``listed_items``: (submission_id, field, idx, name, rule)."""
+    rows = items.withColumn("v", F.try_parse_json("item"))
 
     def kind(path: str) -> Column:
         found = F.schema_of_variant(F.try_variant_get("v", f"$.{path}", "variant"))

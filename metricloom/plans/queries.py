@@ -43,12 +43,20 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return _open(spark, folder, name)[name]
 
 
-def _input(spark: SparkSession, folder: str, sql: str) -> DataFrame:
-    """Rows of a derived input; only the tables its text names are opened."""
-    _open(spark, folder, *[t for t in inputs.TABLES if re.search(rf"\b(?:FROM|JOIN) {t}\b", sql)])
+def _input(spark: SparkSession, folder: str, sql: str, spread: str | None = None) -> DataFrame:
+    """Rows of a derived input; only the tables its text names are opened. The rows of the
+    table ``spread`` are dealt to all cores while they are narrow, for inputs that are long."""
+    found = _open(spark, folder, *[t for t in inputs.TABLES if re.search(rf"\b(?:FROM|JOIN) {t}\b", sql)])
+    if spread is not None:
+        tables.register({spread: found[spread].repartition(_tasks(spark), inputs.PRIMARY_KEYS[spread][0])})
     return spark.sql(sql)
 
 
+def _tasks(spark: SparkSession) -> int:
+    """Partitions for few bytes with much work: a fixed count, which keeps all cores busy."""
+    return max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
@@ -842,9 +850,7 @@ def broken_documents(spark: SparkSession, folder: str) -> DataFrame:
     them, and what is put aside with its reason."""
     root = _scratch(spark)
     docs = _input(spark, folder, inputs.DOCUMENT_FILES)
-    # Few bytes but many files: a fixed count of partitions keeps all cores writing.
-    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    docs.repartition(tasks, "s_suppkey").write.partitionBy("s_suppkey").text(f"{root}/files")
+    docs.repartition(_tasks(spark), "s_suppkey").write.partitionBy("s_suppkey").text(f"{root}/files")
     read, left = catalogues.read_documents(spark, [f"{root}/files"])
     supplier = F.regexp_extract("path", "/s_suppkey=([0-9]+)/", 1).cast("bigint").alias("s_suppkey")
     names = F.array_join(F.transform("measurable_metrics", lambda m: m["name"]), ",")
@@ -1121,7 +1127,7 @@ def submission_decision(spark: SparkSession, folder: str) -> DataFrame:
     lookups = spark.createDataFrame([("Part",)], "table_name string")
     required = spark.createDataFrame([("orders",), ("Lineitem",)], "table_name string")
     decided = decision.decide(
-        _input(spark, folder, inputs.ATTEMPTS), keys, lookups, required, min_iterations=2, min_metrics=2
+        _input(spark, folder, inputs.ATTEMPTS, spread="part"), keys, lookups, required, min_iterations=2, min_metrics=2
     )
     return decided.select(
         "run", "attempt", "status", "first_reason",

@@ -2,6 +2,7 @@ import json
 import random
 
 from metricloom.operators import decision
+from metricloom.plans import queries
 
 PAIRS = [("orders", "customer"), ("lineitem", "orders"), ("a", "b")]
 
@@ -100,3 +101,14 @@ def test_one_long_run_and_no_run(spark):
     status = {r["attempt"]: r["status"] for r in decision.decide(attempts, keys).collect()}
     assert [status[i] for i in range(4)] == ["rejected", "rejected", "accepted", "closed"] and status[299] == "closed"
     assert decision.decide(attempts.limit(0), keys).count() == 0
+
+
+def test_documents_are_derived_and_read_on_all_cores(spark, tmp_path, monkeypatch):
+    parts = spark.range(1, 400).selectExpr("id AS p_partkey").coalesce(1)
+    parts.write.parquet(str(tmp_path / "part.parquet"))
+    monkeypatch.setattr(queries.tables, "open_folder", lambda s, folder, names: {"part": s.read.parquet(f"{folder}/part.parquet")})
+    seen = []
+    decide = decision.decide
+    monkeypatch.setattr(decision, "decide", lambda attempts, *a, **kw: seen.append(attempts) or decide(attempts, *a, **kw))
+    assert queries.submission_decision(spark, str(tmp_path)).count() == 399
+    assert seen[0].rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
