@@ -13,8 +13,6 @@ from metricloom.session import pin
 FAN = 3
 #: Levels between a node row and its descendants: a row holds up to FAN ** STEP hashes below.
 STEP = 6
-#: A node row is repeated for every so many leaves below it, so that no join key is hot.
-SPREAD = 1000
 TOP = -1
 
 
@@ -229,17 +227,12 @@ def _level(placed: DataFrame) -> DataFrame:
     )
 
 
-# Through the levels of a node row n: the hashes left and right of a leaf's place in its run.
-_LEFT = f"slice(n.below[i], s.at div {FAN} * {FAN} + 1, s.at % {FAN})"
-_RIGHT = f"slice(n.below[i], s.at + 2, {FAN - 1} - s.at % {FAN})"
-_CLIMB = f"""aggregate(
-  sequence(0, size(n.below) - 1),
-  named_struct('folded', c.way.folded, 'proof', c.way.proof, 'at', c.at),
-  (s, i) -> named_struct(
-    'folded', sha2(concat_ws('', {_LEFT}, s.folded, {_RIGHT}), 256),
-    'proof', concat(s.proof, unhex(concat_ws('', {_LEFT}, {_RIGHT}))),
-    'at', cast(s.at div {FAN} AS int)),
-  s -> named_struct('folded', s.folded, 'proof', s.proof))"""
+# The hashes left and right of the place ``at``, level by level through a node row n.
+_AT = f"cast(at div cast(pow({FAN}, i) AS bigint) AS int)"
+_STEPS = f"""transform(sequence(0, size(n.below) - 1), i -> named_struct(
+  'left', concat_ws('', slice(n.below[i], cast({_AT} div {FAN} * {FAN} + 1 AS int), {_AT} % {FAN})),
+  'right', concat_ws('', slice(n.below[i], {_AT} + 2, {FAN - 1} - {_AT} % {FAN}))))"""
+_NONE = "CAST(array() AS array<struct<left:string,right:string>>)"
 
 
 def climb(spark: SparkSession, manifest: Manifest) -> DataFrame:
@@ -247,46 +240,52 @@ def climb(spark: SparkSession, manifest: Manifest) -> DataFrame:
     the root, 32 bytes each, left to right and upwards; ``folded`` is the root that the
     leaf's ``start`` gives with them.
 
-    One recursive query: each round joins every leaf to the node row above it, by the link
-    of the row below, appends the siblings there and folds the hash. A row stands once for
-    every ``SPREAD`` places below it and a leaf asks for the copy of its own place, so the
-    few rows near the root are no hot keys. The rounds grow
-    with the logarithm of the rows, one for every ``STEP`` levels.
+    One recursive query climbs from every node row: each round joins it to the row above, by
+    the link of the row before, and appends the siblings there. The up to ``FAN ** STEP``
+    leaves below a row share its way, so leaves are shuffled once, to their row, whatever the
+    height: there each takes its own siblings and the way on, and folds its hash through
+    all of them. The rounds grow with the logarithm of the rows, one for every ``STEP`` levels.
     """
-    near, far = F.col("lo"), F.col("hi")
     nodes = manifest.nodes.select(
-        "tree", "level", "group", "below", "subroot",
-        "up_tree", "up_level", "up_group", "up_at",
-        F.explode(F.sequence(_div(near, F.lit(SPREAD)), _div(far, F.lit(SPREAD)))).alias("part"),
-    )
-    leaves = manifest.leaves.select(
-        "id", F.unhex("leaf").alias("leaf"), _div(F.col("place"), F.lit(SPREAD)).alias("part"),
-        F.col("up_tree").alias("tree"), F.col("up_level").alias("level"),
-        F.col("up_group").alias("group"), F.col("up_at").alias("at"),
-        F.when(F.col("n") == 1, F.unhex("leaf")).alias("subroot"),
-        F.struct(F.col("start").alias("folded"), F.lit(b"").alias("proof")).alias("way"),
+        "tree", "level", "group", "below", "subroot", "up_tree", "up_level", "up_group", "up_at"
     )
     limit = "spark.sql.cteRecursionRowLimit"
     before = spark.conf.get(limit)
     spark.conf.set(limit, "-1")
     try:
-        return stash(
+        ways = pin(
             spark.sql(
                 f"""
-                WITH RECURSIVE climb (id, leaf, part, tree, level, group, at, subroot, way) AS (
-                  SELECT id, leaf, part, tree, level, group, at, subroot, way FROM {{leaves}}
+                WITH RECURSIVE way (tree, level, group, up_tree, up_level, up_group, at, subroot, steps) AS (
+                  SELECT tree, level, group, up_tree, up_level, up_group, up_at, subroot, {_NONE} FROM {{nodes}}
                   UNION ALL
-                  SELECT c.id, c.leaf, c.part, n.up_tree, n.up_level, n.up_group, n.up_at,
-                    coalesce(c.subroot, unhex(n.subroot)), {_CLIMB}
-                  FROM climb c JOIN {{nodes}} n
-                  ON c.tree = n.tree AND c.level = n.level AND c.group = n.group AND c.part = n.part
+                  SELECT w.tree, w.level, w.group, n.up_tree, n.up_level, n.up_group, n.up_at,
+                    coalesce(w.subroot, n.subroot), concat(w.steps, {_STEPS})
+                  FROM way w JOIN {{nodes}} n
+                  ON w.up_tree = n.tree AND w.up_level = n.level AND w.up_group = n.group
                 )
-                SELECT id, lower(hex(leaf)) AS leaf, lower(hex(subroot)) AS subroot, way.proof, way.folded
-                FROM climb WHERE tree IS NULL
+                SELECT tree, level, group, subroot, steps FROM way WHERE up_tree IS NULL
                 """,
-                leaves=leaves,
                 nodes=nodes,
             )
         )
     finally:
         spark.conf.set(limit, before)
+    key = ["tree", "level", "group"]
+    rows = nodes.select(*key, "below").join(ways, key).alias("n")
+    leaves = manifest.leaves.select(
+        "id", F.unhex("leaf").alias("leaf"), F.unhex("start").alias("start"), F.col("up_tree").alias("tree"),
+        F.col("up_level").alias("level"), F.col("up_group").alias("group"), F.col("up_at").alias("at"),
+        (F.col("n") == 1).alias("alone"),
+    )
+    steps = F.coalesce(F.expr(f"concat({_STEPS}, n.steps)"), F.expr(_NONE))
+    subroot = F.when(F.col("alone"), F.lower(F.hex("leaf"))).otherwise(F.col("subroot"))
+    met = leaves.join(rows, key, "left").select("id", "leaf", "start", subroot.alias("subroot"), steps.alias("steps"))
+    return met.select(
+        "id", F.lower(F.hex("leaf")).alias("leaf"), "subroot",
+        F.unhex(F.array_join(F.transform("steps", lambda s: F.concat(s["left"], s["right"])), "")).alias("proof"),
+        F.aggregate(
+            "steps", F.lower(F.hex("start")),
+            lambda folded, s: F.sha2(F.concat(s["left"], folded, s["right"]), 256),
+        ).alias("folded"),
+    )

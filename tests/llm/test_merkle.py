@@ -106,3 +106,13 @@ def test_row_limit_of_the_session_comes_back(spark):
     found = merkle.build(docs, COLUMNS)
     assert merkle.climb(spark, found).where("folded <> '%s'" % found.root).count() == 0
     assert spark.conf.get("spark.sql.cteRecursionRowLimit") == before
+
+
+def test_the_climb_carries_node_rows_not_leaves(spark, monkeypatch):
+    docs = spark.range(5000).selectExpr("id AS doc_id", "'s' AS source", "string(id) AS text").repartition(4)
+    manifest = merkle.build(docs, ["doc_id", "source", "text"])
+    carried, pin = [], merkle.pin
+    monkeypatch.setattr(merkle, "pin", lambda df: carried.append(pin(df)) or carried[-1])
+    got = merkle.climb(spark, manifest)
+    assert got.where(f"folded = '{manifest.root}'").count() == 5000
+    assert [c.count() for c in carried] == [manifest.nodes.count()] and carried[0].count() < 20
