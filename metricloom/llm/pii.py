@@ -27,8 +27,6 @@ GENERATORS = {
 _NEEDS = {"email": "@", "phone": "+"}
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 CUES = r"(?i)(?:tel|phone|call|fax|mobile|mail|contact|card|visa|iban|account|ssn|address|ip)[\W_]*$"
-#: Most candidates of either class that the trees are fitted on.
-SAMPLE = 3000
 PRECISION = 0.95
 TREES, DEPTH = 10, 3
 
@@ -126,33 +124,37 @@ def _features(spans: DataFrame) -> list[Column]:
     return [F.coalesce(x.cast("double"), F.lit(0.0)) for x in flags + counts]
 
 
-def _boosted(candidates: DataFrame, sample: int, precision: float) -> DataFrame | None:
+def _boosted(candidates: DataFrame, precision: float) -> DataFrame | None:
     """(row, kind, start, end) of the candidates that the trees select; None without a model.
 
     Candidates teach the trees by themselves: one that meets a valid span of a fixed format
-    is personal data, any other is taken for none. Half of a bounded sample fits the trees,
+    is personal data, any other is taken for none. Half of all candidates fits the trees,
     the other half calibrates the threshold: the least score above which ``precision`` of it
-    is personal data.
+    is personal data. Candidates with equal features are one row weighted by their number,
+    so no candidate is left out and the rows grow with the forms, not with the texts.
     """
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    rated = candidates.select(
-        "row", "kind", "start", "end", "label", "hash",
-        array_to_vector(F.array(*_features(candidates))).alias("features"),
+    rated = pin(
+        candidates.select(
+            "row", "kind", "start", "end", "label", "hash", F.array(*_features(candidates)).alias("values")
+        )
+    )
+    forms = rated.groupBy((F.col("hash") % 2 == 0).alias("fit"), "label", "values").agg(
+        F.count(F.lit(1)).cast("double").alias("n")
     )
-    parts = [rated.where(F.col("label") == y).orderBy("hash", "row", "start", "kind").limit(sample) for y in (0.0, 1.0)]
-    known = pin(parts[0].unionByName(parts[1]).withColumn("fit", F.col("hash") % 2 == 0))
+    known = pin(forms).withColumn("features", array_to_vector("values"))
     classes = {(r["fit"], r["label"]) for r in known.select("fit", "label").distinct().collect()}
     if len(classes) < 4:
         return None
-    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=32, seed=7)
-    model = trees.fit(known.where("fit").select("features", "label"))
+    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=32, seed=7, weightCol="n")
+    model = trees.fit(known.where("fit").select("features", "label", "n"))
     score = F.floor(vector_to_array("probability")[1] * 200).cast("int")
     levels = (
         model.transform(known.where("NOT fit"))
         .groupBy(score.alias("level"))
-        .agg(F.sum("label").alias("good"), F.count(F.lit(1)).alias("n"))
+        .agg(F.sum(F.col("label") * F.col("n")).alias("good"), F.sum("n").alias("n"))
         .orderBy(F.desc("level"))
         .collect()  # at most 201 levels
     )
@@ -165,12 +167,12 @@ def _boosted(candidates: DataFrame, sample: int, precision: float) -> DataFrame
     if least is None:
         return None
     # Candidates on a format's span are found already.
-    open_ = rated.where("label = 0")
+    open_ = rated.where("label = 0").withColumn("features", array_to_vector("values"))
     return model.transform(open_).where(score >= least).select("row", "kind", "start", "end")
 
 
 def find_personal_data(
-    docs: DataFrame, text_column: str = "text", sample: int = SAMPLE, precision: float = PRECISION
+    docs: DataFrame, text_column: str = "text", precision: float = PRECISION
 ) -> DataFrame:
     """The input's columns but the text, with ``base`` and ``found``: arrays of
     (kind, start, end) by kind and start, in characters, the end exclusive.
@@ -220,7 +222,7 @@ def find_personal_data(
         F.abs(F.xxhash64("match", "before") % 1_000_003).alias("hash"),
     )
     base = placed.where("valid").select("row", "kind", "start", "end", F.lit(True).alias("fixed"))
-    chosen = _boosted(candidates, sample, precision)
+    chosen = _boosted(candidates, precision)
     if chosen is not None:
         base = base.unionByName(chosen.withColumn("fixed", F.lit(False)))
     rank = F.array_position(F.array(*map(F.lit, kinds)), F.col("kind"))

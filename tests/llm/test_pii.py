@@ -97,3 +97,18 @@ def test_trees_find_the_format_without_its_sign(spark):
     got = {r["doc_id"]: r for r in found.collect()}
     assert got[1000]["base"] == []
     assert [x["kind"] for x in got[1000]["found"]] == ["number"]
+
+
+def test_the_trees_learn_from_every_candidate(spark, monkeypatch):
+    from pyspark.ml.classification import GBTClassifier
+
+    learned, fit = [], GBTClassifier.fit
+    monkeypatch.setattr(GBTClassifier, "fit", lambda self, rows: learned.append((self, rows)) or fit(self, rows))
+    rows = [(i, f"order {10**9 + i} left") for i in range(9000)] + [(i, f"call +1 (308) 555-{i}") for i in range(9000, 9400)]
+    found = pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert found.count() == len(rows)
+    (trees, forms), = learned
+    weight = trees.getWeightCol()
+    n = {r["label"]: r["n"] for r in forms.groupBy("label").agg({weight: "sum"}).toDF("label", "n").collect()}
+    # Half of all candidates: more than any sample of 3,000 a class had.
+    assert n[0.0] > 4000 and n[1.0] > 150 and forms.count() < 200
