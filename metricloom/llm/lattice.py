@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import heapq
 import math
 import re
@@ -129,12 +131,14 @@ class _Grown:
     """An array that grows at its end."""
 
     def __init__(self, dtype):
-        self.data, self.size = np.zeros(1024, dtype=dtype), 0
+        self.data, self.size = np.empty(1024, dtype=dtype), 0
 
     def add(self, more: np.ndarray) -> None:
         if self.size + len(more) > len(self.data):
             room = max(2 * len(self.data), self.size + len(more))
-            self.data = np.concatenate([self.data[: self.size], np.zeros(room - self.size, self.data.dtype)])
+            grown = np.empty(room, self.data.dtype)  # room that is not used yet takes no memory
+            grown[: self.size] = self.data[: self.size]
+            self.data = grown
         self.data[self.size : self.size + len(more)] = more
         self.size += len(more)
 
@@ -274,6 +278,13 @@ class Compiled:
         return np.split(out, np.append(0, np.cumsum(size))[ends[:-1]])
 
 
+def _give_back() -> None:
+    """Returns freed memory to the system, where the C library can: a worker that waits for its
+    next task holds no more than its compiled units."""
+    with contextlib.suppress(OSError, AttributeError, TypeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def _uniform(keys: np.ndarray) -> np.ndarray:
     """Numbers between 0 and 1 of 64-bit keys; changes the keys."""
     u = (_mix(keys) >> np.uint64(11)).astype(np.float64)
@@ -525,7 +536,8 @@ def encode_samples(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _compiled(model.value, alpha)
-        for batch in batches:
+
+        def sampled(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             texts = [t or "" for t in batch.column("_text").to_pylist()]
             keys = [
                 xxhash.xxh64_intdigest(f"{seed}/{k}") for k in batch.column("_key").to_pylist()
@@ -542,6 +554,11 @@ def encode_samples(
                 yield _batch(batch, begin, texts, found, table.pieces)
                 begin = end
 
+        for batch in batches:
+            yield from sampled(batch)
+            batch = None
+        _give_back()
+
     out = source.mapInArrow(run, schema)
     return out.select(*unpack(names), *outputs)
 

@@ -114,3 +114,16 @@ def test_hard_cases(spark):
     again = lattice.encode_samples(docs.repartition(1), samples=2).collect()
     assert sorted(map(str, rows)) == sorted(map(str, again))
     assert lattice.encode_samples(docs.limit(0)).count() == 0
+
+
+def test_room_not_used_yet_takes_no_memory():
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096
+
+    held = lattice._Grown(np.float64)
+    held.add(np.ones(1 << 23))
+    before = resident()
+    held.add(np.ones(1))
+    assert len(held.data) == 1 << 24 and held.size == (1 << 23) + 1 and held.data[: held.size].all()
+    assert resident() - before < 32 << 20  # the room is 64 MB

@@ -122,3 +122,22 @@ def test_empty_table(spark):
     empty = hard_docs(spark, [(1, "x")]).limit(0)
     assert simhash.near_duplicates(empty).count() == 0
     assert simhash.keep_one(empty).count() == 0
+
+
+def test_few_links_are_kept_in_few_files(spark, monkeypatch):
+    from metricloom.llm import components as c
+
+    kept = []
+
+    real = c.pin
+    monkeypatch.setattr(c, "pin", lambda df: kept.append(real(df)) or kept[-1])
+    key = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(key, "false")
+    try:
+        edges = spark.createDataFrame([(i, i + 1) for i in range(300) if i % 50], "a long, b long")
+        found = {r["node"]: r["root"] for r in c.components(edges).collect()}
+    finally:
+        spark.conf.set(key, "true")
+    assert set(found) == set(range(1, 301)) and len(set(found.values())) == 6
+    assert all((n - 1) // 50 == (r - 1) // 50 for n, r in found.items())
+    assert max(df.rdd.getNumPartitions() for df in kept[1:]) == 1
