@@ -5,8 +5,8 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import heapq
+import itertools
 import math
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,8 +25,9 @@ SAMPLES = 3
 UNITS = 200_000
 #: A worker forgets its compiled units beyond this number of characters.
 KNOWN = 2_000_000
+#: So many units are compiled at once; their arrays fit a processor's caches.
+TOGETHER = 8192
 SPACE = "▁"
-_UNIT = re.compile(r"\n| *[^ \n]+| +")
 # How far a piece's rank bends the Zipf law of its probability.
 BEND = 10.0
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -52,6 +53,31 @@ def _codes(text: str) -> np.ndarray:
     return codes
 
 
+def _line(text: str) -> bytes:
+    """The text with the model's leading space, which an empty text has not."""
+    return (" " + text).encode("utf-8", "surrogatepass") if text else b""
+
+
+def _split(lines: list[bytes]) -> tuple[pa.LargeBinaryArray, np.ndarray]:
+    """The units of all lines in order, and the number of units before each line's end.
+
+    A unit is a line feed, a word with the spaces before it, or spaces with no word behind.
+    """
+    data = b"".join(lines)
+    flat = np.frombuffer(data, dtype=np.uint8)
+    ends = np.cumsum([len(line) for line in lines], dtype=np.int64)
+    feed, space = flat == 10, flat == 32
+    head = feed.copy()
+    head[1:] |= feed[:-1]
+    head[1:] |= space[1:] > space[:-1]
+    head[np.append(0, ends[:-1])[: len(lines)][np.diff(ends, prepend=0) > 0]] = True
+    offsets = np.append(np.flatnonzero(head), len(flat))
+    units = pa.LargeBinaryArray.from_buffers(
+        pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)]
+    )
+    return units, np.searchsorted(offsets[:-1], ends)
+
+
 class Pieces:
     """Vocabulary and log-probabilities of a model's pieces.
 
@@ -65,9 +91,10 @@ class Pieces:
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.names = [sp.id_to_piece(i) for i in range(sp.get_piece_size())]
         self.byte_ids = {int(p[3:5], 16): i for i, p in enumerate(self.names) if sp.is_byte(i)}
-        self.raw = [p.replace(SPACE, " ").encode() for p in self.names]
+        raw = [p.replace(SPACE, " ").encode() for p in self.names]
         for b, i in self.byte_ids.items():
-            self.raw[i] = bytes([b])
+            raw[i] = bytes([b])
+        self.raw = pa.array(raw, pa.large_binary())
         self.byte_of = np.array([self.byte_ids[b] for b in range(256)], dtype=np.int32)
         plain = [
             i
@@ -80,22 +107,30 @@ class Pieces:
         self.logp[plain] = alpha * np.log(weight / total)
         self.byte_logp = alpha * float(-np.log((len(plain) + BEND) * total))
         self.longest = max(len(self.names[i]) for i in plain)
-        # Pieces by hash, in open addressing; one step hashes a place of all pieces that have it.
-        self.slots = np.full(1 << _SLOTS, -1, dtype=np.int32)
-        self.hashes = np.zeros(len(self.names), dtype=np.uint64)
+        # Beginnings of pieces by hash; one step hashes a place of all pieces that have it.
         length = np.array([len(self.names[i]) for i in plain])
         by_length = np.argsort(-length, kind="stable")
         ids, length = np.array(plain)[by_length], length[by_length]
         codes = _codes("".join(self.names[i] for i in ids).replace(SPACE, " "))
         begin = np.cumsum(length) - length
+        hashes, met = np.zeros(len(ids), dtype=np.uint64), []
         for n in range(self.longest):
             live = int(np.searchsorted(-length, -n, "left"))  # pieces longer than n
-            own = ids[:live]
-            self.hashes[own] = self.roll(self.hashes[own], codes[begin[:live] + n])
-        for i, at in zip(plain, self.slot(self.hashes[plain]).tolist(), strict=True):
-            while self.slots[at] >= 0:
-                at = (at + 1) % len(self.slots)
-            self.slots[at] = i
+            hashes[:live] = self.roll(hashes[:live], codes[begin[:live] + n])
+            met.append(hashes[:live].copy())
+        self.hashes = np.unique(np.concatenate(met))
+        # The piece that a beginning is, -1 for none; the last one is that of no beginning.
+        self.piece = np.full(len(self.hashes) + 1, -1, dtype=np.int32)
+        self.piece[np.searchsorted(self.hashes, hashes)] = ids
+        # Open addressing: a beginning lies in the first free place from its own.
+        self.slots = np.full(1 << _SLOTS, -1, dtype=np.int32)
+        open_ = np.arange(len(self.hashes), dtype=np.int32)
+        at = self.slot(self.hashes)
+        while len(open_):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = open_[free]
+            left = self.slots[at] != open_
+            open_, at = open_[left], (at[left] + 1) % len(self.slots)
 
     @staticmethod
     def roll(h: np.ndarray, codes: np.ndarray) -> np.ndarray:
@@ -107,7 +142,7 @@ class Pieces:
         return (h >> np.uint64(64 - _SLOTS)).astype(np.int64)
 
     def find(self, h: np.ndarray) -> np.ndarray:
-        """Piece of each hash, -1 for none."""
+        """The beginning of pieces that has each hash, -1 for none."""
         at = self.slot(h)
         found = self.slots[at]
         wrong = np.flatnonzero((found >= 0) & (self.hashes[found] != h))
@@ -117,14 +152,22 @@ class Pieces:
             wrong = wrong[(found[wrong] >= 0) & (self.hashes[found[wrong]] != h[wrong])]
         return found
 
-    def units(self, text: str) -> list[str]:
+    def units(self, text: str) -> pa.LargeBinaryArray:
         """Parts that no piece crosses, in order; the text gets the model's leading space."""
-        return _UNIT.findall(" " + text) if text else []
+        return _split([_line(text)])[0]
+
+    def spell(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The bytes of all ids, end to end, and the place of each one's first and of the end."""
+        if not len(ids):
+            return b"", np.zeros(1, dtype=np.int64)
+        found = self.raw.take(pa.array(ids, pa.int32()))
+        _, offsets, data = found.buffers()
+        return data.to_pybytes(), np.frombuffer(offsets, dtype=np.int64)[: len(found) + 1]
 
     def decode(self, ids) -> str:
         """The text of the ids, without the model's leading space."""
-        ids = ids.tolist() if hasattr(ids, "tolist") else ids
-        return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]
+        data, offsets = self.spell(ids)
+        return data[: offsets[-1]].decode("utf-8", "surrogatepass")[1:]
 
 
 class _Grown:
@@ -148,7 +191,8 @@ class Compiled:
 
     A state is a place in a unit, an edge a piece from there: its probability among the
     state's edges, weighed by all ways to go on behind it. So choosing edge after edge draws
-    a whole segmentation from the distribution over all of them.
+    a whole segmentation from the distribution over all of them. A state's edges lie side by
+    side; its number is that of the first, and ``upto`` of the last is 2.
     """
 
     def __init__(self, pieces: Pieces):
@@ -156,62 +200,79 @@ class Compiled:
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[str, int] = {}
-        # Of units: state of the first character, least state of all added with them.
-        self._start, self._first_state = _Grown(np.int32), _Grown(np.int32)
-        self._first, self._count = _Grown(np.int32), _Grown(np.int32)  # of states: edges
+        self.number: dict[bytes, int] = {}
+        self.chars = 0
+        # Of units: state of the first character; characters and edges before all added with them.
+        self._start = _Grown(np.int32)
+        self._chars_before, self._edges_before = _Grown(np.int64), _Grown(np.int64)
         self._logp, self._upto = _Grown(np.float64), _Grown(np.float64)  # of edges
         self._to, self._id = _Grown(np.int32), _Grown(np.int32)
         self._views()
 
     def forget(self) -> None:
         """Back to the units met first, among which are the frequent ones."""
-        kept = int(np.searchsorted(self._first_state.data[: self._first_state.size], KNOWN // 2))
+        before = self._chars_before.data[: self._chars_before.size]
+        kept = int(np.searchsorted(before, KNOWN // 2))
         if kept == self._start.size:
             return self.clear()
-        self.number = {u: n for u, n in self.number.items() if n < kept}
-        states = int(self._first_state.data[kept])
-        edges = int(self.first[states])
-        self._start.size = self._first_state.size = kept
-        self._first.size = self._count.size = states
+        self.number = dict(itertools.islice(self.number.items(), kept))
+        self.chars, edges = int(before[kept]), int(self._edges_before.data[kept])
+        self._start.size = self._chars_before.size = self._edges_before.size = kept
         self._logp.size = self._upto.size = self._to.size = self._id.size = edges
 
     def _views(self) -> None:
-        for name in ("start", "first", "count", "logp", "upto", "to", "id"):
+        for name in ("start", "logp", "upto", "to", "id"):
             setattr(self, name, getattr(self, f"_{name}").data)
 
-    def look_up(self, units: list[str]) -> np.ndarray:
-        new = set(units).difference(self.number)
-        if new:
-            self._add(list(new))
-        return np.fromiter(map(self.number.__getitem__, units), dtype=np.int64, count=len(units))
-
-    def _add(self, units: list[str]) -> None:
+    def look_up(self, units: pa.LargeBinaryArray) -> np.ndarray:
+        coded = units.dictionary_encode()
+        _, offsets, data = coded.dictionary.buffers()
+        cuts = np.frombuffer(offsets, dtype=np.int64)[: len(coded.dictionary) + 1].tolist()
+        data = data.to_pybytes() if data else b""
+        names = [data[x:y] for x, y in itertools.pairwise(cuts)]
+        found = map(self.number.get, names, itertools.repeat(-1))
+        own = np.fromiter(found, dtype=np.int64, count=len(names))
+        new = np.flatnonzero(own < 0)
+        if len(new):
+            own[new] = np.arange(len(self.number), len(self.number) + len(new))
+            for a in range(0, len(new), TOGETHER):
+                self._add([names[i] for i in new[a : a + TOGETHER].tolist()])
+        return own.take(coded.indices.to_numpy())
+
+    def _add(self, units: list[bytes]) -> None:
         pieces = self.pieces
         known = len(self.number)
         self.number.update(zip(units, range(known, known + len(units)), strict=True))
-        codes = _codes("".join(units))
-        size = np.array([len(u) for u in units], dtype=np.int64)
+        data = b"".join(units)
+        codes = _codes(data.decode("utf-8", "surrogatepass"))
+        # Characters of each unit: its bytes that do not continue one.
+        size = np.cumsum([len(u) for u in units], dtype=np.int64)
+        begins = (np.frombuffer(data, dtype=np.uint8) & 0xC0) != 0x80
+        size = np.diff(np.cumsum(begins)[size - 1], prepend=0)
         ends = np.cumsum(size)
         left = np.repeat(ends, size) - np.arange(len(codes))  # characters to the unit's end
         # Every substring of a unit that is a piece; the longest first.
         at, h = np.arange(len(codes)), np.zeros(len(codes), dtype=np.uint64)
         places, lengths, ids = [], [], []
         for n in range(1, pieces.longest + 1):
-            live = left[at] >= n
-            at = at[live]
-            if not len(at):
-                break
-            h = pieces.roll(h[live], codes[at + n - 1])
-            found = pieces.find(h)
-            hit = found >= 0
+            h = pieces.roll(h, codes.take(at + n - 1))
+            begun = pieces.find(h)
+            found = pieces.piece.take(begun, mode="wrap")
             if n == 1:
                 # A character without a piece is spelled in bytes: -2 and its code point.
-                found = np.where(hit, found, -2 - np.where(codes == 0xFFFFFFFF, ord(SPACE), codes).astype(np.int64))
-                hit[:] = True
+                spelt = np.where(codes == 0xFFFFFFFF, ord(SPACE), codes).astype(np.int64)
+                found = np.where(found >= 0, found, -2 - spelt)
+                hit = at
+            else:
+                hit = np.flatnonzero(found >= 0)
             places.append(at[hit])
-            lengths.append(np.full(len(places[-1]), n))
+            lengths.append(np.full(len(hit), n))
             ids.append(found[hit])
+            # Only what a piece begins with can become one.
+            live = np.flatnonzero((begun >= 0) & (left.take(at) > n))
+            if not len(live):
+                break
+            at, h = at.take(live), h.take(live)
         # States in the order of their distance from the end, so that those behind come first.
         far = int(left.max(initial=0))
         order = np.argsort(left.astype(np.uint16) if far < 2**16 else left, kind="stable")
@@ -250,32 +311,38 @@ class Compiled:
         upto = np.cumsum(np.exp(logp))
         upto -= np.repeat(upto[first] - np.exp(logp[first]), count)
         upto[first + count - 1] = 2.0
-        states, edges0 = self._first.size, self._logp.size
-        self._start.add(states + state[ends - size])
-        self._first_state.add(np.full(len(units), states))
-        self._first.add(edges0 + first)
-        self._count.add(count)
+        edges0 = self._logp.size
+        self._start.add(edges0 + first[state[ends - size]])
+        self._chars_before.add(np.full(len(units), self.chars))
+        self._edges_before.add(np.full(len(units), edges0))
+        self.chars += len(codes)
         self._logp.add(logp)
         self._upto.add(upto)
-        self._to.add(np.where(to < 0, -1, states + to))
+        self._to.add(np.where(to < 0, -1, edges0 + first.take(to, mode="wrap")))
         self._id.add(id_)
         self._views()
 
     def ids_of(self, paths: list[np.ndarray]) -> list[np.ndarray]:
         """Piece ids of each path of edges."""
-        ids = self.id[np.concatenate(paths)]
+        ids = self.id.take(np.concatenate(paths))
         ends = np.cumsum([len(p) for p in paths])
         spelled = np.flatnonzero(ids < 0)
+        if not len(spelled):
+            return np.split(ids, ends[:-1])
         codes = -2 - ids[spelled].astype(np.int64)
-        size = np.ones(len(ids), dtype=np.int64)
-        size[spelled] += (codes > 0x7F).astype(np.int64) + (codes > 0x7FF) + (codes > 0xFFFF)
-        out = np.repeat(ids, size)
-        at = (np.cumsum(size) - size)[spelled]
+        out, at = ids, spelled
+        if codes.max() > 0x7F:
+            size = np.ones(len(ids), dtype=np.int64)
+            size[spelled] += (codes > 0x7F).astype(np.int64) + (codes > 0x7FF) + (codes > 0xFFFF)
+            out = np.repeat(ids, size)
+            behind = np.cumsum(size)
+            at = (behind - size)[spelled]
+            ends = np.append(0, behind)[ends]
         out[at] = self.pieces.byte_of[np.minimum(codes, 255)]
         for i, c in zip(at[codes > 0x7F].tolist(), codes[codes > 0x7F].tolist(), strict=True):
             raw = chr(c).encode("utf-8", "surrogatepass")
             out[i : i + len(raw)] = [self.pieces.byte_ids[b] for b in raw]
-        return np.split(out, np.append(0, np.cumsum(size))[ends[:-1]])
+        return np.split(out, ends[:-1])
 
 
 def _give_back() -> None:
@@ -311,10 +378,12 @@ def _follow(table: Compiled, jobs: list[tuple]) -> list[tuple[np.ndarray, np.nda
         if batch:
             _draw(table, jobs, batch, found)
     empty = np.zeros(0, dtype=np.int32)
-    return [
-        (np.concatenate([u for u, _ in f]), np.concatenate([e for _, e in f])) if f else (empty, empty)
-        for f in found
-    ]
+    whole = []
+    for f in found:
+        if len(f) > 1:
+            f = [(np.concatenate([u for u, _ in f]), np.concatenate([e for _, e in f]))]
+        whole.append(f[0] if f else (empty, empty))
+    return whole
 
 
 def _draw(table: Compiled, jobs: list[tuple], batch: list[tuple], found: list[list]) -> None:
@@ -322,7 +391,7 @@ def _draw(table: Compiled, jobs: list[tuple], batch: list[tuple], found: list[li
     types = np.concatenate([jobs[i][0][a:b] for i, a, b in batch])
     unit = np.concatenate([np.arange(a, b, dtype=np.int32) for _, a, b in batch])
     seed = np.repeat(np.array([jobs[i][1] for i, _, _ in batch], dtype=np.uint64), size)
-    now = table.start[types].astype(np.int64)
+    now = table.start.take(types).astype(np.int64)
     begin = 0
     for (i, a, _), n in zip(batch, size, strict=True):
         if jobs[i][3] >= 0 and a == jobs[i][2]:
@@ -331,37 +400,46 @@ def _draw(table: Compiled, jobs: list[tuple], batch: list[tuple], found: list[li
     seed += _mix((unit.astype(np.uint64) + np.uint64(1)) * _MULTIPLIER)
     active = np.arange(len(now))
     step, places, edges = 0, [], []
+    taken = np.zeros(len(now), dtype=np.int64)
     while len(active):
-        u = _uniform(seed[active] + np.uint64(step * int(_MULTIPLIER) % 2**64))
-        edge = table.first[now]
-        beyond = np.flatnonzero(u >= table.upto[edge])
-        while len(beyond):
-            edge[beyond] += 1
-            beyond = beyond[u[beyond] >= table.upto[edge[beyond]]]
+        u = _uniform(seed + np.uint64(step * int(_MULTIPLIER) % 2**64))
+        edge = now
+        beyond = np.flatnonzero(u >= table.upto.take(edge))
+        if len(beyond):
+            at, u = edge.take(beyond), u.take(beyond)
+            while len(beyond):
+                at += 1
+                more = u >= table.upto.take(at)
+                edge[beyond] = at
+                beyond, at, u = beyond[more], at[more], u[more]
         places.append(active)
         edges.append(edge)
-        now = table.to[edge]
-        live = now >= 0
-        active, now = active[live], now[live]
         step += 1
-    place, edge = np.concatenate(places), np.concatenate(edges)
-    order = np.argsort(place, kind="stable")
-    place, edge = place[order], edge[order]
-    cuts = np.searchsorted(place, np.concatenate([[0], np.cumsum(size)]))
-    for (i, _, _), x, y in zip(batch, cuts[:-1], cuts[1:], strict=True):
-        found[i].append((unit[place[x:y]], edge[x:y]))
+        now = table.to.take(edge)
+        ended = now < 0
+        taken[active[ended]] = step
+        live = np.flatnonzero(~ended)
+        active, now, seed = active.take(live), now.take(live).astype(np.int64), seed.take(live)
+    ends = np.cumsum(taken)
+    begin = ends - taken
+    drawn = np.empty(ends[-1], dtype=np.int32)
+    for n, (place, edge) in enumerate(zip(places, edges, strict=True)):
+        drawn[begin.take(place) + n] = edge
+    unit = np.repeat(unit, taken)
+    cuts = np.append(0, ends[np.cumsum(size) - 1])
+    for (i, _, _), x, y in zip(batch, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        found[i].append((unit[x:y], drawn[x:y]))
 
 
 class _Path:
     """A segmentation: unit and edge of each step, log-probability of each beginning."""
 
-    __slots__ = ("edges", "fall", "phi", "units")
+    __slots__ = ("edges", "phi", "units")
 
     def __init__(self, table: Compiled, units: np.ndarray, edges: np.ndarray):
         self.units, self.edges = units, edges
         self.phi = np.zeros(len(edges) + 1)
-        np.cumsum(table.logp[edges], out=self.phi[1:])
-        self.fall = -self.phi
+        np.cumsum(table.logp.take(edges), out=self.phi[1:])
 
 
 class _Search:
@@ -415,27 +493,33 @@ class _Search:
             u = self.uniform()
             target = phi[low] + math.log1p(u * math.expm1(phi[high] - phi[low]))
             # The first step whose log-probability falls below the target.
-            step = low + int(np.searchsorted(path.fall[low + 1 : high + 1], -target, "right"))
+            step = low + int(np.searchsorted(-phi[low + 1 : high + 1], -target, "right"))
             step = min(step, high - 1)
             while table.logp[path.edges[step]] == 0:
                 step -= 1
             self.push_range(path, low, step)
             self.push_range(path, step + 1, high)
             taken = int(path.edges[step])
-            state = int(np.searchsorted(table.first[: table._first.size], np.int32(taken), "right")) - 1
-            first, count = int(table.first[state]), int(table.count[state])
-            open_ = [e for e in range(first, first + count) if e != taken]
+            state = int(table.to[path.edges[step - 1]]) if step else -1
+            if state < 0:
+                state = int(table.start[self.units[path.units[step]]])
+            last = state
+            while table.upto[last] < 2.0:
+                last += 1
+            open_ = [e for e in range(state, last + 1) if e != taken]
         else:
             step = low
-        weight = np.exp(table.logp[open_])
+        weight = np.exp(table.logp.take(open_))
         u = self.uniform() * weight.sum()
-        at = min(int(np.searchsorted(np.cumsum(weight), u, "right")), len(open_) - 1)
+        at = min(int(np.searchsorted(weight.cumsum(), u, "right")), len(open_) - 1)
         edge = open_.pop(at)
         if open_:
-            mass = float(np.exp(table.logp[open_]).sum())
+            mass = float(np.delete(weight, at).sum())
             if mass > 0:
                 self.push(float(path.phi[step]) + math.log(mass), (path, step, step, open_))
-        return path.units[: step + 1], np.append(path.edges[:step], edge)
+        edges = path.edges[: step + 1].copy()
+        edges[step] = edge
+        return path.units[: step + 1], edges
 
 
 def log_inclusion(phi: float, kappa: float) -> float:
@@ -454,11 +538,10 @@ def _compiled(model: bytes, alpha: float) -> Compiled:
 
 def segmentations(table: Compiled, texts: list[tuple[int, str]], samples: int) -> list[list[tuple]]:
     """For each (seed, text) up to ``samples`` tuples (ids, log-probability, log-inclusion)."""
-    if table._first.size > KNOWN:
+    if table.chars > KNOWN:
         table.forget()
-    units = [table.pieces.units(t) for _, t in texts]
-    flat = table.look_up([u for us in units for u in us])
-    parts = np.split(flat, np.cumsum([len(us) for us in units])[:-1])
+    units, ends = _split([_line(t) for _, t in texts])
+    parts = np.split(table.look_up(units), ends[:-1])
     searches = [_Search(table, key, p) for (key, _), p in zip(texts, parts, strict=True)]
     none = np.zeros(0, dtype=np.int32)
     begun = [(s, none, none) for s in searches]
@@ -564,7 +647,7 @@ def encode_samples(
 
 
 def _batch(batch, begin, texts, found, pieces) -> pa.RecordBatch:
-    take, rank, ids, phi, inclusion, restored = [], [], [], [], [], []
+    take, rank, ids, phi, inclusion = [], [], [], [], []
     for i, drawn in enumerate(found):
         for r, (own, p, q) in enumerate(drawn):
             take.append(begin + i)
@@ -572,9 +655,15 @@ def _batch(batch, begin, texts, found, pieces) -> pa.RecordBatch:
             ids.append(own)
             phi.append(p)
             inclusion.append(q)
-            restored.append(pieces.decode(own) == texts[begin + i])
     ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
     flat = np.concatenate(ids) if ids else np.zeros(0, dtype=np.int32)
+    data, places = pieces.spell(flat)
+    cuts = places[ends].tolist()
+    lines = {i: _line(texts[i]) for i in set(take)}
+    restored = [
+        y - x == len(lines[i]) and data.startswith(lines[i], x)
+        for i, x, y in zip(take, cuts[:-1], cuts[1:], strict=True)
+    ]
     return pa.RecordBatch.from_arrays(
         [
             batch.column("_row").take(pa.array(take, pa.int64())),

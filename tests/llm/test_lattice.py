@@ -1,5 +1,6 @@
 import itertools
 import math
+import re
 from collections import Counter
 
 import numpy as np
@@ -127,3 +128,50 @@ def test_room_not_used_yet_takes_no_memory():
     held.add(np.ones(1))
     assert len(held.data) == 1 << 24 and held.size == (1 << 23) + 1 and held.data[: held.size].all()
     assert resident() - before < 32 << 20  # the room is 64 MB
+
+
+@pytest.mark.parametrize("texts", [[""], ["", "a", ""], ["\n\n \n  x  y\t ", "▁ né\U0001f642  \n"], ["  ", "\n"]])
+def test_units_of_many_texts_at_once(texts):
+    words = re.compile(r"\n| *[^ \n]+| +")
+    want = [words.findall(" " + t) if t else [] for t in texts]
+    units, ends = lattice._split([lattice._line(t) for t in texts])
+    assert [u.decode() for u in units.to_pylist()] == [u for us in want for u in us]
+    assert ends.tolist() == np.cumsum([len(us) for us in want]).tolist()
+
+
+def test_work_follows_distinct_words_and_beginnings_of_pieces(table, monkeypatch):
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *key):
+            self.asked += 1
+            return super().get(*key)
+
+        def __getitem__(self, key):
+            self.asked += 1
+            return super().__getitem__(key)
+
+    own = lattice.Compiled(table.pieces)
+    own.number = Counted()
+    own.look_up(table.pieces.units("same word " * 1000))
+    assert own.number.asked < 10  # of 2000 units
+    hashed, roll = [], lattice.Pieces.roll
+    monkeypatch.setattr(
+        lattice.Pieces, "roll", staticmethod(lambda h, c: hashed.append(len(c)) or roll(h, c))
+    )
+    own.look_up(table.pieces.units("zqx" * 1000))
+    assert sum(hashed) < 5 * 3001  # not every substring of up to 16 characters
+
+
+def test_what_is_kept_when_units_are_forgotten_is_compiled_still(table, monkeypatch):
+    monkeypatch.setattr(lattice, "KNOWN", 400)
+    monkeypatch.setattr(lattice, "TOGETHER", 7)
+    text = " ".join(f"word{i} né ①" for i in range(60))
+    want = lattice.segmentations(table, [(9, text)], 3)[0]
+    own = lattice.Compiled(table.pieces)
+    for i in range(5):
+        lattice.segmentations(own, [(i, f"a{i} b{i} " + " ".join(f"n{j + 37 * i}" for j in range(40)))], 2)
+        got = lattice.segmentations(own, [(9, text)], 3)[0]
+        for x, y in zip(want, got, strict=True):
+            assert x[0].tolist() == y[0].tolist() and x[1:] == y[1:]
+        assert len(own.number) == own._start.size and own.chars == sum(len(u.decode()) for u in own.number)
